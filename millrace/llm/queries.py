@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import quality
+from millrace.llm import bpe, quality, secrets
 from millrace.session import ship
 
 
@@ -17,7 +18,15 @@ def op2_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.host_quality(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_host_quality,)}
+def op4_secret_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_spans(_read(spark, sf_dir, "documents"))
+
+
+def op5_bpe_segment_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+QUERIES = {f.__name__: f for f in (op2_host_quality, op4_secret_automaton, op5_bpe_segment_tree)}
 
 ORACLES = {
     "op2_host_quality": r"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe, quality, secrets
+from millrace.llm import bpe, licenses, quality, secrets
 from millrace.session import ship
 
 
@@ -26,7 +26,11 @@ def op5_bpe_segment_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op2_host_quality, op4_secret_automaton, op5_bpe_segment_tree)}
+def op6_license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_notices(_read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_host_quality, op4_secret_automaton, op5_bpe_segment_tree, op6_license_notices)}
 
 ORACLES = {
     "op2_host_quality": r"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe, licenses, quality, secrets
+from millrace.llm import bpe, licenses, quality, secrets, toxicity
 from millrace.session import ship
 
 
@@ -30,7 +30,12 @@ def op6_license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_notices(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_host_quality, op4_secret_automaton, op5_bpe_segment_tree, op6_license_notices)}
+def op9_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return toxicity.score_documents(docs, toxicity.fit_on(docs, _read(spark, sf_dir, "labels")))
+
+
+QUERIES = {f.__name__: f for f in (op2_host_quality, op4_secret_automaton, op5_bpe_segment_tree, op6_license_notices, op9_toxic_spans)}
 
 ORACLES = {
     "op2_host_quality": r"""

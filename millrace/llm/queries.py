@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe, licenses, quality, secrets, toxicity
+from millrace.llm import bpe, decontaminate, licenses, pseudonyms, quality, secrets, toxicity
 from millrace.session import ship
 
 
@@ -14,6 +14,10 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op2_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.host_quality(_read(spark, sf_dir, "documents"))
 
@@ -30,12 +34,31 @@ def op6_license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_notices(_read(spark, sf_dir, "documents"))
 
 
+#: The key of the registered query; a deployment passes its own.
+PSEUDONYM_KEY = b"millrace"
+
+
+def op8_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms.pseudonymize(_read(spark, sf_dir, "documents"), PSEUDONYM_KEY)
+
+
 def op9_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     return toxicity.score_documents(docs, toxicity.fit_on(docs, _read(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op2_host_quality, op4_secret_automaton, op5_bpe_segment_tree, op6_license_notices, op9_toxic_spans)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_spaced_seeds,
+        op2_host_quality,
+        op4_secret_automaton,
+        op5_bpe_segment_tree,
+        op6_license_notices,
+        op8_feistel_pseudonyms,
+        op9_toxic_spans,
+    )
+}
 
 ORACLES = {
     "op2_host_quality": r"""

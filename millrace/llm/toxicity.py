@@ -143,6 +143,7 @@ def _select(documents: list[Counter], toxic: np.ndarray) -> dict[str, float]:
     totals = [0, 0]
     words: dict[str, tuple[str, ...]] = {}
     for tokens, bad in zip(documents, toxic, strict=True):
+        bad = int(bad)
         own = counts[bad]
         for token, n in tokens.items():
             if token not in words:

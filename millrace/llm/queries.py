@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe, decontaminate, licenses, pseudonyms, quality, secrets, toxicity
+from millrace.llm import bpe, decontaminate, jaccard, licenses, pseudonyms, quality, secrets, toxicity
 from millrace.session import ship
 
 
@@ -34,6 +34,10 @@ def op6_license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_notices(_read(spark, sf_dir, "documents"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(_read(spark, sf_dir, "documents"))
+
+
 #: The key of the registered query; a deployment passes its own.
 PSEUDONYM_KEY = b"millrace"
 
@@ -55,6 +59,7 @@ QUERIES = {
         op4_secret_automaton,
         op5_bpe_segment_tree,
         op6_license_notices,
+        op7_jaccard_join,
         op8_feistel_pseudonyms,
         op9_toxic_spans,
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe, decontaminate, jaccard, licenses, pseudonyms, quality, secrets, toxicity
+from millrace.llm import bpe, decontaminate, jaccard, licenses, pseudonyms, quality, secrets, toxicity, wrapper
 from millrace.session import ship
 
 
@@ -22,6 +22,10 @@ def op2_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.host_quality(_read(spark, sf_dir, "documents"))
 
 
+def op3_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper.extract_main_text(_read(spark, sf_dir, "pages"))
+
+
 def op4_secret_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_spans(_read(spark, sf_dir, "documents"))
 
@@ -56,6 +60,7 @@ QUERIES = {
     for f in (
         op1_spaced_seeds,
         op2_host_quality,
+        op3_wrapper_induction,
         op4_secret_automaton,
         op5_bpe_segment_tree,
         op6_license_notices,

@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.batches import map_texts
+from millrace.session import materialize
 
 SAMPLE_ROWS = 3000
 FOLDS = 5
@@ -334,5 +335,5 @@ def filter_toxic(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col
 
     Verdicts are joined by the id; documents with a null id can't be told apart and stay.
     """
-    rejected = score_documents(docs, model, id_col, text_col).where("predicted = 1").select(F.col("doc_id").alias(id_col)).distinct()
+    rejected = materialize(score_documents(docs, model, id_col, text_col).where("predicted = 1").select(F.col("doc_id").alias(id_col)).distinct(), "toxic")
     return docs.join(rejected, id_col, "left_anti")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe, decontaminate, jaccard, licenses, pseudonyms, quality, secrets, toxicity, wrapper
+from millrace.llm import bpe, decontaminate, jaccard, licenses, pseudonyms, quality, repeats, secrets, toxicity, wrapper
 from millrace.session import ship
 
 
@@ -55,6 +55,10 @@ def op9_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(docs, toxicity.fit_on(docs, _read(spark, sf_dir, "labels")))
 
 
+def op10_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(_read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -67,6 +71,7 @@ QUERIES = {
         op7_jaccard_join,
         op8_feistel_pseudonyms,
         op9_toxic_spans,
+        op10_repeated_bytes,
     )
 }
 

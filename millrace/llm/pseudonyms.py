@@ -22,6 +22,7 @@ import hashlib
 import re
 from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -252,8 +253,6 @@ def pseudonymize(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col:
 
 def replace_in(docs: DataFrame, key: bytes, text_col: str = "text", length_col: str | None = None) -> DataFrame:
     """docs with pseudonyms in the text; all other columns stay, except length_col, which gets the new length."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def new_text(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: None if t is None else pseudonymizer(key).replace(t)[0])

@@ -77,7 +77,7 @@ def catalog_join_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("SELECT c_custkey, c_name, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey WHERE o_orderkey IS NULL")
+@query("SELECT c_custkey, c_name, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey WHERE o_orderkey IS NULL OR o_totalprice > 400000")
 def catalog_left_isnull(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(spark, sf_dir, Catalog([_entity("customer", "c_custkey", "c_name"), _entity("orders", "o_orderkey")], [Join(col("customer", "c_custkey"), col("orders", "o_custkey"), "LEFT")], [Group("OR", [Operation(col("orders", "o_orderkey"), "IS NULL"), Operation(col("orders", "o_totalprice"), ">", 400000)])]))
 

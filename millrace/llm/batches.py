@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-#: Rows handled at once inside a batch, so that what a task holds doesn't follow the batch size.
-SLICE = 512
+#: Rows, and about as many bytes of text, handled at once inside a batch, so that what a task holds doesn't follow the batch size.
+SLICE, SLICE_BYTES = 512, 1_500_000
 
 
 def texts_of(batch: pa.RecordBatch, column: str) -> list[bytes | None]:
@@ -18,6 +19,19 @@ def texts_of(batch: pa.RecordBatch, column: str) -> list[bytes | None]:
     return batch.column(column).cast(pa.binary()).to_pylist()
 
 
+def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch, cut by rows and by bytes of text; one text is never cut."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column).cast(pa.binary())), 0).to_pylist()
+    at = 0
+    while at < batch.num_rows:
+        end, room = at, SLICE_BYTES
+        while end < batch.num_rows and end - at < SLICE and (end == at or room > 0):
+            room -= sizes[end]
+            end += 1
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def map_texts(docs: DataFrame, id_col: str, text_col: str, schema: str, per_slice: Callable[[list, list[bytes | None]], dict[str, list]]) -> DataFrame:
     """per_slice(ids, texts) -> columns of the result, over slices of every partition.
 
@@ -31,8 +45,7 @@ def map_texts(docs: DataFrame, id_col: str, text_col: str, schema: str, per_slic
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
+            for part in slices(batch, "text"):
                 made = per_slice(part.column("id").to_pylist(), texts_of(part, "text"))
                 yield pa.RecordBatch.from_arrays([pa.array(made[f.name], type=f.type) for f in arrow], schema=arrow)
 

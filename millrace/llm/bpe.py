@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from millrace.llm.batches import map_texts
 
 #: Pieces whose ids a worker keeps; when there are more, it starts anew.
-KEPT_PIECES = 400_000
+KEPT_PIECES = 200_000
 _NONE = np.int32(2**31 - 1)
 
 #: Characters for which the plain patterns below split as the given one does.
@@ -210,15 +210,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
 
     def per_slice(ids: list, texts: list[bytes | None]) -> dict[str, list]:
         own = encoder(path, pattern)
-        coded: list[bytes] = []
-        at = 0
-        while at < len(texts):  # few texts at a time where they are long
-            end, room = at, 4_000_000
-            while end < len(texts) and room > 0:
-                room -= len(texts[end] or b"")
-                end += 1
-            coded += own.encode_many([(t or b"").decode() for t in texts[at:end]])
-            at = end
+        coded = own.encode_many([(t or b"").decode() for t in texts])
         out = {
             "doc_id": ids,
             "n_tokens": [len(c) // 4 for c in coded],

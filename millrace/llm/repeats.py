@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.batches import SLICE
+from millrace.llm.batches import slices
 from millrace.llm.hashing import mix
 from millrace.session import materialize
 
@@ -112,8 +112,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _ranges(texts: DataFrame, length: int, gram: int, grams_only: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
+            for part in slices(batch, "text"):
                 found, owner = [], []
                 for k, text in enumerate(part.column("text").cast(pa.binary()).to_pylist()):
                     if len(text) >= length:

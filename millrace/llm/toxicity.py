@@ -31,14 +31,14 @@ from pyspark.sql import functions as F
 from millrace.llm.batches import map_texts
 from millrace.session import materialize
 
-SAMPLE_ROWS = 3000
+SAMPLE_ROWS = 2000
 FOLDS = 5
 #: Lengths of the inner strings of a word, its ends marked.
 GRAMS = (4, 5, 6, 7)
 #: A feature must stand in so many toxic documents of the sample, and in this share of them.
 LEAST_DOCS, LEAST_SHARE, LEAST_LOG_ODDS, MOST_FEATURES = 5, 0.03, 1.6, 400
 #: Words whose scores a worker keeps; when there are more, it starts anew.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 100_000
 _EDGE = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 _TOKEN = re.compile(r"\S+")
 _CHUNK = 64
@@ -241,7 +241,8 @@ def fit(texts: list[str | None], toxic: list[int]) -> Model:
     y = np.array(toxic, float)
     if not len(y) or y.min() == y.max():
         return Model(rate=float(y.mean()) if len(y) else 0.0)
-    sequences = [(t or "").lower().split() for t in texts]
+    one: dict[str, str] = {}  # each token once in memory
+    sequences = [[one.setdefault(w, w) for w in (t or "").lower().split()] for t in texts]
     chosen = _select([Counter(s) for s in sequences], y > 0)
     if not chosen:
         return Model(rate=float(y.mean()))
@@ -274,7 +275,7 @@ class Scorer:
     """A model with the odds of the words seen so far."""
 
     def __init__(self, model: Model):
-        self.model, self.kept = model, {}
+        self.model, self.kept, self.plain = model, {}, model.plain
         self.grams = None
 
     def odds(self, token: str) -> float:
@@ -286,14 +287,14 @@ class Scorer:
             self.grams.make_automaton()
         word = _EDGE.sub("", token)
         if not word or len(word) > LONGEST_WORD:
-            return self.model.plain
+            return self.plain
         found = dict(x for _, x in self.grams.iter(f"^{word}$"))
         if not found:
-            return self.model.plain
+            return self.plain
         return math.exp(min(60.0, max(-60.0, self.model.bias + sum(found.values()))))
 
     def __getstate__(self):
-        return {"model": self.model, "kept": {}, "grams": None}
+        return {"model": self.model, "kept": {}, "plain": self.plain, "grams": None}
 
     def __call__(self, text: bytes | None) -> tuple[float, list[str]]:
         """The score and the offending tokens as start:end in code points."""

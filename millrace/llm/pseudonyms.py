@@ -39,7 +39,7 @@ _NUMBER = re.compile(
     r"(?<![0-9A-Za-z_])(?:"
     r"(?P<phone>\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4})"
     r"|(?P<date>[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})"
-    r"|(?P<ip>[0-9]{1,3}(?:\.[0-9]{1,3}){3})(?!\.[0-9])"
+    r"|(?P<ip>(?<![0-9A-Za-z_]\.)[0-9]{1,3}(?:\.[0-9]{1,3}){3})(?!\.[0-9])"
     r"|(?P<ssn>[0-9]{3}-[0-9]{2}-[0-9]{4})"
     r"|(?P<card>[0-9](?:[ -]?[0-9]){12,18})"
     r")(?![0-9A-Za-z_])"

@@ -241,3 +241,16 @@ def save_version(df: DataFrame, base: str, version: int) -> DataFrame:
 def settle(df: DataFrame) -> DataFrame:
     """A version that later steps read several times, written once in the shared folder."""
     return materialize(df, "table")
+
+
+def write_with_rejects(target: DataFrame, rows: DataFrame, on: list[str] | None = None, required: list[str] = (), limits: dict | None = None, order_by: list[str] | str | None = None, audit: Audit | None = None) -> tuple[DataFrame, DataFrame]:
+    """The next version of target with all rows that keep its rules, and the others with _error: one bad row doesn't stop the rest."""
+    from millrace.functions.cells import enforce_lengths, enforce_not_null
+
+    ok, rejects = enforce_not_null(rows, list(required)) if required else (rows, None)
+    if limits:
+        ok, long = enforce_lengths(ok, limits)
+        rejects = long if rejects is None else rejects.unionByName(long)
+    if rejects is None:
+        rejects = rows.limit(0).withColumn("_error", F.lit(None).cast("string"))
+    return upsert(target, ok, on, order_by, audit), rejects

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,9 @@ from millrace.functions import cells
 from millrace.operators import aggregates, evolve, joins, mdm, reshape, rows, tables, windows
 from millrace.operators.tables import Audit
 from millrace.plans.compile import to_dataframe
-from millrace.session import ship
+from millrace.session import shared_dir, ship
+from millrace.sources import arrow_ipc, discover, files
+from millrace.streaming import inbound
 from millrace.types import union_promoted, widen_decimals
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -632,6 +635,105 @@ def mdm_take(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mdm.take(inbound).drop("slice")
 
 
+# --- sources, sinks and streams: what comes back must be what went in -------------------------------------
+
+
+def _fresh(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/millrace-{name}-{uuid.uuid4().hex}"
+
+
+@query("SELECT c_custkey, c_name, c_acctbal, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_mktsegment END AS c_mktsegment FROM customer")
+def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, c = _fresh(spark, "csv"), read(spark, sf_dir, "customer")
+    files.write_csv(c.select("c_custkey", "c_name", "c_acctbal", F.when(F.col("c_custkey") % 4 == 0, F.lit("NA")).otherwise(F.col("c_mktsegment")).alias("c_mktsegment")), path)
+    return files.scan_csv(spark, path, null_values={"c_mktsegment": "NA"}, schema="c_custkey long, c_name string, c_acctbal double, c_mktsegment string")
+
+
+@query("SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders")
+def json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _fresh(spark, "json")
+    files.write_json(read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice"), path)
+    return files.read_json(spark, path, schema="o_orderkey long, o_orderstatus string, o_totalprice double")
+
+
+@query("SELECT s_suppkey, s_name, s_acctbal FROM supplier")
+def arrow_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    path = _fresh(spark, "arrow")
+    arrow_ipc.write_arrow(read(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_acctbal"), path)
+    return arrow_ipc.read_arrow(spark, path)
+
+
+@query("SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders WHERE o_orderstatus IN ('F', 'P')")
+def dataset_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _fresh(spark, "dataset")
+    files.write_dataset(read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus"), path, partition_by=["o_orderstatus"], max_rows_per_file=50_000)
+    return files.read_dataset(spark, path, columns=["o_orderkey", "o_totalprice", "o_orderstatus"], where="o_orderstatus IN ('F', 'P')")
+
+
+@query("SELECT sum(r) AS rows, max(r) <= 5000 AS fits FROM (SELECT count(*) AS r FROM orders GROUP BY o_orderkey // 1000)")
+def chunked_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = files.export_chunks(read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), _fresh(spark, "chunks"), 5000)
+    return sizes.agg(F.sum("rows").alias("rows"), (F.max("rows") <= 5000).alias("fits"))
+
+
+@query("SELECT c_custkey, c_name, c_acctbal FROM customer")
+def encrypt_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key, path = "0123456789abcdef0123456789abcdef", _fresh(spark, "encrypted")
+    files.write_parquet(files.encrypt_columns(read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal"), ["c_name", "c_acctbal"], key), path)
+    return files.decrypt_columns(files.read_parquet(spark, path), {"c_name": "string", "c_acctbal": "double"}, key)
+
+
+@query("SELECT entity, \"column\", type FROM (VALUES ('nation', 'n_nationkey', 'int32'), ('nation', 'n_name', 'string'), ('nation', 'n_regionkey', 'int32')) t(entity, \"column\", type)")
+def discover_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = spark.createDataFrame([("nation",), ("absent",)], "entity string")
+    return discover.discover(spark, sf_dir, wanted).select("entity", "column", "type")
+
+
+@query("""
+SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN s_name || '!' ELSE s_name END AS s_name, CASE WHEN s_suppkey % 2 = 0 THEN s_acctbal END AS s_acctbal FROM supplier
+""")
+def migrate_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base, s = _fresh(spark, "migrate"), read(spark, sf_dir, "supplier")
+    evolve.migrate(spark, {"supplier": s.select("s_suppkey", "s_name")}, base, {"supplier": ["s_suppkey"]})
+    evolve.migrate(spark, {"supplier": s.where("s_suppkey % 2 = 0").select("s_suppkey", F.concat("s_name", F.lit("!")).alias("s_name"), "s_acctbal")}, base, {"supplier": ["s_suppkey"]})
+    return evolve.latest_version(spark, f"{base}/SUPPLIER")[0].select("s_suppkey", "s_name", "s_acctbal")
+
+
+@query("SELECT event_type, date_trunc('day', ts) AS start, count(*) AS n FROM events GROUP BY 1, 2")
+def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Day windows of the events as a stream, run to its end; each micro-batch replaces the result."""
+    out, kind = _fresh(spark, "stream"), read(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(kind).option("pathGlobFilter", "events.parquet").parquet(sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    counts = inbound.windowed(stream, "ts", "1 day", {"n": F.count(F.lit(1))}, by=["event_type"])
+    writer = counts.writeStream.outputMode("complete").foreachBatch(lambda batch, number: batch.write.mode("overwrite").parquet(f"{out}/rows"))
+    writer.option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{out}/rows").select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), "n")
+
+
+@query("SELECT n_nationkey AS mq_id, 'e' || n_nationkey AS employee_id, CAST(CASE WHEN n_nationkey % 5 = 0 THEN 500 ELSE 202 END AS INTEGER) AS mq_status FROM nation WHERE n_nationkey % 7 <> 0")
+def stream_inbound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages made of nations arrive as files and are loaded once each; those without an employee are rejects."""
+    base = _fresh(spark, "inbound")
+    k = F.col("n_nationkey")
+    message = F.struct(k.alias("mq_id"), F.when(k % 7 != 0, F.concat(F.lit("e"), k)).alias("employee_id"), F.when(k % 5 == 0, F.lit(500)).alias("mq_status"))
+    read(spark, sf_dir, "nation").select(F.concat(F.lit("["), F.to_json(message), F.lit("]")).alias("value")).repartition(5, "value").write.option("maxRecordsPerFile", 1).text(f"{base}/in")
+
+    def handle(batch: DataFrame, number: int) -> None:
+        mdm.load_json(batch)[0].write.mode("overwrite").parquet(f"{base}/out/batch={number}")
+
+    inbound.process(inbound.inbound_files(spark, f"{base}/in", 10), handle, f"{base}/state", f"{base}/ledger", once=True).awaitTermination()
+    return spark.read.parquet(f"{base}/out").select("mq_id", "employee_id", "mq_status")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_acctbal IS NOT NULL AND length(c_name) <= 18 AND c_custkey % 3 = 0")
+def write_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = read(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    source = c.where("c_custkey % 3 = 0").withColumn("c_name", F.when(F.col("c_custkey") % 2 == 0, F.concat("c_name", F.lit(" too long"))).otherwise(F.col("c_name")))
+    good, bad = tables.write_with_rejects(c.limit(0), source, ["c_custkey"], ["c_custkey"], {"c_name": 18})
+    return good.unionByName(bad.select("c_custkey", F.regexp_replace("c_name", " too long$", "").alias("c_name")))
+
+
 # --- results without SQL -----------------------------------------------------------------------------
 
 

@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.rows import carry
 from millrace.types import quoted
 
+#: Rows of one key that one task should walk at most.
+LARGE_GROUP = 5_000_000
+
 _KINDS = {
     "inner": "inner", "left": "left", "left outer": "left", "right": "right", "right outer": "right", "full": "full", "full outer": "full", "outer": "full",
     "left semi": "left_semi", "semi": "left_semi", "left anti": "left_anti", "anti": "left_anti", "right semi": "right_semi", "right anti": "right_anti", "cross": "cross",
@@ -77,11 +81,12 @@ def join_where(left: DataFrame, right: DataFrame, *conditions: Column, how: str
     return left.join(right, list(conditions), _KINDS[how])
 
 
-def join_asof(left: DataFrame, right: DataFrame, on: str, by: list[str] | str = (), strategy: str = "backward", tolerance: str | float | None = None, right_on: str | None = None, suffix: str = "_right") -> DataFrame:
+def join_asof(left: DataFrame, right: DataFrame, on: str, by: list[str] | str = (), strategy: str = "backward", tolerance: str | float | None = None, right_on: str | None = None, suffix: str = "_right", spread: bool | None = None) -> DataFrame:
     """For each left row the nearest right row by `on`, within equal `by` keys.
 
     Both sides go into one ordered stream per key, in which the last (or next) right row is carried
-    along, so there is one shuffle and no pairs. Equal values match; among equal right values the last
+    along, so there is one shuffle and no pairs. Where a key has more than LARGE_GROUP rows, or there
+    are no keys (or spread says so), the stream is cut into ranges that pass on what they carry. Equal values match; among equal right values the last
     by all its columns is taken; nearest takes the earlier on equal gaps. tolerance: an interval as
     text for times, a number else. Rows with a null in `on` or `by` match nothing.
     """
@@ -94,13 +99,21 @@ def join_asof(left: DataFrame, right: DataFrame, on: str, by: list[str] | str =
     left_part = left.select(*[F.col(quoted(c)).alias(f"_b{i}") for i, c in enumerate(by)], F.col(quoted(on)).alias("_t"), F.lit(1).alias("_side"), F.struct(*[F.col(quoted(c)) for c in left.columns]).alias("_l"), F.lit(None).cast(right.select(F.struct(*[F.col(quoted(c)) for c in values])).schema[0].dataType).alias("_r"))
     right_part = right.where(F.col(quoted(right_on)).isNotNull()).dropna(subset=by or None if by else [right_on]).select(*[F.col(quoted(c)).alias(f"_b{i}") for i, c in enumerate(by)], F.col(quoted(right_on)).alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(left_part.schema["_l"].dataType).alias("_l"), F.struct(*[F.col(quoted(c)) for c in values]).alias("_r"))
     both = left_part.unionByName(right_part)
-    group = Window.partitionBy(*[f"_b{i}" for i in range(len(by))])
-    before = F.last(F.when(F.col("_side") == 0, F.struct("_t", "_r")), ignorenulls=True).over(group.orderBy("_t", "_side", "_r").rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(F.when(F.col("_side") == 0, F.struct("_t", "_r")), ignorenulls=True).over(group.orderBy(F.col("_t"), F.col("_side").desc(), F.col("_r").desc()).rowsBetween(0, Window.unboundedFollowing))
-    if strategy != "forward":
-        both = both.withColumn("_before", before)
-    if strategy != "backward":
-        both = both.withColumn("_after", after)
+    keys = [f"_b{i}" for i in range(len(by))]
+    known = F.when(F.col("_side") == 0, F.struct("_t", "_r"))
+    orders = {"_before": [F.col("_t"), F.col("_side"), F.col("_r")], "_after": [F.col("_t"), F.col("_side").desc(), F.col("_r").desc()]}
+    wanted = [n for n in orders if strategy not in ("backward" if n == "_after" else "forward",)]
+    if by and spread is None:
+        largest = both.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+        spread = largest > LARGE_GROUP
+    for name in wanted:
+        onward = name == "_before"
+        if spread or not by:
+            both = carry(both, keys, orders[name], {name: known}, onward)
+        else:
+            window = Window.partitionBy(*keys).orderBy(*orders[name])
+            window = window.rowsBetween(Window.unboundedPreceding, 0) if onward else window.rowsBetween(0, Window.unboundedFollowing)
+            both = both.withColumn(name, (F.last if onward else F.first)(known, ignorenulls=True).over(window))
     rows = both.where("_side = 1")
 
     def within(side: str) -> Column:

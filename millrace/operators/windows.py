@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.operators.rows import sort_keys
+from millrace.operators.rows import carry, sort_keys, with_row_index
 from millrace.types import quoted
 
 # Microseconds in the units of fixed length, and months in those of the calendar.
@@ -130,37 +130,61 @@ def group_by_dynamic(
 def shift(df: DataFrame, n: int, order_by: list[str] | str, fill=None, columns: list[str] | None = None, by: list[str] = ()) -> DataFrame:
     """Columns moved n rows down (up for negative n); rows that come free get the fill value.
 
-    Without `by` the whole table is one ordered sequence, which one task has to walk.
+    Without `by` rows get global numbers and meet the row n before them by a join, so no task walks the table.
     """
     order = [order_by] if isinstance(order_by, str) else list(order_by)
-    window = Window.partitionBy(*[F.col(quoted(c)) for c in by]).orderBy(*sort_keys(order))
-    move = F.lag if n >= 0 else F.lead
     moved = columns or [c for c in df.columns if c not in order and c not in by]
-    return df.withColumns({c: move(F.col(quoted(c)), abs(n), fill).over(window) for c in moved})
+    if by:
+        window = Window.partitionBy(*[F.col(quoted(c)) for c in by]).orderBy(*sort_keys(order))
+        move = F.lag if n >= 0 else F.lead
+        return df.withColumns({c: move(F.col(quoted(c)), abs(n), fill).over(window) for c in moved})
+    numbered = with_row_index(df, order, "_i")
+    source = numbered.select((F.col("_i") + n).alias("_j"), *[F.col(quoted(c)).alias(f"_m{k}") for k, c in enumerate(moved)])
+    joined = numbered.join(source, F.col("_i") == F.col("_j"), "left")
+    place = {c: F.when(F.col("_j").isNotNull(), F.col(f"_m{k}")).otherwise(F.lit(fill)).cast(df.schema[c].dataType) for k, c in enumerate(moved)}
+    return joined.select(*[place.get(c, F.col(quoted(c))).alias(c) for c in df.columns])
 
 
 def fill_forward(df: DataFrame, columns: list[str], order_by: list[str] | str, by: list[str] = (), limit: int | None = None, backward: bool = False) -> DataFrame:
-    """Nulls become the last (backward: the next) value, over at most `limit` rows."""
-    window = Window.partitionBy(*[F.col(quoted(c)) for c in by]).orderBy(*sort_keys(order_by))
-    far = Window.unboundedPreceding if limit is None else -limit
-    if backward:
-        window, pick = window.rowsBetween(0, Window.unboundedFollowing if limit is None else limit), F.first
-    else:
-        window, pick = window.rowsBetween(far, 0), F.last
-    return df.withColumns({c: pick(F.col(quoted(c)), ignorenulls=True).over(window) for c in columns})
+    """Nulls become the last (backward: the next) value, over at most `limit` rows. Without `by` ranges of rows pass values on."""
+    if by:
+        window = Window.partitionBy(*[F.col(quoted(c)) for c in by]).orderBy(*sort_keys(order_by))
+        far = Window.unboundedPreceding if limit is None else -limit
+        if backward:
+            window, pick = window.rowsBetween(0, Window.unboundedFollowing if limit is None else limit), F.first
+        else:
+            window, pick = window.rowsBetween(far, 0), F.last
+        return df.withColumns({c: pick(F.col(quoted(c)), ignorenulls=True).over(window) for c in columns})
+    numbered = with_row_index(df, order_by, "_i")
+    known = {f"_v{k}": F.when(F.col(quoted(c)).isNotNull(), F.struct("_i", F.col(quoted(c)).alias("v"))) for k, c in enumerate(columns)}
+    out = carry(numbered, [], [F.col("_i")], known, not backward)
+
+    def value(k: int):
+        near = F.col(f"_v{k}.v")
+        return near if limit is None else F.when(F.abs(F.col("_i") - F.col(f"_v{k}._i")) <= limit, near)
+
+    return out.withColumns({c: value(k) for k, c in enumerate(columns)}).select(*[F.col(quoted(c)) for c in df.columns])
 
 
 def interpolate(df: DataFrame, columns: list[str], order_by: list[str] | str, by: list[str] = ()) -> DataFrame:
     """Inner nulls become points on the line between the values around them, by row position."""
-    base = Window.partitionBy(*[F.col(quoted(c)) for c in by]).orderBy(*sort_keys(order_by))
-    before, after = base.rowsBetween(Window.unboundedPreceding, 0), base.rowsBetween(0, Window.unboundedFollowing)
-    out = df.withColumn("_n", F.row_number().over(base))
-    for c in columns:
-        known = F.when(F.col(quoted(c)).isNotNull(), F.struct(F.col("_n").alias("n"), F.col(quoted(c)).cast("double").alias("v")))
-        out = out.withColumns({"_a": F.last(known, ignorenulls=True).over(before), "_b": F.first(known, ignorenulls=True).over(after)})
-        line = F.col("_a.v") + (F.col("_b.v") - F.col("_a.v")) * (F.col("_n") - F.col("_a.n")) / (F.col("_b.n") - F.col("_a.n"))
-        out = out.withColumn(c, F.when(F.col(quoted(c)).isNotNull(), F.col(quoted(c)).cast("double")).otherwise(line)).drop("_a", "_b")
-    return out.drop("_n")
+    known = {f"{side}{k}": F.when(F.col(quoted(c)).isNotNull(), F.struct(F.col("_n").alias("n"), F.col(quoted(c)).cast("double").alias("v"))) for k, c in enumerate(columns) for side in ("_a", "_b")}
+    if by:
+        base = Window.partitionBy(*[F.col(quoted(c)) for c in by]).orderBy(*sort_keys(order_by))
+        before, after = base.rowsBetween(Window.unboundedPreceding, 0), base.rowsBetween(0, Window.unboundedFollowing)
+        out = df.withColumn("_n", F.row_number().over(base))
+        out = out.withColumns({n: F.last(v, ignorenulls=True).over(before) if n[1] == "a" else F.first(v, ignorenulls=True).over(after) for n, v in known.items()})
+    else:
+        out = with_row_index(df, order_by, "_n")
+        out = carry(out, [], [F.col("_n")], {n: v for n, v in known.items() if n[1] == "a"})
+        out = carry(out, [], [F.col("_n")], {n: v for n, v in known.items() if n[1] == "b"}, False)
+
+    def value(k: int, c: str) -> Column:
+        a, b = f"_a{k}", f"_b{k}"
+        line = F.col(f"{a}.v") + (F.col(f"{b}.v") - F.col(f"{a}.v")) * (F.col("_n") - F.col(f"{a}.n")) / (F.col(f"{b}.n") - F.col(f"{a}.n"))
+        return F.when(F.col(quoted(c)).isNotNull(), F.col(quoted(c)).cast("double")).otherwise(line)
+
+    return out.withColumns({c: value(k, c) for k, c in enumerate(columns)}).select(*[F.col(quoted(c)) for c in df.columns])
 
 
 def failure_threshold(df: DataFrame, failed: Column, keys: list[str], ts: str, minutes: int = 15, most: int = 5) -> DataFrame:

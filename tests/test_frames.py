@@ -167,3 +167,30 @@ def test_union_promoted(spark):
 def test_row_index_plan_has_no_single_partition(spark):
     df = rows.with_row_index(spark.range(50), "id", "i")
     assert "SinglePartition" not in df._jdf.queryExecution().executedPlan().toString().replace("BroadcastExchange", "")
+
+
+def test_carry_spreads_any_key(spark):
+    rnd = __import__("random").Random(3)
+    data = [(k, t, rnd.choice([None, rnd.randint(0, 99)])) for k in ("hot", "hot", "hot", "b", None) for t in rnd.sample(range(1000), 60)]
+    data = list({(k, t): (k, t, v) for k, t, v in data}.values())
+    df = spark.createDataFrame(data, "k string, t int, v int").repartition(3)
+    for onward in (True, False):
+        got = {(r.k, r.t): r.c for r in rows.carry(df, ["k"], [F.col("t")], {"c": F.col("v")}, onward).collect()}
+        for k in ("hot", "b", None):
+            last = None
+            for kk, t, v in sorted((x for x in data if x[0] == k), key=lambda x: x[1], reverse=not onward):
+                last = v if v is not None else last
+                assert got[kk, t] == last
+    one = {r.t: r.c for r in rows.carry(df.where("k = 'hot'"), [], [F.col("t")], {"c": F.col("v")}).collect()}
+    assert one == {r.t: r.c for r in rows.carry(df.where("k = 'hot'"), ["k"], [F.col("t")], {"c": F.col("v")}).collect()}
+
+
+def test_spread_asof_equals_plain(spark):
+    e = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    left, right = e.where("event_type = 'purchase'").select("event_id", "user_id", "ts"), e.where("event_type = 'view'").select("user_id", "ts", F.col("event_id").alias("view"))
+    for strategy in ("backward", "forward", "nearest"):
+        a, b = (joins.join_asof(left, right, "ts", "user_id", strategy, spread=s) for s in (False, True))
+        assert rows.frames_equal(a, b)
+    first = right.agg(F.min("ts")).first()[0]
+    out = joins.join_asof(left, right.drop("user_id"), "ts")
+    assert out.count() == left.count() and {r.view is None for r in out.where(F.col("ts") < F.lit(first)).collect()} <= {True} and out.where(F.col("ts") >= F.lit(first)).where("view is null").isEmpty()

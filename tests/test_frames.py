@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.operators import aggregates, joins, reshape, rows, windows
-from millrace.types import promote, spark_type, type_id, union_promoted
+from millrace.types import CRM_FIELDS, CRM_TYPES, EXCLUDED_CRM_TYPES, ORACLE_COLUMNS, ORACLE_TYPES, oracle_column, outside_name, outside_type, promote, spark_type, type_id, union_promoted
 
 
 def D(day, hour=0):
@@ -194,3 +194,12 @@ def test_spread_asof_equals_plain(spark):
     first = right.agg(F.min("ts")).first()[0]
     out = joins.join_asof(left, right.drop("user_id"), "ts")
     assert out.count() == left.count() and {r.view is None for r in out.where(F.col("ts") < F.lit(first)).collect()} <= {True} and out.where(F.col("ts") >= F.lit(first)).where("view is null").isEmpty()
+
+
+def test_outside_types():
+    assert outside_type("VARCHAR2(80)", ORACLE_TYPES) == "string" and outside_type("Text", CRM_TYPES) is None and outside_type("Currency", CRM_TYPES) == "decimal128"
+    assert all(outside_type(t, CRM_TYPES) is None for t in EXCLUDED_CRM_TYPES)
+    for known in (ORACLE_TYPES, CRM_TYPES):
+        for t in known.values():
+            assert spark_type(t) is not None and outside_name(t, ORACLE_COLUMNS) and outside_name(t, CRM_FIELDS)
+    assert [oracle_column("string", 120), oracle_column("utf8", 10000), oracle_column("string"), oracle_column("decimal128", precision=10, scale=2), oracle_column("timestamp_us", timezone="UTC"), oracle_column("bool")] == ["VARCHAR2(120 CHAR)", "CLOB", "VARCHAR2(4000 CHAR)", "NUMBER(10, 2)", "TIMESTAMP WITH TIME ZONE", "NUMBER(1, 0)"]

@@ -1,4 +1,4 @@
-"""Arrow IPC files and streams as a Spark data source: one task a file, one file a write task."""
+"""Arrow IPC files and streams: one task a file, one file a write task, in any store that Spark (reading) and Arrow (writing) know."""
 
 from __future__ import annotations
 
@@ -63,19 +63,23 @@ def write_arrow(df: DataFrame, path: str, stream: bool = False) -> DataFrame:
             self.path, self.stream = options["path"], options.get("stream") == "true"
 
         def write(self, batches: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
-            import os
             import uuid
 
-            os.makedirs(self.path, exist_ok=True)
-            name, rows, sink = os.path.join(self.path, f"part-{uuid.uuid4().hex}.arrow"), 0, None
+            from pyarrow import fs
+
+            store, place = fs.FileSystem.from_uri(self.path) if "://" in self.path else (fs.LocalFileSystem(), self.path)
+            store.create_dir(place, recursive=True)
+            name, rows, out, sink = f"{place}/part-{uuid.uuid4().hex}.arrow", 0, None, None
             for batch in batches:
                 if sink is None:
-                    sink = (pa.ipc.new_stream if self.stream else pa.ipc.new_file)(name + ".tmp", batch.schema)
+                    out = store.open_output_stream(f"{name}.tmp")
+                    sink = (pa.ipc.new_stream if self.stream else pa.ipc.new_file)(out, batch.schema)
                 sink.write_batch(batch)
                 rows += batch.num_rows
             if sink is not None:
                 sink.close()
-                os.replace(name + ".tmp", name)
+                out.close()
+                store.move(f"{name}.tmp", name)
             return Written(name, rows)
 
     class ArrowIpc(DataSource):
@@ -88,5 +92,5 @@ def write_arrow(df: DataFrame, path: str, stream: bool = False) -> DataFrame:
 
     spark = df.sparkSession
     spark.dataSource.register(ArrowIpc)
-    df.write.format("arrow_ipc").mode("append").option("path", path.removeprefix("file://")).option("stream", str(stream).lower()).save()
+    df.write.format("arrow_ipc").mode("append").option("path", path).option("stream", str(stream).lower()).save()
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.arrow").load(path).select(F.col("path").alias("file"), F.col("length").alias("size"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Callable
 from functools import reduce
 
@@ -32,7 +33,7 @@ def scan_csv(spark: SparkSession, path: str, sep: str = ",", null_values: str |
     if skip_rows:
         lines = spark.read.text(path, wholetext=True).select(F.explode(F.slice(F.split(F.col("value"), "\r?\n"), skip_rows + 1, 2**31 - 1 - skip_rows)).alias("value")).where("value <> ''")
         header = lines.first()[0]
-        names = next(__import__("csv").reader([header], delimiter=sep))
+        names = next(csv.reader([header], delimiter=sep))
         kind = spark.createDataFrame([], schema).schema if isinstance(schema, str) else schema
         parsed = lines.where(F.col("value") != header).select(F.from_csv("value", ", ".join(f"{quoted(n)} string" for n in names), {"sep": sep}).alias("r")).select("r.*")
         out = parsed.select(*[F.col(quoted(n)).cast(kind[n].dataType if kind is not None else "string").alias(n) for n in names])

@@ -56,7 +56,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, as spark-submit --py-files would."""
+    """Send this package to the executors once per application, as spark-submit --py-files would.
+
+    Rows that reach Python here are whole texts, so Arrow batches are cut to 1,000 rows where the session
+    has Spark's default of 10,000.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     if spark.conf.get(_SHIPPED, None) == spark.sparkContext.applicationId:
         return
     root = Path(__file__).resolve().parent

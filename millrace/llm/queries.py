@@ -106,5 +106,23 @@ rate AS (SELECT source, (f + m * k) / (n + k) AS r FROM host CROSS JOIN prior)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND NOT coalesce(r > 0.5, false) AS kept, round(r, 6) AS host_rate
 FROM base LEFT JOIN rate USING (source)
+""",
+    "op7_jaccard_join": r"""
+WITH RECURSIVE d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+word AS (
+  SELECT doc_id, w, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS i, count(*) OVER (PARTITION BY doc_id) AS n
+  FROM (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS k
+        FROM (SELECT doc_id, regexp_split_to_array(t, '[\x20\x09-\x0D]+') AS ws FROM d))
+  WHERE w <> ''),
+gram AS (
+  SELECT doc_id, w || ' ' || lead(w, 1) OVER o || ' ' || lead(w, 2) OVER o || ' ' || lead(w, 3) OVER o AS g FROM word WHERE n >= 4 WINDOW o AS (PARTITION BY doc_id ORDER BY i)
+  UNION ALL SELECT doc_id, string_agg(w, ' ' ORDER BY i) FROM word WHERE n < 4 GROUP BY doc_id),
+member AS (SELECT DISTINCT doc_id, g FROM gram WHERE g IS NOT NULL),
+size AS (SELECT doc_id, count(*) AS n FROM member GROUP BY doc_id),
+link AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM member a JOIN member b ON a.g = b.g AND a.doc_id <> b.doc_id JOIN size x ON x.doc_id = a.doc_id JOIN size y ON y.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 85 * (x.n + y.n - count(*))),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, c.component_id FROM d LEFT JOIN size USING (doc_id) JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) c ON c.a = d.doc_id
 """,
 }

@@ -85,7 +85,11 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def ranges_of(text: bytes, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """first window, last window, anchor, hash of the gram, hash of all bytes of the windows."""
+    """first window, last window, anchor, hash of the gram, hash of all bytes of the windows, times, extent.
+
+    In periodic text the same range follows itself every few bytes. Such a row stands for all of them:
+    times says how many there are, extent how far the last one begins behind the first.
+    """
     found = []
     for base in range(0, len(text) - length + 1, PIECE):
         data = np.frombuffer(text[base : base + PIECE + length - 1], np.uint8)
@@ -98,10 +102,11 @@ def ranges_of(text: bytes, length: int, gram: int) -> tuple[np.ndarray, ...]:
         anchor = anchor[first]
         whole = mix(hashes.of(first, last + length) + (anchor - first).astype(np.uint64))
         found.append((first + base, last + base, anchor + base, grams[anchor].view(np.int64), whole.view(np.int64)))
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
-
-
-_TEXT_KEY = ("k1", "k2")
+    first, last, anchor, grams, whole = (np.concatenate(x) for x in zip(*found, strict=True))
+    again = (grams[1:] == grams[:-1]) & (whole[1:] == whole[:-1]) & (np.diff(last - first) == 0) & (np.diff(anchor - first) == 0)
+    start = np.flatnonzero(np.concatenate([[True], ~again]))
+    end = np.concatenate([start[1:], [len(first)]])
+    return first[start], last[start], anchor[start], grams[start], whole[start], end - start, first[end - 1] - first[start]
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -120,17 +125,17 @@ def _ranges(texts: DataFrame, length: int, gram: int, grams_only: bool) -> DataF
                         owner += [k] * len(found[-1][0])
                 if not found:
                     continue
-                first, last, anchor, gram_hash, whole = (np.concatenate(x) for x in zip(*found, strict=True))
+                first, last, anchor, gram_hash, whole, times, extent = (np.concatenate(x) for x in zip(*found, strict=True))
                 if grams_only:
-                    yield pa.RecordBatch.from_arrays([pa.array(gram_hash)], names=["g"])
+                    yield pa.RecordBatch.from_arrays([pa.array(gram_hash), pa.array(times)], names=["g", "times"])
                     continue
                 own = pa.array(owner, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(gram_hash), pa.array(whole), part.column("row").take(own), part.column("k1").take(own), part.column("k2").take(own), pa.array(first), pa.array((last - first).astype(np.int32)), pa.array((anchor - first).astype(np.int32))],
-                    names=["g", "w", "row", "k1", "k2", "first", "more", "off"],
+                    [pa.array(gram_hash), pa.array(whole), part.column("row").take(own), part.column("k1").take(own), part.column("k2").take(own), pa.array(first), pa.array((last - first).astype(np.int32)), pa.array((anchor - first).astype(np.int32)), pa.array(times), pa.array(extent)],
+                    names=["g", "w", "row", "k1", "k2", "first", "more", "off", "times", "extent"],
                 )
 
-    return texts.mapInArrow(run, "g long" if grams_only else "g long, w long, row long, k1 long, k2 int, first long, more int, off int")
+    return texts.mapInArrow(run, "g long, times long" if grams_only else "g long, w long, row long, k1 long, k2 int, first long, more int, off int, times long, extent long")
 
 
 def _contexts(texts: DataFrame, length: int) -> DataFrame:
@@ -215,38 +220,45 @@ def _split(length: int, gram: int, size: int):
     return run
 
 
-def repeated_windows(kinds: DataFrame, contexts: DataFrame, length: int, gram: int, group_rows: int) -> DataFrame:
+def _sizes(rows: DataFrame) -> DataFrame:
+    """Keys that rows of several kinds have, with how many rows; a kind that came twice, with a repeated row, is one."""
+    return rows.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("w").alias("a"), F.max("w").alias("b")).where("a <> b").select("key", "rows")
+
+
+def repeated_windows(kinds: DataFrame, mixed: DataFrame, contexts: DataFrame, length: int, gram: int, group_rows: int) -> DataFrame:
     """g, w, from, to: the bytes of each kind of range, counted from its first window, that repeat elsewhere."""
-    whole = kinds.where("n > 1").select("g", "w", F.lit(0).alias("from"), (F.col("more") + length).alias("to"))
-    first = 1 << (length - gram).bit_length()  # a block that holds all windows of an anchor
-    rows, size, found = contexts, first, whole
+    found = kinds.where("n > 1").select("g", "w", F.lit(0).alias("from"), (F.col("more") + length).alias("to"))
+    schema = "g long, w long, from int, to int"
+
+    def compared(rows: DataFrame) -> DataFrame:
+        return rows.repartition("key").sortWithinPartitions("key", "w").mapInArrow(_compare(length), schema)
+
+    if (mixed.agg(F.max("c")).first()[0] or 0) <= group_rows:
+        return found.unionByName(compared(contexts))
+    rows, size = materialize(contexts, "contexts"), 1 << (length - gram).bit_length()  # a block of this size holds all windows of an anchor
     while True:
-        sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+        sized = rows.join(_sizes(rows), "key")
         if size == 1:
-            return found.unionByName(rows.join(sizes, "key").select("g", "w", F.col("low").alias("from"), (F.col("low") + length).alias("to")))
-        most = sizes.agg(F.max("rows")).first()[0] or 0
-        if most <= group_rows:
-            near = rows if size == first else rows.join(sizes.select("key"), "key", "left_semi")
-            return found.unionByName(near.repartition("key").sortWithinPartitions("key", "w").mapInArrow(_compare(length), "g long, w long, from int, to int"))
-        sized = rows.join(sizes, "key")
-        near = sized.where(F.col("rows") <= group_rows).drop("rows").repartition("key").sortWithinPartitions("key", "w")
-        found = found.unionByName(near.mapInArrow(_compare(length), "g long, w long, from int, to int"))
+            return found.unionByName(sized.select("g", "w", F.col("low").alias("from"), (F.col("low") + length).alias("to")))
+        found = found.unionByName(compared(sized.where(F.col("rows") <= group_rows).drop("rows")))
         size //= 2
         rows = materialize(sized.where(F.col("rows") > group_rows).select(*[f.name for f in _UNIT_SCHEMA]).mapInArrow(_split(length, gram, size), _UNIT), "blocks")
+        if rows.isEmpty():
+            return found
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, group_rows: int = GROUP_ROWS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
     texts = _keyed(docs, id_col, text_col)
     long = texts.where(F.octet_length("text") >= length)
-    shared = _ranges(long.select("text"), length, gram, True).groupBy("g").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("g")
+    shared = _ranges(long.select("text"), length, gram, True).groupBy("g").agg(F.sum("times").alias("c")).where("c > 1").select("g")
     ranges = materialize(_ranges(long.select("row", "k1", "k2", "text"), length, gram, False).join(shared, "g"), "ranges")
-    kinds = materialize(ranges.groupBy("g", "w").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "k1", "k2", "first", "more", "off")).alias("x")).select("g", "w", "n", "x.*"), "kinds")
-    mixed = kinds.groupBy("g").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("m")).where("c > 1 and m = 1").select("g")
-    wanted = kinds.join(mixed, "g").groupBy("row", "k1", "k2").agg(F.collect_list(F.struct("g", "w", "first", "more", "off")).alias("wanted"))
-    contexts = materialize(_contexts(long.select("row", "k1", "k2", "text").join(wanted, ["row", "k1", "k2"]).select("text", "wanted"), length).dropDuplicates(["g", "w"]), "contexts")
-    found = repeated_windows(kinds, contexts, length, gram, group_rows)
-    spans = ranges.join(found, ["g", "w"]).select("k1", "k2", F.struct((F.col("first") + F.col("from")).alias("a"), (F.col("first") + F.col("to")).alias("b")).alias("s"))
+    kinds = materialize(ranges.groupBy("g", "w").agg(F.sum("times").alias("n"), F.min(F.struct("row", "k1", "k2", "first", "more", "off")).alias("x")).select("g", "w", "n", "x.*"), "kinds")
+    mixed = kinds.groupBy("g").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("m")).where("c > 1 and m = 1").select("g", "c")
+    wanted = kinds.join(mixed.select("g"), "g").groupBy("row", "k1", "k2").agg(F.collect_list(F.struct("g", "w", "first", "more", "off")).alias("wanted"))
+    contexts = _contexts(long.select("row", "k1", "k2", "text").join(wanted, ["row", "k1", "k2"]).select("text", "wanted"), length)
+    found = repeated_windows(kinds, mixed, contexts, length, gram, group_rows)
+    spans = ranges.join(found, ["g", "w"]).select("k1", "k2", F.struct((F.col("first") + F.col("from")).alias("a"), (F.col("first") + F.col("extent") + F.col("to")).alias("b")).alias("s"))
     spans = materialize(spans.groupBy("k1", "k2").agg(F.sort_array(F.collect_set("s")).alias("spans")), "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -191,7 +191,7 @@ def test_repeats_equal_brute_force(spark):
     rnd = random.Random(2)
     base = ["".join(rnd.choice("abc é") for _ in range(120)) for _ in range(6)]
     texts = ["".join(rnd.choice(base)[rnd.randint(0, 40) : rnd.randint(60, 120)] + "".join(rnd.choice("abc é") for _ in range(rnd.randint(0, 6))) for _ in range(rnd.randint(0, 5))) for _ in range(80)]
-    texts += ["a" * 200, "ab" * 90, "", texts[5], texts[5]]
+    texts += ["a" * 200, "ab" * 90, "x" + "abc d" * 60 + "y", "z" * 41, "", texts[5], texts[5]]
     raw = [t.encode() for t in texts]
     seen = collections.Counter(b[i : i + 40] for b in raw for i in range(len(b) - 39))
     wanted = {}

@@ -91,7 +91,7 @@ def describe(docs: DataFrame, id_col: str, text_col: str, size: int, percent: in
 
 def prefixes(sets: DataFrame, percent: int) -> DataFrame:
     """cls, n, asked (shared members asked for) and prefix of every class that may have a partner."""
-    useful = sets.where(f"100 * (n - 1) >= {percent} * n")  # smaller sets reach the threshold with equal ones only
+    useful = sets.where(f"100 * n >= {percent} * (n + 1)")  # smaller sets don't reach the threshold with a superset of one more member either
     members = useful.select("cls", "n", F.size("low").alias("c"), F.explode("low").alias("h"), F.lit(0).alias("kind")).union(
         useful.where("size(extra) > 0").select("cls", "n", F.size("low"), F.explode("extra"), F.lit(1))
     )

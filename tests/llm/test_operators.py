@@ -139,6 +139,24 @@ def test_jaccard_equals_brute_force(spark, block):
     assert got == {i: (len(sets[i]), find(i)) for i in range(len(texts))}
 
 
+@pytest.mark.parametrize("size, percent", [(4, 85), (5, 80)])
+def test_small_sets_link_to_their_extensions(spark, size, percent):
+    texts = []
+    for n in range(1, 13):
+        for before, after in ((0, 1), (1, 0), (1, 1)):
+            words = [f"t{len(texts)}x{k}" for k in range(n)]
+            texts += [" ".join(words), " ".join(["new"] * before + words + ["more"] * after)]
+    sets = [_sets(t, size) for t in texts]
+    wanted = {}
+    for i, (a, b) in enumerate(zip(sets[::2], sets[1::2], strict=True)):
+        linked = 100 * len(a & b) >= percent * len(a | b)
+        wanted |= {2 * i: (len(a), 2 * i), 2 * i + 1: (len(b), 2 * i if linked else 2 * i + 1)}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(frame(spark, enumerate(texts)), size=size, percent=percent).collect()}
+    assert got == wanted
+    kept = {r.doc_id for r in jaccard.keep_one(frame(spark, enumerate(texts)), size=size, percent=percent).collect()}
+    assert kept == {i for i, (_, c) in wanted.items() if i == c}
+
+
 def test_components(spark):
     rnd = random.Random(2)
     edges = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1040)]

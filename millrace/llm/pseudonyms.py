@@ -35,6 +35,7 @@ _DAYS = datetime.date(2099, 12, 31).toordinal() - _FIRST_DAY + 1
 
 _START = re.compile(r"\+?[0-9]")
 _DIGITS = re.compile(r"\+?[0-9]+")
+_SEPARATOR = re.compile(r"[ -]")
 _NUMBER = re.compile(
     r"(?<![0-9A-Za-z_])(?:"
     r"(?P<phone>\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4})"
@@ -42,8 +43,11 @@ _NUMBER = re.compile(
     r"|(?P<ip>(?<![0-9A-Za-z_]\.)[0-9]{1,3}(?:\.[0-9]{1,3}){3})(?!\.[0-9])"
     r"|(?P<ssn>[0-9]{3}-[0-9]{2}-[0-9]{4})"
     r"|(?P<card>[0-9](?:[ -]?[0-9]){12,18})"
-    r")(?![0-9A-Za-z_])"
+    r")(?:(?![0-9A-Za-z_])|(?(date)(?<=-[0-9]{2})(?=[Tt][0-9])|(?!)))"
 )
+_CARD = re.compile(r"[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z_])")
+#: How cards are usually written: in one run, or in groups of 4-4-4-4, 4-6-5 and the like.
+_CARD_SHAPE = re.compile(r"[2-6](?:[0-9]{12,18}|[0-9]{3}([ -])(?:[0-9]{4}\1){2}(?:[0-9]{1,4}|[0-9]{4}\1[0-9]{1,3})|[0-9]{3}([ -])[0-9]{6}\2[0-9]{4,5})")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]{1,64}$")
 _DOMAIN = re.compile(r"(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,}")
 _IBAN = re.compile(r"(?<![0-9A-Za-z_])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![0-9A-Za-z_])")
@@ -116,6 +120,22 @@ def _luhn_digit(digits: str) -> str:
     return str(-total % 10)
 
 
+def _is_card(digits: str) -> bool:
+    return len(digits) >= 13 and _luhn_digit(digits[:-1]) == digits[-1] and len(set(digits)) > 1
+
+
+def _card_ends(text: str, start: int) -> list[tuple[bool, int, int]]:
+    """(usual shape, digits, end) of every valid card number from start to the end of a digit run, the best first."""
+    m, out = _CARD.match(text, start), []
+    end = m.end() if m else -1
+    while end > start:
+        digits = text[start:end].replace(" ", "").replace("-", "")
+        if _is_card(digits):
+            out.append((_CARD_SHAPE.fullmatch(text, start, end) is not None, len(digits), end))
+        end = max(text.rfind(" ", start, end), text.rfind("-", start, end))
+    return sorted(out, reverse=True)
+
+
 def _refill(shape: str, digits: str) -> str:
     """shape with its digits replaced in order."""
     rest = iter(digits)
@@ -139,11 +159,21 @@ class Pseudonymizer:
 
     def card(self, text: str) -> str | None:
         digits = "".join(c for c in text if c.isdigit())
-        if _luhn_digit(digits[:-1]) != digits[-1] or len(set(digits)) == 1:
+        if not _is_card(digits):
             return None
         body = self.feistel.symbols(digits[:-1], b"card")
         return _refill(text, body + _luhn_digit(body))
 
+    def card_end(self, text: str, start: int) -> int | None:
+        """Where the card number that begins at start ends: of the valid ones a usual shape, then the longest; None where a usual shape begins inside all of them."""
+        ends = _card_ends(text, start)
+        if ends and not ends[0][0]:
+            for at in [m.end() for m in _SEPARATOR.finditer(text, start, max(end for _, _, end in ends))]:
+                if any(usual for usual, *_ in _card_ends(text, at)):
+                    ends = [x for x in ends if x[2] < at]
+                    break
+        return ends[0][2] if ends else None
+
     def ip(self, text: str) -> str | None:
         parts = text.split(".")
         if any(int(p) > 255 or (len(p) > 1 and p[0] == "0") for p in parts):
@@ -203,16 +233,22 @@ class Pseudonymizer:
             if local and domain and any(c.isalnum() for c in local[0]):
                 found.append((local.start(), domain.end(), "email", self.email(local[0]) + "@" + domain[0]))
             at = text.find("@", at + 1)
+        masked, done = [], 0
         for m in _IBAN.finditer(text) if _MAY_IBAN.search(text) else ():
             if new := self.iban(m[0]):
                 found.append((m.start(), m.end(), "iban", new))
-        pos = 0
-        while m := _START.search(text, pos):
-            pos = _DIGITS.match(text, m.start()).end()
-            if number := _NUMBER.match(text, m.start()):
-                if new := getattr(self, number.lastgroup)(number[0]):
-                    found.append((number.start(), number.end(), number.lastgroup, new))
-                    pos = number.end()
+                masked += [text[done : m.start()], "x" * len(m[0])]
+                done = m.end()
+        rest, pos = "".join([*masked, text[done:]]), 0  # without IBANs, so that no other number reaches into one
+        while m := _START.search(rest, pos):
+            pos = _DIGITS.match(rest, m.start()).end()
+            if number := _NUMBER.match(rest, m.start()):
+                kind, end = number.lastgroup, number.end()
+                if kind == "card":
+                    end = self.card_end(rest, m.start())
+                if end and (new := getattr(self, kind)(rest[m.start() : end])):
+                    found.append((m.start(), end, kind, new))
+                    pos = end
         kept: list[tuple[int, int, str, str]] = []
         for x in sorted(found, key=lambda x: (x[0], -x[1])):
             if not kept or x[0] >= kept[-1][1]:

@@ -192,6 +192,21 @@ def test_feistel_is_a_permutation_and_keeps_formats():
         assert p.replace(kept) == (kept, [])
 
 
+def test_cards_beside_numbers_and_dates_in_timestamps():
+    p = pseudonyms.pseudonymizer(b"key")
+    for card in ("4111111111111111", "4111 1111 1111 1111", "5500-0000-0000-0004", "3782 822463 10005", "4222222222222"):
+        new = p.card(card)
+        for before, after in (("", " 12/25"), ("", " 123"), ("", " 2, 3"), ("", " 12/25 123"), ("", "-7"), ("12 ", ""), ("7 ", " 12/25"), ("12 34 ", " 5 6 7"), ("on 2024-01-15 ", " 10")):
+            got, spans = p.replace(f"{before}{card}{after}")
+            assert (card not in got) and [(k, got[a:b]) for a, b, k, _ in spans if k == "card"] == [("card", new)], (before, card, after)
+    for text in ("2024-01-15T10:00:00Z", "2024-01-15T10:00", "at 2024-01-15t10:00:00.5+02:00."):
+        got, spans = p.replace(text)
+        at = text.index("2024")
+        assert [(a, b, k) for a, b, k, _ in spans] == [(at, at + 10, "date")] and got == text.replace("2024-01-15", p.date("2024-01-15"))
+    for kept in ("2024-01-15Total", "2024-01-15x", "1234567812345678 12", "4111111111111112 2"):
+        assert p.replace(kept) == (kept, [])
+
+
 def test_substituted_benchmark_passages_are_found():
     rnd = random.Random(5)
     items = [" ".join(f"t{rnd.randrange(5000)}" for _ in range(rnd.randint(15, 50))) for _ in range(40)]

@@ -82,10 +82,12 @@ class NoticeFinder:
         found = []
         for n, runs in windows.items():
             for low, high in runs:
-                at = low
-                while m := self.fuzzy[n].search(text, at, min(high, len(text))):
-                    found.append((m.start(), m.end(), n, sum(m.fuzzy_counts)))
-                    at = max(m.end(), at + 1)
+                todo = [(low, min(high, len(text)))]
+                while todo:  # search() gives the best match of the whole range, so both sides of it are left
+                    a, b = todo.pop()
+                    if m := self.fuzzy[n].search(text, a, b):
+                        found.append((m.start(), m.end(), n, sum(m.fuzzy_counts)))
+                        todo += [(m.end(), b), (a, m.start())]
         kept: list[tuple[int, int, int, int]] = []
         for x in sorted(found, key=lambda x: (x[3], x[0] - x[1], x)):
             if all(x[1] <= y[0] or y[1] <= x[0] for y in kept):

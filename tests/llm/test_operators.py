@@ -105,6 +105,18 @@ def test_notices_with_edits_are_found():
     assert (row["n_base"], row["first_word"], row["last_word"], row["base_labels"], row["n_words"]) == (3, 2, 9, "cc-by,gpl,reserved", 12)
 
 
+def test_neighbouring_notices_are_all_found():
+    worse, best = "released undxr the mit license", "released under the mit license"
+    for parts in ([worse, best], [best, worse], [worse, worse, best, worse], [worse, "of x", best, worse, best]):
+        row, at, wanted = licenses.scan(" ".join(parts).encode()), 0, []
+        for part in parts:
+            n = part.count(" ") + 1
+            if n == 5:
+                wanted.append(f"mit:{at}:{at + n}:{int(part == worse)}")
+            at += n
+        assert row["notices"] == ",".join(wanted), parts
+
+
 def _sets(text, size):
     words = [w for w in re.split(r"[\x20\x09-\x0D]+", (text or "").lower()) if w]
     return frozenset([tuple(words[i : i + size]) for i in range(len(words) - size + 1)] if len(words) >= size else [tuple(words)] if words else [])

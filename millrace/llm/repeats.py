@@ -248,7 +248,11 @@ def repeated_windows(kinds: DataFrame, mixed: DataFrame, contexts: DataFrame, le
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and text of every document.
+
+    text is what is left, to be written in place of the old text. Where a removed string begins or ends
+    inside a character, the bytes left of that character count in kept_sha256 but not in text.
+    """
     texts = _keyed(docs, id_col, text_col)
     long = texts.where(F.octet_length("text") >= length)
     shared = _ranges(long.select("text"), length, gram, True).groupBy("g").agg(F.sum("times").alias("c")).where("c > 1").select("g")
@@ -263,7 +267,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            removed, runs, kept = [], [], []
+            removed, runs, kept, left = [], [], [], []
             for text, cuts in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("spans").to_pylist(), strict=True):
                 parts, at, total, count = [], 0, 0, 0
                 begin = end = None
@@ -279,9 +283,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 parts.append(text[at:])
                 removed.append(total)
                 runs.append(count)
-                kept.append(hashlib.sha256(b"".join(parts)).hexdigest())
+                rest = b"".join(parts)
+                kept.append(hashlib.sha256(rest).hexdigest())
+                left.append(rest.decode(errors="ignore"))
             sizes = [len(t) for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.string()), pa.array(left, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"])
 
     joined = texts.select("doc_id", "k1", "k2", "text").join(spans, ["k1", "k2"], "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")

@@ -246,7 +246,8 @@ def test_repeats_equal_brute_force(spark):
             if seen[b[i : i + 40]] > 1:
                 marks[i : i + 40] = b"\1" * 40
         runs = sum(1 for i in range(len(b)) if marks[i] and (i == 0 or not marks[i - 1]))
-        wanted[k] = (len(b), sum(marks), runs, hashlib.sha256(bytes(c for c, m in zip(b, marks) if not m)).hexdigest())
+        left = bytes(c for c, m in zip(b, marks) if not m)
+        wanted[k] = (len(b), sum(marks), runs, hashlib.sha256(left).hexdigest(), left.decode(errors="ignore"))
     for rows in (5000, 3):
         got = {r[0]: tuple(r)[1:] for r in repeats.remove_repeats(frame(spark, enumerate(texts)), length=40, gram=8, group_rows=rows).collect()}
         assert got == wanted

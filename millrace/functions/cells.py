@@ -133,22 +133,34 @@ def date_literal(text: str) -> Column:
 
 
 # Words that name neither columns nor tables.
-RESERVED = frozenset(
-    "ACCESS ADD ALL ALTER AND ANY AS ASC AUDIT BETWEEN BY CHAR CHECK CLUSTER COLUMN COMMENT COMPRESS CONNECT CREATE CURRENT DATE DECIMAL DEFAULT DELETE DESC DISTINCT DROP ELSE EXISTS "
-    "FILE FLOAT FOR FROM GRANT GROUP HAVING IDENTIFIED IN INDEX INSERT INTEGER INTERSECT INTO IS LEVEL LIKE LOCK LONG MODE NOT NULL NUMBER OF ON OPTION OR ORDER PRIOR PUBLIC RAW RENAME "
-    "RESOURCE ROW ROWID ROWS SELECT SESSION SET SIZE START SYNONYM TABLE THEN TO TRIGGER UID UNION UNIQUE UPDATE USER VALUES VARCHAR VIEW WHERE WITH".split()
-)
+RESERVED = frozenset({
+    "SELECT", "FROM", "WHERE", "AND", "OR", "NOT", "IN", "IS", "AS", "HAVING", "ORDER", "GROUP", "BY", "DISTINCT", "ALL", "ANY", "UNION", "INTERSECT", "MINUS", "EXCEPT",
+    "CREATE", "ALTER", "DROP", "TRUNCATE", "RENAME", "COMMENT", "TABLE", "VIEW", "INDEX", "SYNONYM", "SEQUENCE", "TRIGGER", "PROCEDURE", "FUNCTION", "PACKAGE", "TYPE", "CLUSTER",
+    "INSERT", "INTO", "VALUES", "UPDATE", "SET", "DELETE", "MERGE",
+    "JOIN", "INNER", "LEFT", "RIGHT", "OUTER", "FULL", "CROSS", "NATURAL", "USING", "ON", "EXISTS", "WITH",
+    "COMMIT", "ROLLBACK", "SAVEPOINT", "GRANT", "REVOKE", "START", "CONNECT", "RESOURCE", "PUBLIC", "IDENTIFIED",
+    "NULL", "TRUE", "FALSE", "ROWID", "ROWNUM", "LEVEL",
+})
+_BORDER = re.compile(r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])")
 
 
 def snake_name(name: str, suffix: str = "_COL", reserved: frozenset = RESERVED, max_len: int = 128) -> str:
-    """camelCase and digit borders split, other characters to _, upper case, no leading digit, no reserved word."""
-    parts = re.sub(r"([a-z0-9])([A-Z])|([A-Z])(?=[A-Z][a-z])", lambda m: f"{m[1]}_{m[2]}" if m[1] else f"{m[3]}_", name)
-    plain = re.sub(r"_+", "_", re.sub(r"\W", "_", parts)).strip("_").upper() or "C"
+    """Words parted where a capital follows a small letter or a digit meets a letter, other characters to _, in upper case.
+
+    A leading digit gets C_ before it and a reserved word the suffix (_TBL for tables), which a cut to
+    max_len keeps; nothing at all is named like the suffix.
+    """
+    plain = re.sub(r"[^A-Za-z0-9_]+", "_", _BORDER.sub("_", name.strip())).strip("_").upper()
+    if not plain:
+        return suffix.strip("_")
     if plain[0].isdigit():
         plain = f"C_{plain}"
     if plain in reserved:
-        plain = plain[: max_len - len(suffix)] + suffix
-    return plain[:max_len].rstrip("_")
+        plain += suffix
+    if len(plain) <= max_len:
+        return plain
+    end = suffix if plain.endswith(suffix) else ""
+    return plain[: max_len - len(end)].rstrip("_") + end
 
 
 def snake_columns(df: DataFrame, reserved: frozenset = RESERVED, max_len: int = 128) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.operators import aggregates, joins, reshape, rows, windows
-from millrace.types import CRM_FIELDS, CRM_TYPES, EXCLUDED_CRM_TYPES, ORACLE_COLUMNS, ORACLE_TYPES, oracle_column, outside_name, outside_type, promote, spark_type, type_id, union_promoted
+from millrace.types import CRM_FIELDS, CRM_TYPES, EXCLUDED_CRM_TYPES, ORACLE_COLUMNS, ORACLE_TYPES, oracle_column, outside_type, promote, spark_type, type_id, union_promoted
 
 
 def D(day, hour=0):
@@ -145,12 +145,15 @@ def test_unique_and_equality(spark):
 
 
 def test_promotion():
-    ids = ["null", "bool", "int8", "int16", "int32", "int64", "uint8", "uint16", "uint32", "uint64", "float32", "float64", "string", "large_string", "decimal128", "date32", "timestamp_us", "timestamp_ns", "binary", "large_binary"]
+    ids = list(ORACLE_COLUMNS)
     for a in ids:
         for b in ids:
             assert promote(a, b) == promote(b, a), (a, b)
         assert promote(a, a) == a and promote("null", a) == a
     fixed = {("int8", "int32"): "int32", ("uint8", "int8"): "int16", ("uint32", "int8"): "int64", ("int64", "float32"): "float64", ("float32", "float64"): "float64", ("decimal128", "int32"): "decimal128", ("bool", "int8"): "int8", ("timestamp_us", "timestamp_ns"): "timestamp_ns", ("binary", "large_binary"): "large_binary", ("date32", "int8"): "large_string", ("string", "large_string"): "large_string"}
+    fixed |= {("uint8", "int32"): "int64", ("int64", "uint64"): "int64", ("decimal256", "decimal128"): "decimal128", ("decimal128", "bool"): "decimal128", ("date64", "timestamp_s"): "timestamp_s", ("date32", "date64"): "date64"}
+    fixed |= {("string", "uuid"): "string", ("string", "json"): "json", ("utf8", "string_view"): "utf8", ("dictionary", "uuid"): "dictionary", ("bool", "json"): "json", ("bool", "float64"): "float64"}
+    fixed |= {("bool", x): "large_string" for x in ("date32", "timestamp_us", "binary", "list", "time64_us")} | {("int8", "string"): "large_string", ("time32_s", "time64_us"): "large_string", ("list", "large_list"): "large_string", ("binary", "string"): "large_string"}
     for (a, b), wanted in fixed.items():
         assert promote(a, b) == wanted
     for name in ("bool", "int8", "int64", "float64", "string", "binary", "date32", "decimal128"):
@@ -201,5 +204,5 @@ def test_outside_types():
     assert all(outside_type(t, CRM_TYPES) is None for t in EXCLUDED_CRM_TYPES)
     for known in (ORACLE_TYPES, CRM_TYPES):
         for t in known.values():
-            assert spark_type(t) is not None and outside_name(t, ORACLE_COLUMNS) and outside_name(t, CRM_FIELDS)
+            assert spark_type(t) is not None and ORACLE_COLUMNS[t] and CRM_FIELDS[t]
     assert [oracle_column("string", 120), oracle_column("utf8", 10000), oracle_column("string"), oracle_column("decimal128", precision=10, scale=2), oracle_column("timestamp_us", timezone="UTC"), oracle_column("bool")] == ["VARCHAR2(120 CHAR)", "CLOB", "VARCHAR2(4000 CHAR)", "NUMBER(10, 2)", "TIMESTAMP WITH TIME ZONE", "NUMBER(1, 0)"]

@@ -32,7 +32,8 @@ def test_normalize_and_parse(spark):
 
 
 def test_names_and_checks(spark):
-    assert [cells.snake_name(n) for n in ("accountName", "HTTPStatus2Code", "2nd", "order", "a  b!")] == ["ACCOUNT_NAME", "HTTP_STATUS2_CODE", "C_2ND", "ORDER_COL", "A_B"]
+    assert [cells.snake_name(n) for n in ("accountName", "HTTPStatus2Code", "Address1Line", "2nd", "order", "a  b!", " ", "a__b", "date", "size")] == ["ACCOUNT_NAME", "HTTPSTATUS_2_CODE", "ADDRESS_1_LINE", "C_2_ND", "ORDER_COL", "A_B", "COL", "A__B", "DATE", "SIZE"]
+    assert [cells.snake_name("minus", "_TBL"), cells.snake_name("joinedOrders", max_len=7), cells.snake_name("procedure", max_len=9)] == ["MINUS_TBL", "JOINED", "PROCE_COL"]
     with pytest.raises(ValueError):
         cells.snake_columns(spark.createDataFrame([(1, 2)], "`a b` int, a_b int"))
     ok, bad = cells.enforce_not_null(spark.createDataFrame([(1, None), (2, "x")], "k int, v string"), ["k", "v"])

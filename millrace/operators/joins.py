@@ -5,12 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.operators.rows import carry
+from millrace.operators.rows import carry, has_large_group
 from millrace.types import quoted
 
-#: Rows of one key that one task should walk at most.
-LARGE_GROUP = 5_000_000
-
 _KINDS = {
     "inner": "inner", "left": "left", "left outer": "left", "right": "right", "right outer": "right", "full": "full", "full outer": "full", "outer": "full",
     "left semi": "left_semi", "semi": "left_semi", "left anti": "left_anti", "anti": "left_anti", "right semi": "right_semi", "right anti": "right_anti", "cross": "cross",
@@ -85,7 +82,7 @@ def join_asof(left: DataFrame, right: DataFrame, on: str, by: list[str] | str =
     """For each left row the nearest right row by `on`, within equal `by` keys.
 
     Both sides go into one ordered stream per key, in which the last (or next) right row is carried
-    along, so there is one shuffle and no pairs. Where a key has more than LARGE_GROUP rows, or there
+    along, so there is one shuffle and no pairs. Where a key has more than rows.LARGE_GROUP rows, or there
     are no keys (or spread says so), the stream is cut into ranges that pass on what they carry. Equal values match; among equal right values the last
     by all its columns is taken; nearest takes the earlier on equal gaps. tolerance: an interval as
     text for times, a number else. Rows with a null in `on` or `by` match nothing.
@@ -104,8 +101,7 @@ def join_asof(left: DataFrame, right: DataFrame, on: str, by: list[str] | str =
     orders = {"_before": [F.col("_t"), F.col("_side"), F.col("_r")], "_after": [F.col("_t"), F.col("_side").desc(), F.col("_r").desc()]}
     wanted = [n for n in orders if strategy not in ("backward" if n == "_after" else "forward",)]
     if by and spread is None:
-        largest = both.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-        spread = largest > LARGE_GROUP
+        spread = has_large_group(both, keys)
     for name in wanted:
         onward = name == "_before"
         if spread or not by:

@@ -13,12 +13,18 @@ from millrace.operators.windows import fill_forward
 from millrace.types import promote_types, quoted
 
 
-def pivot(df: DataFrame, on: list[str] | str, index: list[str] | str, values: list[str] | str, agg: str = "first", separator: str = "_", sort_columns: bool = True, order_by: str | None = None) -> DataFrame:
-    """One column for each value of `on` (several joined by the separator) and each values column."""
+#: New columns that a pivot may make; more are an error, since each is a column of the plan.
+MOST_PIVOTED = 10_000
+
+
+def pivot(df: DataFrame, on: list[str] | str, index: list[str] | str, values: list[str] | str, agg: str = "first", separator: str = "_", sort_columns: bool = True, order_by: str | None = None, most_columns: int = MOST_PIVOTED) -> DataFrame:
+    """One column for each value of `on` (several joined by the separator) and each values column; more than most_columns are an error."""
     on, index, values = ([x] if isinstance(x, str) else list(x) for x in (on, index, values))
     name = F.concat_ws(separator, *[F.coalesce(F.col(quoted(c)).cast("string"), F.lit("null")) for c in on])
     keyed = df.withColumn("_on", name)
-    found = [r[0] for r in keyed.select("_on").distinct().collect()]  # column names of the result
+    found = [r[0] for r in keyed.select("_on").distinct().limit(most_columns // len(values) + 1).collect()]  # column names of the result
+    if len(found) * len(values) > most_columns:
+        raise ValueError(f"the pivot would make more than {most_columns} columns")
     if sort_columns:
         found.sort()
     order = None if order_by is None else F.col(quoted(order_by))

@@ -117,19 +117,26 @@ def hstack(a: DataFrame, b: DataFrame, order_a: list[str] | str, order_b: list[s
 
 
 def unique(df: DataFrame, subset: list[str] | None = None, keep: str = "any", order_by: list[str] | str | None = None) -> DataFrame:
-    """Distinct rows by subset: any, first or last in an order, or none of those that repeat."""
+    """Distinct rows by subset: any, first or last in an order, or none of those that repeat.
+
+    Each is an aggregate with a partial step before the shuffle, so a key of any size is one row a task.
+    A null in the order comes last.
+    """
     keys = subset or df.columns
     if keep == "any":
         return df.dropDuplicates(keys)
-    window = Window.partitionBy(*[F.col(quoted(c)) for c in keys])
+    row = F.struct(*[F.col(quoted(c)) for c in df.columns])
     if keep == "none":
-        return df.withColumn("_n", F.count(F.lit(1)).over(window)).where("_n = 1").drop("_n")
-    if keep not in ("first", "last"):
+        picked, alone = F.any_value(row), F.count(F.lit(1)) == 1
+    elif keep in ("first", "last"):
+        if order_by is None:
+            raise ValueError("first and last need an order")
+        place = F.struct(*[x for c in ([order_by] if isinstance(order_by, str) else order_by) for x in (F.col(quoted(c)).isNull(), F.col(quoted(c)))])
+        picked, alone = (F.min_by if keep == "first" else F.max_by)(row, place), F.lit(True)
+    else:
         raise ValueError(f"unknown keep {keep!r}")
-    if order_by is None:
-        raise ValueError("first and last need an order")
-    order = sort_keys(order_by) if keep == "first" else sort_keys(order_by, True, False)
-    return df.withColumn("_n", F.row_number().over(window.orderBy(*order))).where("_n = 1").drop("_n")
+    found = df.groupBy(*[F.col(quoted(c)).alias(f"_k{i}") for i, c in enumerate(keys)]).agg(picked.alias("_row"), alone.alias("_alone"))
+    return found.where("_alone").select("_row.*")
 
 
 def latest_per_key(df: DataFrame, keys: list[str], order_by: list[str] | str) -> DataFrame:
@@ -196,6 +203,16 @@ def cast(df: DataFrame, kinds: dict[str, T.DataType | str] | T.StructType, stric
     return df.select(*[one(c) for c in df.columns])
 
 
+#: Rows of one key that one task should walk at most.
+LARGE_GROUP = 5_000_000
+
+
+def has_large_group(df: DataFrame, by: list[str], most: int | None = None) -> bool:
+    """Whether a key has more rows than one task should walk: counted with a partial step, one number reaches the driver."""
+    largest = df.groupBy(*[F.col(quoted(c)) for c in by]).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    return largest > (LARGE_GROUP if most is None else most)
+
+
 def carry(df: DataFrame, by: list[str], order: list[Column], values: dict[str, Column], onward: bool = True) -> DataFrame:
     """Adds for each value its last non-null one at or before the row (onward false: its first one at or after it), per key.
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.operators.rows import carry, sort_keys, with_row_index
+from millrace.operators.rows import carry, has_large_group, sort_keys, with_row_index
 from millrace.types import quoted
 
 # Microseconds in the units of fixed length, and months in those of the calendar.
@@ -37,11 +37,15 @@ def _number(df: DataFrame, index: str) -> tuple[Column, bool]:
     return (micros(F.col(quoted(index))) if timed else F.col(quoted(index)).cast("long")), timed
 
 
-def rolling(df: DataFrame, index: str, period: str | int, aggs: dict[str, Column], offset: str | int | None = None, closed: str = "right", by: list[str] = ()) -> DataFrame:
+def rolling(df: DataFrame, index: str, period: str | int, aggs: dict[str, Column], offset: str | int | None = None, closed: str = "right", by: list[str] = (), spread: bool | None = None) -> DataFrame:
     """For each row aggregates over the rows of its group whose index lies in a window that ends at the row.
 
     The window is (t + offset, t + offset + period] and, by default, offset is minus the period; closed
     says which ends belong to it. Indexes are moments (durations of fixed length) or integers.
+
+    Where a key has more than rows.LARGE_GROUP rows, or there are no keys (or spread says so), time is cut
+    into buckets as long as the period: a window reaches into two of them, so every row goes to its own
+    bucket and the one before, and no task holds more of a key than two periods.
     """
     value, timed = _number(df, index)
 
@@ -58,8 +62,19 @@ def rolling(df: DataFrame, index: str, period: str | int, aggs: dict[str, Column
     high = low + size
     if closed not in ("left", "right", "both", "none"):
         raise ValueError(f"unknown closed {closed!r}")
-    window = Window.partitionBy(*[F.col(quoted(c)) for c in by]).orderBy("_t").rangeBetween(low + (closed in ("right", "none")), high - (closed in ("left", "none")))
-    return df.withColumn("_t", value).withColumns({n: e.over(window) for n, e in aggs.items()}).drop("_t")
+    keys = [F.col(quoted(c)) for c in by]
+    frame = (low + (closed in ("right", "none")), high - (closed in ("left", "none")))
+    if not (spread if spread is not None else not by or has_large_group(df, by)):
+        window = Window.partitionBy(*keys).orderBy("_t").rangeBetween(*frame)
+        return df.withColumn("_t", value).withColumns({n: e.over(window) for n, e in aggs.items()}).drop("_t")
+    width = max(1, size)
+    timed_rows = df.withColumn("_t", value)
+    # the row's own window begins in bucket _own; a row at t is needed by windows that begin in bucket(t) or the one before
+    placed = timed_rows.withColumns({"_own": F.floor((F.col("_t") + low) / F.lit(width)), "_at": F.floor(F.col("_t") / F.lit(width))})
+    copies = placed.withColumn("_b", F.explode(F.array_distinct(F.array(F.coalesce("_own", F.lit(0)), *[F.coalesce("_at", F.lit(0)) - k for k in (0, 1)]))))
+    window = Window.partitionBy(*keys, "_b").orderBy("_t").rangeBetween(*frame)
+    out = copies.withColumns({n: e.over(window) for n, e in aggs.items()})
+    return out.where(F.col("_b") == F.coalesce("_own", F.lit(0))).drop("_t", "_own", "_at", "_b")
 
 
 def group_by_dynamic(
@@ -127,37 +142,46 @@ def group_by_dynamic(
     return out.select(*keys, *edges, shown(named).alias(index), *[F.col(quoted(n)) for n in aggs])
 
 
-def shift(df: DataFrame, n: int, order_by: list[str] | str, fill=None, columns: list[str] | None = None, by: list[str] = ()) -> DataFrame:
+def _keys_equal(by: list[str]) -> list[Column]:
+    return [F.col(quoted(c)).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(by)]
+
+
+def shift(df: DataFrame, n: int, order_by: list[str] | str, fill=None, columns: list[str] | None = None, by: list[str] = (), spread: bool | None = None) -> DataFrame:
     """Columns moved n rows down (up for negative n); rows that come free get the fill value.
 
-    Without `by` rows get global numbers and meet the row n before them by a join, so no task walks the table.
+    Where a key has more than rows.LARGE_GROUP rows, or there are no keys (or spread says so), rows get global numbers by key and
+    order and meet the row n before them by a join, so no task walks a whole key.
     """
     order = [order_by] if isinstance(order_by, str) else list(order_by)
     moved = columns or [c for c in df.columns if c not in order and c not in by]
-    if by:
+    if not (spread if spread is not None else not by or has_large_group(df, by)):
         window = Window.partitionBy(*[F.col(quoted(c)) for c in by]).orderBy(*sort_keys(order))
         move = F.lag if n >= 0 else F.lead
         return df.withColumns({c: move(F.col(quoted(c)), abs(n), fill).over(window) for c in moved})
-    numbered = with_row_index(df, order, "_i")
-    source = numbered.select((F.col("_i") + n).alias("_j"), *[F.col(quoted(c)).alias(f"_m{k}") for k, c in enumerate(moved)])
-    joined = numbered.join(source, F.col("_i") == F.col("_j"), "left")
+    numbered = with_row_index(df, [*by, *order], "_i")
+    source = numbered.select((F.col("_i") + n).alias("_j"), *[F.col(quoted(c)).alias(f"_k{i}") for i, c in enumerate(by)], *[F.col(quoted(c)).alias(f"_m{k}") for k, c in enumerate(moved)])
+    joined = numbered.join(source, [F.col("_i") == F.col("_j"), *_keys_equal(by)], "left")
     place = {c: F.when(F.col("_j").isNotNull(), F.col(f"_m{k}")).otherwise(F.lit(fill)).cast(df.schema[c].dataType) for k, c in enumerate(moved)}
     return joined.select(*[place.get(c, F.col(quoted(c))).alias(c) for c in df.columns])
 
 
-def fill_forward(df: DataFrame, columns: list[str], order_by: list[str] | str, by: list[str] = (), limit: int | None = None, backward: bool = False) -> DataFrame:
-    """Nulls become the last (backward: the next) value, over at most `limit` rows. Without `by` ranges of rows pass values on."""
-    if by:
-        window = Window.partitionBy(*[F.col(quoted(c)) for c in by]).orderBy(*sort_keys(order_by))
+def fill_forward(df: DataFrame, columns: list[str], order_by: list[str] | str, by: list[str] = (), limit: int | None = None, backward: bool = False, spread: bool | None = None) -> DataFrame:
+    """Nulls become the last (backward: the next) value, over at most `limit` rows.
+
+    Without `by`, or with a key of more than rows.LARGE_GROUP rows (or if spread says so), ranges of rows pass values on.
+    """
+    order = [order_by] if isinstance(order_by, str) else list(order_by)
+    if not (spread if spread is not None else not by or has_large_group(df, by)):
+        window = Window.partitionBy(*[F.col(quoted(c)) for c in by]).orderBy(*sort_keys(order))
         far = Window.unboundedPreceding if limit is None else -limit
         if backward:
             window, pick = window.rowsBetween(0, Window.unboundedFollowing if limit is None else limit), F.first
         else:
             window, pick = window.rowsBetween(far, 0), F.last
         return df.withColumns({c: pick(F.col(quoted(c)), ignorenulls=True).over(window) for c in columns})
-    numbered = with_row_index(df, order_by, "_i")
+    numbered = with_row_index(df, [*by, *order], "_i")
     known = {f"_v{k}": F.when(F.col(quoted(c)).isNotNull(), F.struct("_i", F.col(quoted(c)).alias("v"))) for k, c in enumerate(columns)}
-    out = carry(numbered, [], [F.col("_i")], known, not backward)
+    out = carry(numbered, list(by), [F.col("_i")], known, not backward)
 
     def value(k: int):
         near = F.col(f"_v{k}.v")
@@ -166,18 +190,19 @@ def fill_forward(df: DataFrame, columns: list[str], order_by: list[str] | str, b
     return out.withColumns({c: value(k) for k, c in enumerate(columns)}).select(*[F.col(quoted(c)) for c in df.columns])
 
 
-def interpolate(df: DataFrame, columns: list[str], order_by: list[str] | str, by: list[str] = ()) -> DataFrame:
-    """Inner nulls become points on the line between the values around them, by row position."""
+def interpolate(df: DataFrame, columns: list[str], order_by: list[str] | str, by: list[str] = (), spread: bool | None = None) -> DataFrame:
+    """Inner nulls become points on the line between the values around them, by row position; spread as for fill_forward."""
+    order = [order_by] if isinstance(order_by, str) else list(order_by)
     known = {f"{side}{k}": F.when(F.col(quoted(c)).isNotNull(), F.struct(F.col("_n").alias("n"), F.col(quoted(c)).cast("double").alias("v"))) for k, c in enumerate(columns) for side in ("_a", "_b")}
-    if by:
-        base = Window.partitionBy(*[F.col(quoted(c)) for c in by]).orderBy(*sort_keys(order_by))
+    if not (spread if spread is not None else not by or has_large_group(df, by)):
+        base = Window.partitionBy(*[F.col(quoted(c)) for c in by]).orderBy(*sort_keys(order))
         before, after = base.rowsBetween(Window.unboundedPreceding, 0), base.rowsBetween(0, Window.unboundedFollowing)
         out = df.withColumn("_n", F.row_number().over(base))
         out = out.withColumns({n: F.last(v, ignorenulls=True).over(before) if n[1] == "a" else F.first(v, ignorenulls=True).over(after) for n, v in known.items()})
     else:
-        out = with_row_index(df, order_by, "_n")
-        out = carry(out, [], [F.col("_n")], {n: v for n, v in known.items() if n[1] == "a"})
-        out = carry(out, [], [F.col("_n")], {n: v for n, v in known.items() if n[1] == "b"}, False)
+        out = with_row_index(df, [*by, *order], "_n")
+        out = carry(out, list(by), [F.col("_n")], {n: v for n, v in known.items() if n[1] == "a"})
+        out = carry(out, list(by), [F.col("_n")], {n: v for n, v in known.items() if n[1] == "b"}, False)
 
     def value(k: int, c: str) -> Column:
         a, b = f"_a{k}", f"_b{k}"
@@ -187,10 +212,9 @@ def interpolate(df: DataFrame, columns: list[str], order_by: list[str] | str, by
     return out.withColumns({c: value(k, c) for k, c in enumerate(columns)}).select(*[F.col(quoted(c)) for c in df.columns])
 
 
-def failure_threshold(df: DataFrame, failed: Column, keys: list[str], ts: str, minutes: int = 15, most: int = 5) -> DataFrame:
+def failure_threshold(df: DataFrame, failed: Column, keys: list[str], ts: str, minutes: int = 15, most: int = 5, spread: bool | None = None) -> DataFrame:
     """Each row with the failures of its keys in the minutes up to it, and whether they reach the most allowed."""
-    window = Window.partitionBy(*[F.col(quoted(k)) for k in keys]).orderBy("_t").rangeBetween(-minutes * _MICROS["m"], 0)
-    out = df.withColumn("_t", micros(F.col(quoted(ts)))).withColumn("n_failed", F.count_if(failed).over(window)).drop("_t")
+    out = rolling(df, ts, f"{minutes}m", {"n_failed": F.count_if(failed)}, closed="both", by=keys, spread=spread)
     return out.withColumn("locked", F.col("n_failed") >= most)
 
 

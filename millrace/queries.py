@@ -13,7 +13,6 @@ from pyspark.sql import types as T
 from millrace.catalog import Assignment, Catalog, Column, Entity, Field, Group, Join, Operation, Sort, describe_schema
 from millrace.functions import cells
 from millrace.operators import aggregates, evolve, joins, mdm, reshape, rows, tables, windows
-from millrace.operators.tables import Audit
 from millrace.plans.compile import to_dataframe
 from millrace.session import shared_dir, ship
 from millrace.sources import arrow_ipc, discover, files
@@ -139,15 +138,20 @@ def join_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.join(read(spark, sf_dir, "orders").where("o_totalprice > 400000"), read(spark, sf_dir, "customer").select("c_custkey", "c_name"), "o_custkey", "c_custkey", "right anti")
 
 
-@query("SELECT a.r_regionkey, a.r_name, b.r_regionkey AS r_regionkey_right, b.r_name AS r_name_right FROM region a CROSS JOIN region b")
+@query("""
+SELECT r_regionkey, r_name, o_orderstatus, n FROM region CROSS JOIN (SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1)
+""")
 def join_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return joins.join(read(spark, sf_dir, "region"), read(spark, sf_dir, "region"), how="cross")
+    return joins.join(read(spark, sf_dir, "region"), aggregates.agg(read(spark, sf_dir, "orders"), ["o_orderstatus"], F.count(F.lit(1)).alias("n")), how="cross")
 
 
-@query("SELECT coalesce(n_nationkey, s_nationkey) AS n_nationkey, n_name, count(s_suppkey) AS n_suppliers FROM (SELECT * FROM nation WHERE n_nationkey % 2 = 0) n FULL JOIN (SELECT * FROM supplier WHERE s_nationkey % 3 = 0) s ON n_nationkey = s_nationkey GROUP BY 1, 2")
+@query("""
+SELECT coalesce(c_custkey, k) AS c_custkey, c_name, count(o_orderkey) AS n_orders
+FROM customer FULL JOIN (SELECT o_orderkey, o_custkey + 100 AS k FROM orders) ON c_custkey = k GROUP BY 1, 2
+""")
 def join_full_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n, s = read(spark, sf_dir, "nation").where("n_nationkey % 2 = 0"), read(spark, sf_dir, "supplier").where("s_nationkey % 3 = 0")
-    return joins.join(n, s, "n_nationkey", "s_nationkey", "full outer", validate="1:m").groupBy("n_nationkey", "n_name").agg(F.count("s_suppkey").alias("n_suppliers"))
+    o = read(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") + 100).alias("k"))
+    return joins.join(read(spark, sf_dir, "customer").select("c_custkey", "c_name"), o, "c_custkey", "k", "full outer", validate="1:m").groupBy("c_custkey", "c_name").agg(F.count("o_orderkey").alias("n_orders"))
 
 
 @query("SELECT p_partkey, s_suppkey FROM part JOIN supplier ON p_size = s_nationkey AND p_retailprice < s_acctbal")
@@ -353,9 +357,9 @@ def latest_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.latest_per_key(read(spark, sf_dir, "events").select("user_id", "event_id", "ts"), ["user_id"], "event_id")
 
 
-@query("SELECT n_nationkey AS k, n_name AS name FROM nation UNION ALL SELECT r_regionkey, r_name FROM region")
+@query("SELECT c_custkey AS k, c_name AS name FROM customer UNION ALL SELECT s_suppkey, s_name FROM supplier")
 def union_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rows.concat(read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("name")), read(spark, sf_dir, "region").toDF("k", "name"))
+    return rows.concat(read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name")), read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("name")))
 
 
 @query("SELECT p_partkey AS key, CAST(p_size AS DOUBLE) AS amount, NULL AS brand FROM part UNION ALL SELECT p_partkey, p_retailprice, p_brand FROM part")
@@ -391,16 +395,19 @@ def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reshape.explode_json(e, "p", "k long")
 
 
-@query("""SELECT '{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '"}' AS json FROM nation""")
+@query("""SELECT '{"c_custkey":' || c_custkey || ',"c_name":"' || c_name || '","segment":' || CASE WHEN c_custkey % 3 = 0 THEN 'null' ELSE '"' || c_mktsegment || '"' END || '}' AS json FROM customer""")
 def json_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reshape.to_json_rows(read(spark, sf_dir, "nation").select("n_nationkey", "n_name"))
+    return reshape.to_json_rows(read(spark, sf_dir, "customer").select("c_custkey", "c_name", F.when(F.col("c_custkey") % 3 != 0, F.col("c_mktsegment")).alias("segment")))
 
 
-@query("SELECT r_regionkey, r_name FROM region")
+@query("""
+SELECT c_custkey, o_orderkey FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal, c_custkey) AS i FROM customer)
+JOIN (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS j FROM (SELECT min(o_orderkey) AS o_orderkey FROM orders GROUP BY o_orderkey % (SELECT count(*) FROM customer))) ON i = j
+""")
 def hstack_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = read(spark, sf_dir, "region")
-    both = rows.hstack(r.select("r_regionkey"), r.select("r_name", F.col("r_regionkey").alias("k")), "r_regionkey", "k")
-    return both.drop("k")
+    c, o = read(spark, sf_dir, "customer"), read(spark, sf_dir, "orders")
+    some = o.crossJoin(c.agg(F.count(F.lit(1)).alias("n"))).groupBy((F.col("o_orderkey") % F.col("n")).alias("m")).agg(F.min("o_orderkey").alias("o_orderkey")).select("o_orderkey")
+    return rows.hstack(c.select("c_acctbal", "c_custkey"), some, ["c_acctbal", "c_custkey"], "o_orderkey").drop("c_acctbal")
 
 
 @query("SELECT c_custkey, coalesce(CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_acctbal END, 0) AS c_acctbal, coalesce(CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_name END, '?') AS c_name FROM customer")
@@ -419,9 +426,12 @@ def sql_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reshape.sql_multi("SELECT c_mktsegment, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > :low GROUP BY 1", {"orders": read(spark, sf_dir, "orders"), "customer": read(spark, sf_dir, "customer")}, {"low": 1000})
 
 
-@query("SELECT n_regionkey, n_name, count(*) AS n FROM nation GROUP BY GROUPING SETS ((n_regionkey, n_name), (n_regionkey), ())")
+_SETS = "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM {} GROUP BY GROUPING SETS ((o_orderstatus, o_orderpriority), (o_orderstatus), ())"
+
+
+@query(_SETS.format("orders"))
 def sql_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reshape.sql(read(spark, sf_dir, "nation"), "SELECT n_regionkey, n_name, count(*) AS n FROM frame GROUP BY GROUPING SETS ((n_regionkey, n_name), (n_regionkey), ())")
+    return reshape.sql(read(spark, sf_dir, "orders"), _SETS.format("frame"))
 
 
 # --- cells, hashes, checks ---------------------------------------------------------------------------
@@ -536,10 +546,10 @@ def delete_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.delete(_customers(spark, sf_dir), [Operation(col("customer", "c_acctbal"), "<", 0)])
 
 
-@query("SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer UNION ALL SELECT c_custkey + 5000000, c_name, 0, NULL FROM customer WHERE c_custkey <= 10")
+@query("SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer UNION ALL SELECT c_custkey + 5000000, c_name, 0, NULL FROM customer")
 def insert_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _customers(spark, sf_dir)
-    new = c.where("c_custkey <= 10").select((F.col("c_custkey") + 5000000).alias("id"), "c_name")
+    new = c.select((F.col("c_custkey") + 5000000).alias("id"), "c_name")
     return tables.insert(c, new, [Assignment(col("customer", "c_custkey"), Field("id")), Assignment(col("customer", "c_name"), Field("c_name")), Assignment(col("customer", "c_acctbal"), 0)])
 
 
@@ -567,74 +577,6 @@ def schema_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evolve.diff_schema(spark, read(spark, sf_dir, "part").schema, wanted)
 
 
-# --- master data -------------------------------------------------------------------------------------
-
-_SEGMENTS = "(SELECT segment, row_number() OVER (ORDER BY segment) AS id FROM (SELECT DISTINCT upper(c_mktsegment) AS segment FROM customer))"
-_HASHED = {"demographic": ("first_name", "gender_id")}
-_CODES = (mdm.Code("gender_id", "gender", "GENDER", "UNKNOWN"),)
-
-
-def _people(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Lookups made of market segments, and a snapshot of customers as people."""
-    c = read(spark, sf_dir, "customer")
-    segments = c.select(F.upper("c_mktsegment").alias("lookup_desc")).distinct()
-    lookups = rows.with_row_index(segments, "lookup_desc", "lookup_id", 1).select(F.lit("GENDER").alias("category"), "lookup_id", "lookup_desc")
-    people = c.join(lookups, F.upper("c_mktsegment") == F.col("lookup_desc")).select(F.col("c_custkey").cast("string").alias("employee_id"), F.col("c_custkey").alias("demographic_id"), F.col("c_name").alias("first_name"), F.col("lookup_id").alias("gender_id"), F.col("c_nationkey").alias("nation"))
-    return lookups, people.withColumn("mq_demographic_hash", cells.row_hash(F.col("first_name"), F.col("gender_id")))
-
-
-@query(f"""
-SELECT CAST(c_custkey AS VARCHAR) AS employee_id, c_name AS first_name, id AS gender_id, n_name AS nation, r_name AS region, upper(md5(c_name || chr(30) || id)) AS mq_demographic_hash
-FROM customer JOIN {_SEGMENTS} s ON upper(c_mktsegment) = segment JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey
-""")
-def mdm_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    people = _people(spark, sf_dir)[1]
-    places = joins.join(read(spark, sf_dir, "nation"), read(spark, sf_dir, "region"), "n_regionkey", "r_regionkey", "left")
-    out = joins.join(people, places, "nation", "n_nationkey", "inner")
-    return out.select("employee_id", "first_name", "gender_id", F.col("n_name").alias("nation"), F.col("r_name").alias("region"), "mq_demographic_hash")
-
-
-def _classified(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    lookups, people = _people(spark, sf_dir)
-    c, k = read(spark, sf_dir, "customer"), F.col("c_custkey") % 4
-    payload = c.select(
-        F.concat(F.lit("["), F.to_json(F.struct(
-            F.col("c_custkey").alias("mq_id"),
-            F.when(k == 3, F.concat(F.lit("x"), F.col("c_custkey"))).otherwise(F.col("c_custkey").cast("string")).alias("employee_id"),
-            F.when(k == 1, F.concat(F.lit("New "), F.col("c_name"))).otherwise(F.col("c_name")).alias("first_name"),
-            F.lower("c_mktsegment").alias("gender"),
-        )), F.lit("]")).alias("payload")
-    )
-    inbound, _ = mdm.load_json(payload, schema="mq_id long, employee_id string, demographic_id long, first_name string, gender_id long, gender string, mq_status int")
-    return people, mdm.classify(mdm.delta(mdm.enrich(inbound, lookups, people, _CODES), _HASHED), domains=("demographic",))
-
-
-@query("SELECT CASE c_custkey % 4 WHEN 3 THEN 404 WHEN 1 THEN 200 ELSE 304 END AS mq_status, count(*) AS n FROM customer GROUP BY 1")
-def mdm_delta_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return aggregates.status_summary(_classified(spark, sf_dir)[1])
-
-
-@query(f"SELECT c_custkey AS demographic_id, CASE WHEN c_custkey % 4 = 1 THEN 'New ' || c_name ELSE c_name END AS first_name, id AS gender_id, CASE WHEN c_custkey % 4 = 1 THEN 'worker' END AS updated_by FROM customer JOIN {_SEGMENTS} s ON upper(c_mktsegment) = segment")
-def mdm_apply_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    people, classified = _classified(spark, sf_dir)
-    table = people.select("demographic_id", "first_name", "gender_id", F.lit(None).cast("string").alias("updated_by"))
-    last = rows.latest_per_key(classified.where("mq_status = 200 AND demographic_changed"), ["employee_id"], "mq_id")
-    return tables.upsert(table, last.select("demographic_id", "first_name", "gender_id"), "demographic_id", audit=Audit("worker"))
-
-
-@query("SELECT o_orderkey AS mq_id, CASE WHEN o_orderkey % 10 = 0 THEN 201 WHEN o_orderkey % 5 IN (1, 3) THEN 202 ELSE 200 + o_orderkey % 5 * 100 END AS mq_status FROM orders")
-def mdm_reprocess(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("o_orderkey") % 5
-    inbound = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("mq_id"), F.when(k == 1, F.lit(500)).otherwise(200 + k * 100).alias("mq_status"))
-    return mdm.tag(mdm.reprocess(inbound), inbound.where("mq_id % 10 = 0").select("mq_id"))
-
-
-@query("SELECT mq_id, mq_status FROM (SELECT o_orderkey AS mq_id, CAST(202 AS INTEGER) AS mq_status FROM orders WHERE o_orderkey % 3 = 0)")
-def mdm_take(spark: SparkSession, sf_dir: str) -> DataFrame:
-    inbound = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("mq_id"), F.when(F.col("o_orderkey") % 3 == 0, F.lit(202)).otherwise(F.lit(200)).alias("mq_status"))
-    return mdm.take(inbound).drop("slice")
-
-
 # --- sources, sinks and streams: what comes back must be what went in -------------------------------------
 
 
@@ -671,10 +613,13 @@ def dataset_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.read_dataset(spark, path, columns=["o_orderkey", "o_totalprice", "o_orderstatus"], where="o_orderstatus IN ('F', 'P')")
 
 
-@query("SELECT sum(r) AS rows, max(r) <= 5000 AS fits FROM (SELECT count(*) AS r FROM orders GROUP BY o_orderkey // 1000)")
+@query("SELECT o_orderkey, o_custkey, true AS fits FROM orders")
 def chunked_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sizes = files.export_chunks(read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), _fresh(spark, "chunks"), 5000)
-    return sizes.agg(F.sum("rows").alias("rows"), (F.max("rows") <= 5000).alias("fits"))
+    """Rows as the chunks hold them, each with whether its file keeps the bound."""
+    path = _fresh(spark, "chunks")
+    sizes = files.export_chunks(read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), path, 5000)
+    back = spark.read.option("header", True).schema("o_orderkey long, o_custkey long").csv(path).select("*", F.col("_metadata.file_name").alias("file"))
+    return back.join(sizes, "file").select("o_orderkey", "o_custkey", (F.col("rows") <= 5000).alias("fits"))
 
 
 @query("SELECT c_custkey, c_name, c_acctbal FROM customer")
@@ -711,38 +656,46 @@ def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{out}/rows").select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), "n")
 
 
-@query("SELECT n_nationkey AS mq_id, 'e' || n_nationkey AS employee_id, CAST(CASE WHEN n_nationkey % 5 = 0 THEN 500 ELSE 202 END AS INTEGER) AS mq_status FROM nation WHERE n_nationkey % 7 <> 0")
+@query("SELECT c_custkey AS mq_id, 'e' || c_custkey AS employee_id, CAST(CASE WHEN c_custkey % 5 = 0 THEN 500 ELSE 202 END AS INTEGER) AS mq_status FROM customer WHERE c_custkey % 7 <> 0")
 def stream_inbound(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Messages made of nations arrive as files and are loaded once each; those without an employee are rejects."""
+    """Messages made of customers arrive as files of some hundred each and are loaded once; those without an employee are rejects."""
     base = _fresh(spark, "inbound")
-    k = F.col("n_nationkey")
+    k = F.col("c_custkey")
     message = F.struct(k.alias("mq_id"), F.when(k % 7 != 0, F.concat(F.lit("e"), k)).alias("employee_id"), F.when(k % 5 == 0, F.lit(500)).alias("mq_status"))
-    read(spark, sf_dir, "nation").select(F.concat(F.lit("["), F.to_json(message), F.lit("]")).alias("value")).repartition(5, "value").write.option("maxRecordsPerFile", 1).text(f"{base}/in")
+    payloads = read(spark, sf_dir, "customer").groupBy(F.floor(k / 200).alias("part")).agg(F.to_json(F.collect_list(message)).alias("value"))
+    payloads.select("value").repartition(5, "value").write.option("maxRecordsPerFile", 1).text(f"{base}/in")
 
     def handle(batch: DataFrame, number: int) -> None:
         mdm.load_json(batch)[0].write.mode("overwrite").parquet(f"{base}/out/batch={number}")
 
-    inbound.process(inbound.inbound_files(spark, f"{base}/in", 10), handle, f"{base}/state", f"{base}/ledger", once=True).awaitTermination()
+    inbound.process(inbound.inbound_files(spark, f"{base}/in", 40), handle, f"{base}/state", f"{base}/ledger", once=True).awaitTermination()
     return spark.read.parquet(f"{base}/out").select("mq_id", "employee_id", "mq_status")
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE c_acctbal IS NOT NULL AND length(c_name) <= 18 AND c_custkey % 3 = 0")
+@query("""
+SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_name || ' too long' ELSE c_name END AS c_name,
+  CASE WHEN c_custkey % 5 = 0 THEN 'c_key is null' WHEN c_custkey % 2 = 0 THEN 'c_name is longer than 18' END AS _error FROM customer
+""")
 def write_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = read(spark, sf_dir, "customer").select("c_custkey", "c_name")
-    source = c.where("c_custkey % 3 = 0").withColumn("c_name", F.when(F.col("c_custkey") % 2 == 0, F.concat("c_name", F.lit(" too long"))).otherwise(F.col("c_name")))
-    good, bad = tables.write_with_rejects(c.limit(0), source, ["c_custkey"], ["c_custkey"], {"c_name": 18})
-    return good.unionByName(bad.select("c_custkey", F.regexp_replace("c_name", " too long$", "").alias("c_name")))
+    """What was written, and what was not with the reason, side by side."""
+    c = read(spark, sf_dir, "customer").select("c_custkey", "c_name", F.when(F.col("c_custkey") % 5 != 0, F.col("c_custkey")).alias("c_key"))
+    source = c.withColumn("c_name", F.when(F.col("c_custkey") % 2 == 0, F.concat("c_name", F.lit(" too long"))).otherwise(F.col("c_name")))
+    good, bad = tables.write_with_rejects(c.limit(0), source, ["c_custkey"], ["c_key"], {"c_name": 18})
+    return good.withColumn("_error", F.lit(None).cast("string")).unionByName(bad).drop("c_key")
 
 
-# --- results without SQL -----------------------------------------------------------------------------
+# --- samples and Python values -------------------------------------------------------------------------
 
 
-@query()
+@query('SELECT least(100, count(*)) AS n, least(100, count(*)) AS known FROM orders')
 def sample_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rows.sample(read(spark, sf_dir, "orders"), n=100, seed=7)
+    """Which rows a sample has is Spark's affair: how many they are, and how many orders they are."""
+    o = read(spark, sf_dir, "orders").select("o_orderkey")
+    some = rows.sample(o, n=100, seed=7)
+    return some.join(o, "o_orderkey", "left_semi").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("o_orderkey").alias("known"))
 
 
-@query()
+@query("SELECT c_custkey, reverse(c_name) AS c_name FROM customer")
 def python_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
-    return read(spark, sf_dir, "customer").select("c_custkey", reshape.map_values(F.col("c_name"), str.title, "string").alias("c_name"))
+    return read(spark, sf_dir, "customer").select("c_custkey", reshape.map_values(F.col("c_name"), lambda name: name[::-1], "string").alias("c_name"))

@@ -1,7 +1,12 @@
-"""Arrow IPC files and streams: one task a file, one file a write task, in any store that Spark (reading) and Arrow (writing) know."""
+"""Arrow IPC files and streams: one task a file, one file a write task, in any store that Spark (reading) and Arrow (writing) know.
+
+A write is published when its job commits: what lost or repeated tasks wrote stays in a staging folder
+and goes with it.
+"""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -55,32 +60,49 @@ def write_arrow(df: DataFrame, path: str, stream: bool = False) -> DataFrame:
 
     @dataclass
     class Written(WriterCommitMessage):
-        file: str
+        file: str | None
         rows: int
 
     class Writer(DataSourceArrowWriter):
+        """Tasks write under _staging; only the files of attempts that the job commits are moved to the path."""
+
         def __init__(self, options: dict):
             self.path, self.stream = options["path"], options.get("stream") == "true"
+            self.staging = f"_staging-{options['job']}"
 
-        def write(self, batches: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
-            import uuid
-
+        def _store(self):
             from pyarrow import fs
 
-            store, place = fs.FileSystem.from_uri(self.path) if "://" in self.path else (fs.LocalFileSystem(), self.path)
-            store.create_dir(place, recursive=True)
-            name, rows, out, sink = f"{place}/part-{uuid.uuid4().hex}.arrow", 0, None, None
+            return fs.FileSystem.from_uri(self.path) if "://" in self.path else (fs.LocalFileSystem(), self.path)
+
+        def write(self, batches: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
+            store, place = self._store()
+            store.create_dir(f"{place}/{self.staging}", recursive=True)
+            name, rows, out, sink = f"part-{uuid.uuid4().hex}.arrow", 0, None, None
             for batch in batches:
                 if sink is None:
-                    out = store.open_output_stream(f"{name}.tmp")
+                    out = store.open_output_stream(f"{place}/{self.staging}/{name}")
                     sink = (pa.ipc.new_stream if self.stream else pa.ipc.new_file)(out, batch.schema)
                 sink.write_batch(batch)
                 rows += batch.num_rows
             if sink is not None:
                 sink.close()
                 out.close()
-                store.move(f"{name}.tmp", name)
-            return Written(name, rows)
+            return Written(name if sink is not None else None, rows)
+
+        def commit(self, messages: list) -> None:
+            store, place = self._store()
+            for m in messages:
+                if m is not None and m.file is not None:
+                    store.move(f"{place}/{self.staging}/{m.file}", f"{place}/{m.file}")
+            self.abort(messages)
+
+        def abort(self, messages: list) -> None:
+            from pyarrow import fs
+
+            store, place = self._store()
+            if store.get_file_info(f"{place}/{self.staging}").type == fs.FileType.Directory:
+                store.delete_dir(f"{place}/{self.staging}")
 
     class ArrowIpc(DataSource):
         @classmethod
@@ -92,5 +114,5 @@ def write_arrow(df: DataFrame, path: str, stream: bool = False) -> DataFrame:
 
     spark = df.sparkSession
     spark.dataSource.register(ArrowIpc)
-    df.write.format("arrow_ipc").mode("append").option("path", path).option("stream", str(stream).lower()).save()
+    df.write.format("arrow_ipc").mode("append").option("job", uuid.uuid4().hex).option("path", path).option("stream", str(stream).lower()).save()
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.arrow").load(path).select(F.col("path").alias("file"), F.col("length").alias("size"))

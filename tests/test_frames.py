@@ -206,3 +206,27 @@ def test_outside_types():
         for t in known.values():
             assert spark_type(t) is not None and ORACLE_COLUMNS[t] and CRM_FIELDS[t]
     assert [oracle_column("string", 120), oracle_column("utf8", 10000), oracle_column("string"), oracle_column("decimal128", precision=10, scale=2), oracle_column("timestamp_us", timezone="UTC"), oracle_column("bool")] == ["VARCHAR2(120 CHAR)", "CLOB", "VARCHAR2(4000 CHAR)", "NUMBER(10, 2)", "TIMESTAMP WITH TIME ZONE", "NUMBER(1, 0)"]
+
+
+def test_windows_over_ranges_equal_those_over_keys(spark):
+    rows_ = [(k % 3 if k % 11 else None, None if k % 17 == 0 else (k * 37) % 101, k, float(k % 7) if k % 4 else None) for k in range(160)]
+    df = spark.createDataFrame(rows_, "g int, t long, i long, v double")
+
+    def same(make, key="i"):
+        a, b = ({r[key]: tuple(r) for r in make(s).collect()} for s in (False, True))
+        assert a == b and len(a) == len(rows_)
+
+    for closed in ("left", "right", "both", "none"):
+        for offset in (None, -5, 3):
+            same(lambda s, closed=closed, offset=offset: windows.rolling(df, "t", 10, {"n": F.count(F.lit(1)), "m": F.max("v")}, offset, closed, ["g"], spread=s))
+    for n in (1, -2):
+        same(lambda s, n=n: windows.shift(df, n, "i", -1, ["v"], ["g"], spread=s))
+    for limit in (None, 1):
+        for backward in (False, True):
+            same(lambda s, limit=limit, backward=backward: windows.fill_forward(df, ["v"], "i", ["g"], limit, backward, spread=s))
+    same(lambda s: windows.interpolate(df, ["v"], "i", ["g"], spread=s))
+
+
+def test_pivot_refuses_too_many_columns(spark):
+    with pytest.raises(ValueError):
+        reshape.pivot(spark.range(5).withColumn("x", F.lit(1)), "id", "x", "x", most_columns=4)

@@ -1,7 +1,7 @@
 """Toxic spans by a linear-chain conditional random field, and document scores from its marginals.
 
-Fitting runs on the driver over a bounded sample of labelled documents (sample_rows, by hash of the
-id). Labels are per document, so token labels are derived first: words and inner strings of words
+Fitting runs on the driver over a bounded sample of labelled documents (sample_rows and sample_bytes, by
+hash of the id). Labels are per document, so token labels are derived first: words and inner strings of words
 that are far more frequent in toxic documents mark the tokens of toxic documents that hold them. A
 two-state chain (clean, toxic) is then fitted to the tokens by gradient steps on its conditional
 likelihood, with expectations from forward-backward. Last, a logistic curve over what the marginals
@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 from millrace.llm.batches import map_texts
 from millrace.session import materialize
 
-SAMPLE_ROWS = 2000
+#: Labelled documents of the sample, and bytes of text that they may have in all.
+SAMPLE_ROWS, SAMPLE_BYTES = 2000, 64_000_000
 FOLDS = 5
 #: Lengths of the inner strings of a word, its ends marked.
 GRAMS = (4, 5, 6, 7)
@@ -39,18 +40,29 @@ GRAMS = (4, 5, 6, 7)
 LEAST_DOCS, LEAST_SHARE, LEAST_LOG_ODDS, MOST_FEATURES = 5, 0.03, 1.6, 400
 #: Words whose scores a worker keeps; when there are more, it starts anew.
 KEPT_WORDS = 100_000
-_EDGE = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 _TOKEN = re.compile(r"\S+")
 _CHUNK = 64
-LONGEST_WORD = 60
+
+
+def _word(token: str) -> str:
+    """A token without what isn't a letter at its ends, the ends marked; empty where nothing is left."""
+    a, b = 0, len(token)
+    while a < b and not _is_letter(token[a]):
+        a += 1
+    while a < b and not _is_letter(token[b - 1]):
+        b -= 1
+    return f"^{token[a:b]}$" if a < b else ""
+
+
+def _is_letter(c: str) -> bool:
+    return c.isalnum() and not c.isdigit()
 
 
 def features_of(token: str) -> set[str]:
-    """The word, without what isn't a letter at its ends, and its inner strings."""
-    word = _EDGE.sub("", token)
-    if not word or len(word) > LONGEST_WORD:
+    """The word, without what isn't a letter at its ends, and its inner strings, whatever its length."""
+    marked = _word(token)
+    if not marked:
         return set()
-    marked = f"^{word}$"
     return {marked} | {marked[i : i + n] for n in GRAMS for i in range(len(marked) - n + 1)}
 
 
@@ -263,12 +275,24 @@ def in_fold_zero(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string")) % FOLDS == 0, F.lit(False))
 
 
-def fit_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> Model:
-    """A model from at most sample_rows labelled documents outside fold 0, those of the smallest hashes of the id."""
+def fit_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """A model from at most sample_rows labelled documents outside fold 0, those of the smallest hashes of the id.
+
+    Ids may repeat and texts be long, so the bounds hold after the join too: rows are taken in the order of
+    the hash while their texts have at most sample_bytes in all (the first row always counts). The sizes
+    are looked at before any text comes to the driver.
+    """
     own = labels.select(F.col(id_col).alias("k"), F.col(label_col).cast("int").alias("y")).where(F.col("k").isNotNull() & F.col("y").isNotNull() & ~in_fold_zero(F.col("k")))
     sample = own.orderBy(F.xxhash64("k"), "k", "y").limit(sample_rows)
-    rows = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).join(F.broadcast(sample), "k").orderBy("k", "y").toArrow()
-    return fit(rows["t"].to_pylist(), rows["y"].to_pylist())
+    joined = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).join(F.broadcast(sample), "k")
+    place = F.struct(F.xxhash64("k").alias("h"), "k", "y", F.xxhash64("t").alias("x"))
+    sizes = joined.select(place.alias("p"), F.octet_length(F.coalesce("t", F.lit(""))).alias("n")).orderBy("p").limit(sample_rows).collect()
+    taken, room = 0, sample_bytes
+    while taken < len(sizes) and (taken == 0 or sizes[taken]["n"] <= room):
+        room -= sizes[taken]["n"]
+        taken += 1
+    rows = joined.orderBy(place).limit(taken).orderBy("k", "y", "t").toArrow() if taken else None
+    return fit(rows["t"].to_pylist(), rows["y"].to_pylist()) if taken else fit([], [])
 
 
 class Scorer:
@@ -285,10 +309,8 @@ class Scorer:
             for f, w in self.model.weights.items():
                 self.grams.add_word(f, (f, w))
             self.grams.make_automaton()
-        word = _EDGE.sub("", token)
-        if not word or len(word) > LONGEST_WORD:
-            return self.plain
-        found = dict(x for _, x in self.grams.iter(f"^{word}$"))
+        marked = _word(token)
+        found = dict(x for _, x in self.grams.iter(marked)) if marked and self.model.weights else {}
         if not found:
             return self.plain
         return math.exp(min(60.0, max(-60.0, self.model.bias + sum(found.values()))))

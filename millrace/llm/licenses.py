@@ -14,6 +14,7 @@ notices count each; an empty table gives an empty result; other columns are not
 
 from __future__ import annotations
 
+import bisect
 from functools import lru_cache
 
 import ahocorasick
@@ -42,6 +43,8 @@ NOTICES = (
 )
 #: One edit is allowed for so many characters of a notice.
 CHARS_PER_EDIT = 10
+#: Pieces of text whose matches are kept while one text is searched; when there are more, they are searched anew.
+KEPT_WINDOWS = 20_000
 
 #: Bytes to themselves in lower case where they belong to a word, and to a space elsewhere.
 _WORD_BYTES = bytes(b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
@@ -66,33 +69,43 @@ class NoticeFinder:
             self.seeds.add_word(piece, (len(piece), uses))
         self.seeds.make_automaton()
 
+    def _matches(self, n: int, part: str) -> list[tuple[int, int, int]]:
+        """(start, end, edits) of a notice in a short piece of text; search() gives the best match, so both sides of it are left."""
+        out, todo = [], [(0, len(part))]
+        while todo:
+            a, b = todo.pop()
+            if m := self.fuzzy[n].search(part, a, b):
+                out.append((m.start(), m.end(), sum(m.fuzzy_counts)))
+                todo += [(m.end(), b), (a, m.start())]
+        return out
+
     def find(self, text: str) -> list[tuple[int, int, int, int]]:
         """(start, end, notice, edits) in characters of a normalized text; of overlapping matches that with the fewest edits, then the longest."""
-        windows: dict[int, list[list[int]]] = {}
+        windows: dict[int, set[tuple[int, int]]] = {}
+        found: set[tuple[int, int, int, int]] = set()
         for last, (size, uses) in self.seeds.iter(text):
             for n, offset in uses:
                 notice, _, k = self.notices[n]
                 begin = last + 1 - size - offset
-                low, high = max(0, begin - k), begin + len(notice) + k
-                runs = windows.setdefault(n, [])
-                if runs and low <= runs[-1][1]:
-                    runs[-1][0], runs[-1][1] = min(low, runs[-1][0]), max(high, runs[-1][1])
-                else:
-                    runs.append([low, high])
-        found = []
+                if begin >= 0 and text.startswith(notice, begin):  # no second match fits beside an exact one
+                    found.add((begin, begin + len(notice), n, 0))
+                    continue
+                windows.setdefault(n, set()).add((max(0, begin - k), min(begin + len(notice) + k, len(text))))
         for n, runs in windows.items():
-            for low, high in runs:
-                todo = [(low, min(high, len(text)))]
-                while todo:  # search() gives the best match of the whole range, so both sides of it are left
-                    a, b = todo.pop()
-                    if m := self.fuzzy[n].search(text, a, b):
-                        found.append((m.start(), m.end(), n, sum(m.fuzzy_counts)))
-                        todo += [(m.end(), b), (a, m.start())]
+            seen: dict[str, list[tuple[int, int, int]]] = {}  # the same words give the same matches, wherever they stand
+            for low, high in runs:  # one seed's own place at a time, so a row of notices is no long window
+                part = text[low:high]
+                if part not in seen:
+                    if len(seen) >= KEPT_WINDOWS:
+                        seen.clear()
+                    seen[part] = self._matches(n, part)
+                found.update((low + a, low + b, n, edits) for a, b, edits in seen[part])
         kept: list[tuple[int, int, int, int]] = []
-        for x in sorted(found, key=lambda x: (x[3], x[0] - x[1], x)):
-            if all(x[1] <= y[0] or y[1] <= x[0] for y in kept):
-                kept.append(x)
-        return sorted(kept)
+        for x in sorted(found, key=lambda x: (x[3], x[0] - x[1], x)):  # kept ones don't overlap, so only the two around x can meet it
+            at = bisect.bisect(kept, x)
+            if (at == 0 or kept[at - 1][1] <= x[0]) and (at == len(kept) or x[1] <= kept[at][0]):
+                kept.insert(at, x)
+        return kept
 
 
 @lru_cache(maxsize=2)

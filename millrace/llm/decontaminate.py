@@ -7,12 +7,15 @@ run (a match counts 1, a substitution -2) is reported when it has enough matchin
 
 The benchmark side is cut into blocks of bounded size; every block's index goes to the executors and
 all documents are read against it, so memory does not follow the benchmark and no text is shuffled.
-
-Tokens are runs of letters, digits and non-ASCII characters, A to Z as lower case. Defined cases: null
-or empty texts have no tokens and no leaks; an item shorter than the longest mask has no seeds of that
-mask, one shorter than all masks none (it can't be told from chance); repeated items and documents
-are reported each; a null id is reported as it is; an empty table gives an empty result; other
-columns are not read.
+Hits of a seed are expanded a bounded number at a time and kept as distinct diagonals, so that words
+which repeat many times on both sides cost time but no memory.
+
+Tokens are runs of letters, digits and non-ASCII characters, A to Z as lower case; kana and Han
+characters are a token each. Defined cases: null or empty texts have no tokens and no leaks; an item
+shorter than the longest mask has no seeds of that mask, one shorter than all masks none (it can't be
+told from chance); repeated items and documents are reported each; of equally good overlaps of a document and
+an item the first is reported; a null id is reported as it is; an empty table gives an empty result;
+other columns are not read.
 """
 
 from __future__ import annotations
@@ -33,6 +36,8 @@ MASKS = ("11111", "1101011", "1111011", "10110111")
 LEAST_WORDS, LEAST_SHARE = 10, 0.8
 SUBSTITUTION = -2
 BLOCK_CHARS = 8_000_000
+#: Pairs of places that hits are expanded to at a time.
+EXPANDED = 4_000_000
 SCHEMA = "doc_id long, item_id long, n_matched long, doc_start long, doc_end long, item_start long, item_end long"
 
 
@@ -70,7 +75,7 @@ class Index:
 
     @classmethod
     def of(cls, ids: list, texts: list[bytes | None], masks: tuple[str, ...] = MASKS) -> Index:
-        words = hash_words(texts, ALPHANUMERIC)
+        words = hash_words(texts, ALPHANUMERIC, single=True)
         hashes, places = seeds(words, masks)
         order = np.argsort(hashes, kind="stable")
         hashes, places = hashes[order], places[order]
@@ -79,9 +84,25 @@ class Index:
         bitmap[(hashes >> np.uint64(64 - bits)).astype(np.int64)] = True
         return cls(ids, words, hashes, places, bitmap, 64 - bits, masks)
 
+    def _diagonals(self, own: Words, places: np.ndarray, low: np.ndarray, times: np.ndarray) -> list[tuple[int, int, int]]:
+        """(text, item, place in texts less place in items) of all hits, each once."""
+        items, shift = len(self.words.first), len(self.words.hashes)
+        span = shift + len(own.hashes) + 1
+        keys = np.zeros(0, np.int64)
+        cuts = np.flatnonzero(np.diff((np.cumsum(times) - 1) // EXPANDED)) + 1
+        for some in np.split(np.arange(len(places)), cuts):
+            n = times[some]
+            at = np.repeat(places[some], n)
+            theirs = self.places[np.arange(n.sum()) + np.repeat(low[some] - (np.cumsum(n) - n), n)]
+            item = np.searchsorted(self.words.first, theirs, "right") - 1
+            text = np.searchsorted(own.first, at, "right") - 1
+            keys = np.union1d(keys, (text * items + item) * span + (at - theirs + shift))
+        pair, diagonal = np.divmod(keys, span)
+        return list(zip((pair // items).tolist(), (pair % items).tolist(), (diagonal - shift).tolist(), strict=True))
+
     def leaks(self, texts: list[bytes | None]) -> list[tuple]:
         """(text, item, matched, doc_start, doc_end, item_start, item_end), one for each text and item."""
-        own = hash_words(texts, ALPHANUMERIC)
+        own = hash_words(texts, ALPHANUMERIC, single=True)
         hashes, places = seeds(own, self.masks)
         may = self.bitmap[(hashes >> np.uint64(self.shift)).astype(np.int64)]
         hashes, places = hashes[may], places[may]
@@ -89,13 +110,10 @@ class Index:
         times = high - low
         if not times.sum():
             return []
-        at = np.repeat(places, times)
-        theirs = self.places[np.arange(times.sum()) + np.repeat(low - (np.cumsum(times) - times), times)]
-        item = np.searchsorted(self.words.first, theirs, "right") - 1
-        text = np.searchsorted(own.first, at, "right") - 1
-        diagonals = np.unique(np.stack([text, item, at - theirs], 1), axis=0)
+        hit = times > 0
+        diagonals = self._diagonals(own, places[hit], low[hit], times[hit])
         best: dict[tuple[int, int], tuple] = {}
-        for t, i, d in diagonals.tolist():
+        for t, i, d in diagonals:
             a, b = max(int(self.words.first[i]), int(own.first[t]) - d), min(int(self.words.first[i + 1]), int(own.first[t + 1]) - d)
             same = self.words.hashes[a:b] == own.hashes[a + d : b + d]
             sums = np.concatenate([[0], np.cumsum(np.where(same, 1, SUBSTITUTION))])

@@ -59,16 +59,36 @@ class Words:
         return runs[at], first
 
 
-def hash_words(texts: list[bytes | None], inside: np.ndarray = BETWEEN_SPACES) -> Words:
-    """The words of every text; A to Z count as lower case. A null text has none."""
+#: Bytes of a UTF-8 character by its first byte, for characters that are words of their own: kana, Han and all of four bytes.
+_WIDE = np.array([3 if 0xE3 <= b <= 0xE9 else 4 if 0xF0 <= b <= 0xF4 else 0 for b in range(256)], np.int64)
+
+
+def _borders(data: np.ndarray) -> np.ndarray:
+    """True where a character of a script without spaces begins or has just ended."""
+    out = np.zeros(len(data) + 4, bool)
+    at = np.flatnonzero(_WIDE[data])
+    out[at] = True
+    out[at + _WIDE[data[at]]] = True
+    return out[: len(data)]
+
+
+def hash_words(texts: list[bytes | None], inside: np.ndarray = BETWEEN_SPACES, single: bool = False) -> Words:
+    """The words of every text; A to Z count as lower case. A null text has none.
+
+    single: characters of scripts that are written without spaces are words of their own.
+    """
     lowered = [(t or b"").translate(LOWER) for t in texts]
     data = np.frombuffer(b" ".join(lowered) + b" ", np.uint8)
     lengths = np.fromiter(map(len, lowered), np.int64, len(lowered))
     text_begin = np.concatenate([[0], np.cumsum(lengths + 1)])
     word = inside[data]
     word[text_begin[1:] - 1] = False
-    edge = np.flatnonzero(np.diff(np.concatenate([[False], word, [False]]).astype(np.int8)))
-    begin, end = edge[::2], edge[1::2]
+    fresh, gone = np.concatenate([[True], ~word[:-1]]), np.concatenate([~word[1:], [True]])
+    if single:
+        border = _borders(data)
+        fresh |= border
+        gone[:-1] |= border[1:]
+    begin, end = np.flatnonzero(word & fresh), np.flatnonzero(word & gone) + 1
     first = np.searchsorted(begin, text_begin)
     if not len(begin):
         return Words(np.zeros(0, np.uint64), first)

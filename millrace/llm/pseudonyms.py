@@ -6,6 +6,9 @@ values stay equal in all documents under one key. A Feistel network alternates b
 halves of the digits and adds to one a keyed hash of the other, which is a permutation whatever the
 hash is; where only part of a domain is valid, the permutation is repeated until a valid value comes.
 
+A date keeps the order it is written in. With slashes it is read with the month first, unless only the day first makes it a
+date; the latter are permuted among themselves, so that no two dates print alike.
+
 Kinds: e-mail addresses (letters and digits before the @ of a well-formed address), telephone numbers
 with a country code, payment card numbers (Luhn; check digit made anew), IPv4 addresses, calendar
 dates from 1900 to 2099, US social security numbers, IBANs (mod 97; check digits made anew).
@@ -33,6 +36,10 @@ KINDS = ("email", "phone", "card", "ip", "date", "ssn", "iban")
 _FIRST_DAY = datetime.date(1900, 1, 1).toordinal()
 _DAYS = datetime.date(2099, 12, 31).toordinal() - _FIRST_DAY + 1
 
+# Country calling codes of one and two digits; all others have three.
+_CODES_1 = {"1", "7"}
+_CODES_2 = set("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+
 _START = re.compile(r"\+?[0-9]")
 _DIGITS = re.compile(r"\+?[0-9]+")
 _SEPARATOR = re.compile(r"[ -]")
@@ -152,8 +159,9 @@ class Pseudonymizer:
         self.feistel = Feistel(key)
 
     def phone(self, text: str) -> str | None:
-        country, rest = re.fullmatch(r"(\+[0-9]{1,3}?)((?:[ .-]|\().*|[0-9].*)", text, re.S).groups()
-        if not 7 <= sum(c.isdigit() for c in rest) <= 14:
+        size = 1 if text[1] in _CODES_1 else 2 if text[1:3] in _CODES_2 else 3
+        country, rest = text[: 1 + size], text[1 + size :]
+        if not country[1:].isdigit() or not 7 <= sum(c.isdigit() for c in rest) <= 15 - size:
             return None
         return country + _refill(rest, self.feistel.symbols("".join(c for c in rest if c.isdigit()), b"phone"))
 
@@ -185,7 +193,8 @@ class Pseudonymizer:
         mark = next(c for c in text if not c.isdigit())
         parts = text.split(mark)
         year, month, day = map(int, parts if mark == "-" else (parts[2], *(parts[:2] if mark == "/" else parts[1::-1])))
-        if mark == "/" and month > 12:
+        day_first = mark == "." or mark == "/" and month > 12
+        if mark == "/" and day_first:
             month, day = day, month
         try:
             number = datetime.date(year, month, day).toordinal() - _FIRST_DAY
@@ -193,10 +202,14 @@ class Pseudonymizer:
             return None
         if not 0 <= number < _DAYS:
             return None
-        new = datetime.date.fromordinal(_FIRST_DAY + self.feistel.within(number, _DAYS, b"date"))
+        while True:
+            number = self.feistel.within(number, _DAYS, b"date")
+            new = datetime.date.fromordinal(_FIRST_DAY + number)
+            if not (mark == "/" and day_first) or new.day > 12:
+                break
         if mark == "-":
             return new.isoformat()
-        first, second = (new.day, new.month) if mark == "." or int(parts[0]) > 12 else (new.month, new.day)
+        first, second = (new.day, new.month) if day_first else (new.month, new.day)
         wide = 2 if any(len(p) == 2 and p[0] == "0" for p in parts[:2]) else 1
         return f"{first:0{wide}d}{mark}{second:0{wide}d}{mark}{new.year}"
 

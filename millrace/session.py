@@ -52,7 +52,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df once as Parquet in the shared folder and read it back: later steps re-use the rows and lineage ends here."""
     path = f"{shared_dir(df.sparkSession)}/millrace-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes what materialize() wrote for frames that no later plan reads; any other frame is left alone."""
+    for df in frames:
+        if path := df.__dict__.pop("_written", None):
+            spark = df.sparkSession
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def ship(spark: SparkSession) -> None:

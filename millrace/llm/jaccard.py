@@ -7,18 +7,20 @@ most sets end their prefix among hashes of their own and are done. The prefixes
 lengthened by the number of candidates they would bring, and as many more shared members are asked
 for before two sets are verified in full.
 
-Sets that share prefix members form clusters, and clusters are verified in units of bounded size (a
-large cluster is cut into blocks, and every block and every two blocks make a unit). In a unit a
-breadth-first search compares a set only with sets that are not yet linked, so what a unit returns
-grows with its sets and not with their pairs; links are lost to no one, since only the components are asked for.
+Sets that share prefix members form clusters, and clusters are verified in units of bounded size. In a
+unit a breadth-first search compares a set only with sets that are not yet linked, so what a unit returns
+grows with its sets and not with their pairs; links are lost to no one, since only the components are
+asked for. A large cluster is cut into blocks. First every block is searched alone, together with some
+hubs of the whole cluster, so that copies of one text find each other through the hubs whatever block
+they are in. Sets of the largest component found so far need no comparison with each other any more; only
+those outside it are then compared with all blocks. So a cluster of copies costs no more than its size.
 
 Equal sets are one class throughout. Hashes of 64 bits stand for n-grams and for whole sets.
 
 Defined cases: a null, empty or blank text has an empty set and is linked with nothing; a text with
 fewer words than n has one member, the whole sequence; repeated rows are linked like equal texts; a
-null id gets the smallest id of its component, and a text of which every row has a null id is linked
-with equal texts only; an empty table gives an empty result; other columns
-are not read.
+null id gets the smallest id of its component, which is null where all its ids are; an empty table gives
+an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -35,14 +37,15 @@ from millrace.llm.batches import map_texts
 from millrace.llm.components import components
 from millrace.llm.hashing import hash_words, mix
 from millrace.session import materialize
+from millrace.types import quoted
 
 SHINGLE, PERCENT = 4, 85
 #: Hashes below this share of all are counted over the corpus; a fixed share of every set, not of the rows.
 COUNTED = 0.25
 #: By how much a prefix can grow.
 MOST_EXTRA = 8
-#: Members that a block of a cluster holds.
-BLOCK_MEMBERS = 1_000_000
+#: Members that a block of a cluster holds, and about how many sets of a cluster are its hubs.
+BLOCK_MEMBERS, HUBS = 500_000, 8
 
 
 def shingle_sets(texts: list[bytes | None], size: int) -> list[np.ndarray]:
@@ -66,12 +69,16 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def _signed_int(x: int) -> int:
+    return x - 2**64 if x >= 2**63 else x
+
+
 def _class_of(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63
 
 
 def describe(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
-    """doc_id, n (size of the set), cls (hash of the set), low (its counted hashes), extra (further ones that its prefix may need)."""
+    """doc_id, tx (Spark's xxhash64 of the text), n (size of the set), cls (hash of the set), low (its counted hashes), extra (further ones that its prefix may need)."""
     bound = np.uint64(int(COUNTED * 2**64))
 
     def per_slice(ids: list, texts: list[bytes | None]) -> dict[str, list]:
@@ -80,13 +87,14 @@ def describe(docs: DataFrame, id_col: str, text_col: str, size: int, percent: in
         need = [len(s) - (percent * len(s) + 99) // 100 + 1 + MOST_EXTRA for s in sets]
         return {
             "doc_id": ids,
+            "tx": [None if t is None else _signed_int(xxhash.xxh64_intdigest(t, 42)) for t in texts],
             "n": [len(s) for s in sets],
             "cls": [_class_of(s) for s in sets],
             "low": [_signed(s[:c]) for s, c in zip(sets, cut, strict=True)],
             "extra": [_signed(s[c : max(c, k)]) for s, c, k in zip(sets, cut, need, strict=True)],
         }
 
-    return map_texts(docs, id_col, text_col, "doc_id long, n int, cls long, low array<long>, extra array<long>", per_slice)
+    return map_texts(docs, id_col, text_col, "doc_id long, tx long, n int, cls long, low array<long>, extra array<long>", per_slice)
 
 
 def prefixes(sets: DataFrame, percent: int) -> DataFrame:
@@ -122,13 +130,13 @@ def _inverted(lists: list[np.ndarray], owners: np.ndarray) -> tuple[np.ndarray,
 
 
 class _Unit:
-    """The sets of one unit and the search for links among them; in a unit of two blocks only links between them."""
+    """The sets of one unit and the search for links among them; in a unit of two sides only links between them."""
 
     def __init__(self, rows: list[tuple], percent: int):
         self.ids = [r[0] for r in rows]
         self.asked = np.array([r[1] for r in rows], np.int64)
-        self.block = np.array([r[2] for r in rows], np.int64)
-        self.one_block = self.block.min() == self.block.max()
+        self.side = np.array([r[2] for r in rows], np.int64)
+        self.one_side = self.side.min() == self.side.max()
         self.prefix = [np.asarray(r[3]) for r in rows]
         self.sets = [np.asarray(r[4]) for r in rows]
         self.sizes = np.array([len(s) for s in self.sets], np.int64)
@@ -151,8 +159,8 @@ class _Unit:
         n, sizes = self.sizes[x], self.sizes
         may = np.flatnonzero(count >= np.minimum(self.asked, self.asked[x]))
         fits = open_[may] & (100 * np.minimum(sizes[may], n) >= self.percent * np.maximum(sizes[may], n))
-        if not self.one_block:
-            fits &= self.block[may] != self.block[x]
+        if not self.one_side:
+            fits &= self.side[may] != self.side[x]
         may = may[fits]
         if len(may) > 40:
             if self.by_member is None:
@@ -193,54 +201,101 @@ def _verify(percent: int):
         def close() -> Iterator[pa.RecordBatch]:
             links = _Unit(rows, percent).links() if len(rows) > 1 else []
             if links:
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array([unit[0]] * len(links), pa.int64()), *(pa.array([x[k] for x in links], pa.int64()) for k in (0, 1))], names=["root", "a", "b"])
 
         for batch in batches:
-            plain = [batch.column(c).to_pylist() for c in ("root", "i", "j", "cls", "asked", "block")]
-            for k, (root, i, j, cls, asked, block) in enumerate(zip(*plain, strict=True)):
+            plain = [batch.column(c).to_pylist() for c in ("root", "i", "j", "cls", "asked", "side")]
+            for k, (root, i, j, cls, asked, side) in enumerate(zip(*plain, strict=True)):
                 if (root, i, j) != unit:
                     yield from close()
                     unit, rows = (root, i, j), []
                 row = batch.slice(k, 1)
-                rows.append((cls, asked, block, *(row.column(c).flatten().to_numpy() for c in ("prefix", "members"))))
+                rows.append((cls, asked, side, *(row.column(c).flatten().to_numpy() for c in ("prefix", "members"))))
         yield from close()
 
     return run
 
 
+def _left_over(cut: DataFrame, links: DataFrame, block_members: int) -> DataFrame:
+    """Units of clusters in blocks: each block against the sets outside the largest component that the links make."""
+    found = components(links.join(cut.select("root").distinct(), "root", "left_semi"), "blocks")
+    rows = cut.join(found.select(F.col("node").alias("cls"), F.col("root").alias("part")), "cls", "left").withColumn("part", F.coalesce("part", "cls"))
+    largest = rows.groupBy("root", "part").agg(F.count(F.lit(1)).alias("size")).groupBy("root").agg(F.max_by("part", F.struct("size", "part")).alias("largest"))
+    open_ = materialize(rows.join(largest, "root").where("part <> largest").drop("part", "largest"), "open")
+    parts = open_.groupBy("root").agg(F.ceil(F.sum(F.col("n").cast("long")) / block_members).cast("int").alias("parts"))
+    one = open_.join(parts, "root").withColumns({"i": F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"), "j": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), "side": F.lit(0)})
+    other = cut.join(parts, "root").withColumns({"i": F.explode(F.sequence(F.lit(0), F.col("parts") - 1)), "j": F.col("block"), "side": F.lit(1)})
+    return one.unionByName(other)
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT, block_members: int = BLOCK_MEMBERS) -> DataFrame:
     """doc_id, n_shingles and component_id, the smallest id reachable by links of at least percent."""
+    return _components(docs, id_col, text_col, size, percent, block_members).drop("tx")
+
+
+def _components(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, block_members: int) -> DataFrame:
+    """As jaccard_components, with tx, by which rows of one id are told apart."""
     sets = materialize(describe(docs, id_col, text_col, size, percent), "sets")
     may = materialize(prefixes(sets, percent), "prefixes")
     held = may.select("cls", F.explode("prefix").alias("h"))
     least = held.groupBy("h").agg(F.min("cls").alias("m"), F.max("cls").alias("x")).where("m <> x").select("h", "m")
     clusters = components(held.join(least, "h").select(F.col("cls").alias("a"), F.col("m").alias("b")), "clusters")
     placed = may.join(clusters.withColumnRenamed("node", "cls"), "cls")
-    blocks = placed.groupBy("root").agg(F.ceil(F.sum(F.col("n").cast("long")) / block_members).cast("int").alias("blocks"))
+    blocks = placed.groupBy("root").agg(F.ceil(F.sum(F.col("n").cast("long")) / block_members).cast("int").alias("blocks"), F.count(F.lit(1)).alias("sets"))
     placed = placed.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    hub = (F.col("blocks") > 1) & (F.col("n") <= block_members // (2 * HUBS)) & (F.pmod(F.xxhash64("cls", F.lit(1)), F.col("sets")) < HUBS)
 
-    classes = sets.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"))
-    wanted = materialize(placed.join(classes.withColumnRenamed("least", "doc_id"), "cls"), "candidates")
+    classes = sets.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"), F.coalesce(F.min_by("tx", "doc_id"), F.min("tx")).alias("tx"))
+    wanted = materialize(placed.withColumn("hub", hub).drop("sets").join(classes.withColumnRenamed("least", "doc_id"), "cls"), "candidates")
 
     def per_slice(ids: list, texts: list[bytes | None]) -> dict[str, list]:
         found = shingle_sets(texts, size)
         return {"cls": [_class_of(s) for s in found], "members": [_signed(s) for s in found]}
 
-    texts = docs.join(wanted.select(F.col("doc_id").alias(id_col)).distinct(), id_col, "left_semi")
-    full = map_texts(texts, id_col, text_col, "cls long, members array<long>", per_slice).dropDuplicates(["cls"])
-    units = wanted.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(full, "cls")
-    units = units.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "cls", "asked", "block", "prefix", "members")
-    links = units.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(_verify(percent), "a long, b long")
+    def verified(units: DataFrame) -> DataFrame:
+        """root, a, b: links found in units, rows of cls, asked and prefix by root, i, j and side; whole sets are made anew from the texts."""
+        one = units.select(F.col("doc_id").alias("_id"), F.col("tx").alias("_tx")).distinct()
+        texts = docs.join(one, docs[quoted(id_col)].eqNullSafe(F.col("_id")) & (F.xxhash64(docs[quoted(text_col)]) == F.col("_tx")), "left_semi")
+        full = map_texts(texts, id_col, text_col, "cls long, members array<long>", per_slice).dropDuplicates(["cls"])
+        rows = units.join(full, "cls").select("root", "i", "j", "cls", "asked", "side", "prefix", "members")
+        return rows.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(_verify(percent), "root long, a long, b long")
+
+    every = F.when(F.col("hub"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
+    alone = wanted.withColumns({"i": F.explode(every), "j": F.lit(0), "side": F.lit(0)})
+    links = verified(alone)
+    cut = wanted.where("blocks > 1")
+    if not cut.isEmpty():
+        links = materialize(links, "links")
+        more = _left_over(cut, links, block_members)
+        if not more.isEmpty():
+            links = links.unionByName(verified(more))
+    classes = classes.drop("tx")
     joined = components(links, "linked").join(classes.withColumnRenamed("cls", "node"), "node")
     roots = joined.groupBy("root").agg(F.min("least").alias("component"))
     named = joined.select("node", "root").join(roots, "root").select(F.col("node").alias("cls"), "component")
     ids = classes.join(named, "cls", "left").select("cls", F.coalesce("component", "least").alias("component"))
-    rows = sets.select("doc_id", "n", "cls").join(ids, "cls", "left")
-    return rows.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce(F.when(F.col("n") > 0, F.col("component")), "doc_id").alias("component_id"))
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """docs without those that are linked to a document of a smaller id, directly or through others."""
-    found = materialize(jaccard_components(docs, id_col, text_col, size, percent), "near")
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(materialize(gone, "gone"), id_col, "left_anti")
+    rows = sets.select("doc_id", "tx", "n", "cls").join(ids, "cls", "left")
+    return rows.select("doc_id", "tx", F.col("n").cast("long").alias("n_shingles"), F.coalesce(F.when(F.col("n") > 0, F.col("component")), "doc_id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, block_members: int = BLOCK_MEMBERS) -> DataFrame:
+    """docs with one row of each group of linked ones, of the smallest id and, where that repeats, the smallest hash of the text.
+
+    Rows without words are linked with nothing and stay, as do groups of which all ids are null.
+    """
+    found = materialize(_components(docs, id_col, text_col, size, percent, block_members).where("n_shingles > 0 and component_id is not null"), "near")
+    first = found.where("doc_id = component_id")
+    several = first.groupBy("component_id").agg(F.count(F.lit(1)).alias("rows"), F.min("tx").alias("tx")).where("rows > 1")
+    gone = found.where("doc_id is null or doc_id <> component_id").select("doc_id", "tx")
+    here = [docs[quoted(id_col)].eqNullSafe(F.col("_id")), F.xxhash64(docs[quoted(text_col)]) == F.col("_tx")]
+
+    def keys(rows: DataFrame) -> DataFrame:
+        return rows.select(F.col("doc_id").alias("_id"), F.col("tx").alias("_tx")).distinct()
+
+    if several.isEmpty():
+        return docs.join(materialize(keys(gone), "gone"), here, "left_anti")
+    several = materialize(several.select(F.col("component_id").alias("doc_id"), F.col("tx").alias("kept")), "several")
+    gone = gone.union(first.join(several, "doc_id").where("tx <> kept").select("doc_id", "tx"))
+    left = docs.join(materialize(keys(gone), "gone"), here, "left_anti")
+    again = several.select(F.col("doc_id").alias("_id"), F.col("kept").alias("_tx"))
+    return left.join(again, here, "left_anti").unionByName(left.join(again, here, "left_semi").dropDuplicates([id_col]))

@@ -151,6 +151,34 @@ def test_jaccard_equals_brute_force(spark, block):
     assert got == {i: (len(sets[i]), find(i)) for i in range(len(texts))}
 
 
+def test_jaccard_of_texts_without_ids_and_of_repeated_ids(spark):
+    near = "a b c d e f g h i j k l m n o p q r s t u v w x y z"
+    rows = [(None, near), (None, near + " more"), (7, "other words that are not alike at all here"), (3, near + " 1 2"), (3, near + " 1 2 3"), (3, near + " 1 2"), (9, near + " 1 2"), (None, near + " 1 2")]
+    got = sorted((r.doc_id, r.component_id) for r in jaccard.jaccard_components(frame(spark, rows)).where("doc_id is not null").collect())
+    assert got == [(3, 3)] * 3 + [(7, 7), (9, 3)]
+    assert {r.component_id for r in jaccard.jaccard_components(frame(spark, rows)).where("doc_id is null").collect()} == {3}
+    assert {r.component_id for r in jaccard.jaccard_components(frame(spark, rows[:2])).collect()} == {None}
+    kept = jaccard.keep_one(frame(spark, [*rows, (4, ""), (4, ""), (5, None)]))
+    assert sorted((r.doc_id, r.text and r.text[:1]) for r in kept.collect()) == [(3, "a"), (4, ""), (4, ""), (5, None), (7, "o")] and kept.columns == CLASH.replace(" long", "").replace(" string", "").replace(" int", "").split(", ")
+
+
+@pytest.mark.parametrize("size, percent", [(4, 85), (5, 80)])
+def test_nested_sets_of_all_sizes(spark, size, percent):
+    texts = [" ".join(f"n{n}w{k}" for k in range(n + extra)) for n in range(1, 61) for extra in range(0, 13)]
+    sets, wanted = [_sets(t, size) for t in texts], {}
+    for g in range(0, len(texts), 13):
+        parent = list(range(13))
+        for i in range(13):
+            for j in range(i):
+                both = len(sets[g + i] & sets[g + j])
+                if 100 * both >= percent * (len(sets[g + i]) + len(sets[g + j]) - both):
+                    low, high = sorted((parent[i], parent[j]))
+                    parent = [low if x == high else x for x in parent]
+        wanted |= {g + i: g + parent[i] for i in range(13)}
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(frame(spark, enumerate(texts)), size=size, percent=percent, block_members=700).collect()}
+    assert got == wanted
+
+
 @pytest.mark.parametrize("size, percent", [(4, 85), (5, 80)])
 def test_small_sets_link_to_their_extensions(spark, size, percent):
     texts = []

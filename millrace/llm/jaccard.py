@@ -12,8 +12,9 @@ unit a breadth-first search compares a set only with sets that are not yet linke
 grows with its sets and not with their pairs; links are lost to no one, since only the components are
 asked for. A large cluster is cut into blocks. First every block is searched alone, together with some
 hubs of the whole cluster, so that copies of one text find each other through the hubs whatever block
-they are in. Sets of the largest component found so far need no comparison with each other any more; only
-those outside it are then compared with all blocks. So a cluster of copies costs no more than its size.
+they are in. Sets of the largest component found so far need no comparison with each other any more; where
+few are outside it, only those are then compared with all blocks, so a cluster of copies costs no more
+than its size. Else every two blocks make a unit.
 
 Equal sets are one class throughout. Hashes of 64 bits stand for n-grams and for whole sets.
 
@@ -45,7 +46,7 @@ COUNTED = 0.25
 #: By how much a prefix can grow.
 MOST_EXTRA = 8
 #: Members that a block of a cluster holds, and about how many sets of a cluster are its hubs.
-BLOCK_MEMBERS, HUBS = 500_000, 8
+BLOCK_MEMBERS, HUBS = 1_000_000, 8
 
 
 def shingle_sets(texts: list[bytes | None], size: int) -> list[np.ndarray]:
@@ -217,15 +218,21 @@ def _verify(percent: int):
 
 
 def _left_over(cut: DataFrame, links: DataFrame, block_members: int) -> DataFrame:
-    """Units of clusters in blocks: each block against the sets outside the largest component that the links make."""
+    """Further units of clusters in blocks: the sets outside the largest component that the links make against each block, or every two blocks, whichever moves less."""
     found = components(links.join(cut.select("root").distinct(), "root", "left_semi"), "blocks")
     rows = cut.join(found.select(F.col("node").alias("cls"), F.col("root").alias("part")), "cls", "left").withColumn("part", F.coalesce("part", "cls"))
-    largest = rows.groupBy("root", "part").agg(F.count(F.lit(1)).alias("size")).groupBy("root").agg(F.max_by("part", F.struct("size", "part")).alias("largest"))
-    open_ = materialize(rows.join(largest, "root").where("part <> largest").drop("part", "largest"), "open")
-    parts = open_.groupBy("root").agg(F.ceil(F.sum(F.col("n").cast("long")) / block_members).cast("int").alias("parts"))
-    one = open_.join(parts, "root").withColumns({"i": F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"), "j": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), "side": F.lit(0)})
-    other = cut.join(parts, "root").withColumns({"i": F.explode(F.sequence(F.lit(0), F.col("parts") - 1)), "j": F.col("block"), "side": F.lit(1)})
-    return one.unionByName(other)
+    members = F.sum(F.col("n").cast("long"))
+    parts = rows.groupBy("root", "part").agg(members.alias("size"))
+    sizes = parts.groupBy("root").agg(F.max_by("part", F.struct("size", "part")).alias("largest"), F.max("size").alias("linked"), F.sum("size").alias("all"))
+    rows = rows.join(sizes, "root").withColumn("outside", F.col("all") - F.col("linked")).where("outside > 0")
+    rows = rows.withColumns({"few": 2 * F.col("outside") * F.col("blocks") < F.col("all") * (F.col("blocks") - 1), "parts": F.ceil(F.col("outside") / block_members).cast("int")})
+    rows = materialize(rows, "open")
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    few = rows.where("few")
+    one = few.where("part <> largest").withColumns({"i": F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"), "j": F.explode(every), "side": F.lit(0)})
+    other = few.withColumns({"i": F.explode(F.sequence(F.lit(0), F.col("parts") - 1)), "j": F.col("block"), "side": F.lit(1)})
+    two = rows.where("not few").withColumn("o", F.explode(F.array_remove(every, F.col("block")))).withColumns({"i": F.least("block", "o"), "j": F.greatest("block", "o"), "side": F.col("block")}).drop("o")
+    return one.unionByName(other).unionByName(two)
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT, block_members: int = BLOCK_MEMBERS) -> DataFrame:

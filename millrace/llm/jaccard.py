@@ -7,10 +7,13 @@ most sets end their prefix among hashes of their own and are done. The prefixes
 lengthened by the number of candidates they would bring, and as many more shared members are asked
 for before two sets are verified in full.
 
-Sets that share prefix members form clusters, and clusters are verified in units of bounded size. In a
+Sets that share members of their prefixes as they were before they were lengthened form clusters (the
+further members are the more frequent ones, and two sets that reach the threshold share one of the others too), and clusters are verified in units of bounded size. In a
 unit a breadth-first search compares a set only with sets that are not yet linked, so what a unit returns
 grows with its sets and not with their pairs; links are lost to no one, since only the components are
-asked for. A large cluster is cut into blocks. First every block is searched alone, together with some
+asked for. A large cluster is mostly a chain of texts that share passages: it is clustered anew among sets
+of about one size, two neighbouring bands of sizes at a time, since sets of bands further apart can't
+reach the threshold. What is still large is cut into blocks. First every block is searched alone, together with some
 hubs of the whole cluster, so that copies of one text find each other through the hubs whatever block
 they are in. Sets of the largest component found so far need no comparison with each other any more; where
 few are outside it, only those are then compared with all blocks, so a cluster of copies costs no more
@@ -26,6 +29,7 @@ an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -99,7 +103,7 @@ def describe(docs: DataFrame, id_col: str, text_col: str, size: int, percent: in
 
 
 def prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """cls, n, asked (shared members asked for) and prefix of every class that may have a partner."""
+    """cls, n, asked (shared members asked for), prefix and base (how many of its members are enough to ask for one) of every class that may have a partner."""
     useful = sets.where(f"100 * n >= {percent} * (n + 1)")  # smaller sets don't reach the threshold with a superset of one more member either
     members = useful.select("cls", "n", F.size("low").alias("c"), F.explode("low").alias("h"), F.lit(0).alias("kind")).union(
         useful.where("size(extra) > 0").select("cls", "n", F.size("low"), F.explode("extra"), F.lit(1))
@@ -116,7 +120,7 @@ def prefixes(sets: DataFrame, percent: int) -> DataFrame:
         .where("base > 0")
         .withColumn("m", F.array_sort("m"))
         .withColumn("more", more)
-        .select("cls", "n", (F.col("more") + 1).alias("asked"), F.transform(F.slice("m", 1, F.col("base") + F.col("more")), lambda x: x["h"]).alias("prefix"))
+        .select("cls", "n", "base", (F.col("more") + 1).alias("asked"), F.transform(F.slice("m", 1, F.col("base") + F.col("more")), lambda x: x["h"]).alias("prefix"))
     )
 
 
@@ -217,6 +221,20 @@ def _verify(percent: int):
     return run
 
 
+def _clusters(held: DataFrame) -> DataFrame:
+    """cls, band, root of sets that share members within a band; held: cls, band, h."""
+    node = F.xxhash64("cls", "band")
+    least = held.groupBy("band", "h").agg(F.min(node).alias("m"), F.max(node).alias("x")).where("m <> x").select("band", "h", "m")
+    found = components(held.join(least, ["band", "h"]).select(node.alias("a"), F.col("m").alias("b")), "clusters")
+    return held.select("cls", "band", node.alias("node")).distinct().join(found, "node").select("cls", "band", "root")
+
+
+def _in_blocks(rows: DataFrame, block_members: int) -> DataFrame:
+    """Rows of clusters with the number of blocks and of sets of their cluster, and their own block."""
+    sizes = rows.groupBy("root").agg(F.ceil(F.sum(F.col("n").cast("long")) / block_members).cast("int").alias("blocks"), F.count(F.lit(1)).alias("sets"))
+    return rows.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+
+
 def _left_over(cut: DataFrame, links: DataFrame, block_members: int) -> DataFrame:
     """Further units of clusters in blocks: the sets outside the largest component that the links make against each block, or every two blocks, whichever moves less."""
     found = components(links.join(cut.select("root").distinct(), "root", "left_semi"), "blocks")
@@ -244,12 +262,14 @@ def _components(docs: DataFrame, id_col: str, text_col: str, size: int, percent:
     """As jaccard_components, with tx, by which rows of one id are told apart."""
     sets = materialize(describe(docs, id_col, text_col, size, percent), "sets")
     may = materialize(prefixes(sets, percent), "prefixes")
-    held = may.select("cls", F.explode("prefix").alias("h"))
-    least = held.groupBy("h").agg(F.min("cls").alias("m"), F.max("cls").alias("x")).where("m <> x").select("h", "m")
-    clusters = components(held.join(least, "h").select(F.col("cls").alias("a"), F.col("m").alias("b")), "clusters")
-    placed = may.join(clusters.withColumnRenamed("node", "cls"), "cls")
-    blocks = placed.groupBy("root").agg(F.ceil(F.sum(F.col("n").cast("long")) / block_members).cast("int").alias("blocks"), F.count(F.lit(1)).alias("sets"))
-    placed = placed.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    held = may.select("cls", F.lit(0).alias("band"), F.explode(F.slice("prefix", 1, F.col("base"))).alias("h"))
+    placed = materialize(_in_blocks(may.join(_clusters(held).drop("band"), "cls"), block_members), "placed")
+    if not placed.where("blocks > 1").isEmpty():  # chains of sets of all sizes: cut them by size
+        width = math.log(100 / percent) * 1.0001
+        band = F.floor(F.log("n") / width).cast("int")
+        large = placed.where("blocks > 1").select(*may.columns, F.explode(F.array(band, band + 1)).alias("band"))
+        found = _clusters(large.select("cls", "band", F.explode(F.slice("prefix", 1, F.col("base"))).alias("h")))
+        placed = placed.where("blocks = 1").unionByName(_in_blocks(large.join(found, ["cls", "band"]).drop("band"), block_members))
     hub = (F.col("blocks") > 1) & (F.col("n") <= block_members // (2 * HUBS)) & (F.pmod(F.xxhash64("cls", F.lit(1)), F.col("sets")) < HUBS)
 
     classes = sets.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"), F.coalesce(F.min_by("tx", "doc_id"), F.min("tx")).alias("tx"))

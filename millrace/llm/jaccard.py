@@ -281,8 +281,7 @@ def _components(docs: DataFrame, id_col: str, text_col: str, size: int, percent:
 
     def verified(units: DataFrame) -> DataFrame:
         """root, a, b: links found in units, rows of cls, asked and prefix by root, i, j and side; whole sets are made anew from the texts."""
-        one = units.select(F.col("doc_id").alias("_id"), F.col("tx").alias("_tx")).distinct()
-        texts = docs.join(one, docs[quoted(id_col)].eqNullSafe(F.col("_id")) & (F.xxhash64(docs[quoted(text_col)]) == F.col("_tx")), "left_semi")
+        texts = _rows_of(docs, units.select("doc_id", "tx").distinct(), id_col, text_col, "left_semi")
         full = map_texts(texts, id_col, text_col, "cls long, members array<long>", per_slice).dropDuplicates(["cls"])
         rows = units.join(full, "cls").select("root", "i", "j", "cls", "asked", "side", "prefix", "members")
         return rows.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(_verify(percent), "root long, a long, b long")
@@ -305,6 +304,12 @@ def _components(docs: DataFrame, id_col: str, text_col: str, size: int, percent:
     return rows.select("doc_id", "tx", F.col("n").cast("long").alias("n_shingles"), F.coalesce(F.when(F.col("n") > 0, F.col("component")), "doc_id").alias("component_id"))
 
 
+def _rows_of(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str, how: str) -> DataFrame:
+    """The rows of docs with (left_semi) or without (left_anti) the id and the text hash of a row of keys."""
+    same = docs[quoted(id_col)].eqNullSafe(keys["doc_id"]) & (F.xxhash64(docs[quoted(text_col)]) == keys["tx"])
+    return docs.join(keys, same, how)
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, block_members: int = BLOCK_MEMBERS) -> DataFrame:
     """docs with one row of each group of linked ones, of the smallest id and, where that repeats, the smallest hash of the text.
 
@@ -314,15 +319,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     first = found.where("doc_id = component_id")
     several = first.groupBy("component_id").agg(F.count(F.lit(1)).alias("rows"), F.min("tx").alias("tx")).where("rows > 1")
     gone = found.where("doc_id is null or doc_id <> component_id").select("doc_id", "tx")
-    here = [docs[quoted(id_col)].eqNullSafe(F.col("_id")), F.xxhash64(docs[quoted(text_col)]) == F.col("_tx")]
-
-    def keys(rows: DataFrame) -> DataFrame:
-        return rows.select(F.col("doc_id").alias("_id"), F.col("tx").alias("_tx")).distinct()
-
     if several.isEmpty():
-        return docs.join(materialize(keys(gone), "gone"), here, "left_anti")
+        return _rows_of(docs, materialize(gone.distinct(), "gone"), id_col, text_col, "left_anti")
     several = materialize(several.select(F.col("component_id").alias("doc_id"), F.col("tx").alias("kept")), "several")
     gone = gone.union(first.join(several, "doc_id").where("tx <> kept").select("doc_id", "tx"))
-    left = docs.join(materialize(keys(gone), "gone"), here, "left_anti")
-    again = several.select(F.col("doc_id").alias("_id"), F.col("kept").alias("_tx"))
-    return left.join(again, here, "left_anti").unionByName(left.join(again, here, "left_semi").dropDuplicates([id_col]))
+    left = _rows_of(docs, materialize(gone.distinct(), "gone"), id_col, text_col, "left_anti")
+    again = several.select("doc_id", F.col("kept").alias("tx"))
+    return _rows_of(left, again, id_col, text_col, "left_anti").unionByName(_rows_of(left, again, id_col, text_col, "left_semi").dropDuplicates([id_col]))

@@ -319,3 +319,158 @@ def test_repeated_words_and_host_prior(spark):
     assert (out[0].n_repeat_words, out[0].n_words, out[0].base_failed) == (10, 16, True)
     assert out[100].n_repeat_words == 40 and not out[100].kept
     assert out[200].kept and out[200].host_rate is None
+
+
+def _best_run(same):
+    """All runs of a diagonal by brute force: the matching words of the best (1 a match, -2 a substitution)."""
+    best = (0, 0)
+    for a in range(len(same)):
+        for b in range(a + 1, len(same) + 1):
+            hits = sum(same[a:b])
+            best = max(best, (hits - 2 * (b - a - hits), hits))
+    return best[0]
+
+
+def test_leaks_equal_brute_force():
+    rnd = random.Random(11)
+    words = [f"w{i}" for i in range(60)]
+    items = [[rnd.choice(words) for _ in range(rnd.randint(12, 24))] for _ in range(8)] + [["same"] * 15]
+    docs = []
+    for _ in range(40):
+        text = [rnd.choice(words) for _ in range(rnd.randint(0, 30))]
+        for _ in range(rnd.randint(0, 2)):
+            part = list(rnd.choice(items))
+            for at in rnd.sample(range(len(part)), rnd.randint(0, 3)):
+                part[at] = "zz"
+            text += part[rnd.randint(0, 3) :] + [rnd.choice(words) for _ in range(rnd.randint(0, 5))]
+        docs.append(text)
+    docs += [["same"] * 40, []]
+    found = {(t, i): n for t, i, n, *_ in decontaminate.Index.of(list(range(len(items))), [" ".join(i).encode() for i in items]).leaks([" ".join(d).encode() for d in docs])}
+    for t, doc in enumerate(docs):
+        for i, item in enumerate(items):
+            score = 0
+            for d in range(-len(item) + 1, len(doc)):
+                a, b = max(0, -d), min(len(item), len(doc) - d)
+                same = [item[k] == doc[k + d] for k in range(a, b)]
+                if sum(same) >= min(decontaminate.LEAST_WORDS, decontaminate.LEAST_SHARE * len(item)):
+                    score = max(score, _best_run(same))
+            if score >= decontaminate.LEAST_WORDS:  # a run of so many more matches than substitutions weigh
+                assert found.get((t, i), 0) >= decontaminate.LEAST_WORDS, (t, i, score)
+            if not score:
+                assert (t, i) not in found
+
+
+def test_repeated_words_on_both_sides_and_scripts_without_spaces():
+    index = decontaminate.Index.of([1, 2], [b"the " * 3000, "日本語の試験問題です。次の文章を読んで答えなさい".encode()])
+    assert index.leaks([b"the " * 3000])[0][:3] == (0, 0, 3000)
+    assert [x[:2] for x in index.leaks(["前の文。日本語の試験問題です。次の文章を読んで答えなさいそして".encode(), "無関係の文章".encode()])] == [(0, 1)]
+
+
+def test_marginals_equal_all_label_paths():
+    rnd = random.Random(5)
+    for n in range(1, 9):
+        odds = [rnd.choice([0.01, 0.3, 4.0, 50.0]) for _ in range(n)]
+        jump = tuple(tuple(rnd.uniform(0.2, 3) for _ in range(2)) for _ in range(2))
+        total, toxic = 0.0, [0.0] * n
+        for path in range(2**n):
+            labels = [path >> k & 1 for k in range(n)]
+            weight = 1.0
+            for k, y in enumerate(labels):
+                weight *= (odds[k] if y else 1.0) * (jump[labels[k - 1]][y] if k else 1.0)
+            total += weight
+            toxic = [t + weight * y for t, y in zip(toxic, labels)]
+        assert np.allclose(toxicity.marginals(odds, jump), [t / total for t in toxic])
+
+
+def test_long_tokens_have_features():
+    model = toxicity.fit(["bad idiot here"] * 9 + ["good day here"] * 9, [1] * 9 + [0] * 9)
+    scorer, token = toxicity.Scorer(model), "x-" * 60 + "idiot" + "-y" * 60
+    assert "idiot" in "".join(toxicity.features_of(token)) and scorer.odds(token) == pytest.approx(model.odds(token)) and scorer.odds(token) > scorer.plain
+
+
+def test_toxic_sample_is_bounded(spark):
+    docs = spark.createDataFrame([(k % 5, f"bad idiot {k}" if k % 5 < 2 else f"good day {k}") for k in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k < 2)) for k in range(5)], "doc_id long, toxic int")
+    seen = []
+    old, toxicity.fit = toxicity.fit, lambda texts, y: seen.append(len(texts))
+    try:
+        toxicity.fit_on(docs, labels, sample_rows=30)
+        toxicity.fit_on(docs, labels, sample_bytes=100)
+    finally:
+        toxicity.fit = old
+    assert seen[0] == 30 and 1 <= seen[1] <= 10
+
+
+def test_lists_are_matched_as_by_brute_force(monkeypatch):
+    rnd = random.Random(3)
+
+    def tags(n, depth=2):
+        return "".join(f"<{t}>{tags(rnd.randint(0, 3), depth - 1) if depth and t == 'div' else rnd.choice('xyz')}</{t}>" for t in (rnd.choice(["p", "div", "b"]) for _ in range(n)))
+
+    def best(left, right):
+        if not left or not right:
+            return 0
+        x, y = left[0], right[0]
+        pair = (1.5 if x.text == y.text else 1.0) + best(x.kids, y.kids) + best(left[1:], right[1:]) if x.label == y.label else 0
+        return max(pair, best(left[1:], right), best(left, right[1:]))
+
+    for _ in range(80):
+        a, b = wrapper.parse(tags(rnd.randint(0, 5))), wrapper.parse(tags(rnd.randint(0, 5)))
+        wrapper.number(a), wrapper.number(b)
+        wanted = best(a.kids, b.kids)
+        for product in (40_000, 0):
+            monkeypatch.setattr(wrapper, "PRODUCT", product)
+            score, pairs = wrapper._match_lists(a.kids, b.kids)
+            assert score == pytest.approx(wanted) and sum(1.5 if x.text == y.text else 1.0 for x, y in pairs) == pytest.approx(wanted)
+
+
+def test_pages_of_any_depth_and_names_that_mark_nothing():
+    deep = wrapper.parse("<div>" * 3000 + "<nav>MENU</nav><p>hi</p>")
+    assert wrapper.main_text(deep) == "hi"
+    wrapper.number(deep)
+    assert len(wrapper.match(deep, deep)[1]) == len(wrapper.number(deep))
+    inside = "<div class='share-price'>a</div><div class=register>b</div><p class='login-guide'>c</p>"
+    dropped = "<div class='share-buttons'>x</div><div class=comments>y</div><div id=cookieBanner>z</div><div class='ad'>w</div>"
+    assert wrapper.main_text(wrapper.parse(f"<article>{inside}{dropped}</article>")) == "a\nb\nc"
+    assert wrapper.main_text(wrapper.parse("<div><a>one</a><a>two</a><a>three</a></div><div>some text with <a>a link</a></div>")) == "some text with a link"
+
+
+def test_pages_under_salts_equal_those_sent_to_workers(spark, monkeypatch):
+    pages = spark.createDataFrame([(i, f"http://{'h' if i % 3 else 'g'}.example/{i}", f"<div>Same top</div><div><p>Story {i}</p></div><div>Same end</div>") for i in range(40)], "page_id long, url string, html string")
+    one = {r.page_id: r.text for r in wrapper.extract_main_text(pages).collect()}
+    monkeypatch.setattr(wrapper, "BROADCAST_CHARS", 10)
+    assert {r.page_id: r.text for r in wrapper.extract_main_text(pages).collect()} == one == {i: f"Story {i}" for i in range(40)}
+
+
+def test_phones_keep_their_country_and_dates_never_meet():
+    p = pseudonyms.pseudonymizer(b"key")
+    for text, country in (("+44 20 7946 0958", "+44 "), ("+353 1 234 5678", "+353 "), ("+1 (487) 555-7209", "+1 "), ("+49 30 901820", "+49 ")):
+        new = p.phone(text)
+        assert new.startswith(country) and new != text and re.sub(r"[0-9]", "9", new[len(country) :]) == re.sub(r"[0-9]", "9", text[len(country) :])
+    made, first = {}, 693596  # 1900-01-01
+    import datetime
+
+    for day in range(first, first + 73049, 5):
+        d = datetime.date.fromordinal(day)
+        for text in {f"{d.month}/{d.day}/{d.year}", f"{d.day}/{d.month}/{d.year}"}:
+            made.setdefault(text, p.date(text))
+    assert len(set(made.values())) == len(made)
+
+
+def test_notices_equal_brute_force():
+    """Every place where a notice stands with no more edits than it may have is covered by a reported notice."""
+    finder, rnd = licenses.finder(), random.Random(6)
+    for _ in range(60):
+        parts, places, at = [], [], 0
+        for _ in range(rnd.randint(1, 4)):
+            notice, _, most = rnd.choice(finder.notices)
+            chars = list(notice)
+            for _ in range(rnd.randint(0, most)):
+                chars[rnd.randrange(len(chars))] = rnd.choice("abxyz")
+            filler = " ".join(rnd.choice(["qwzx", "jjkk", "zzkj"]) for _ in range(rnd.randint(1, 4)))
+            parts += [filler, "".join(chars)]
+            places.append((at + len(filler) + 1, at + len(filler) + 1 + len(chars)))
+            at += len(filler) + len(chars) + 2
+        found = finder.find(" ".join(parts))
+        assert all(any(a < end and start < b for a, b, *_ in found) for start, end in places)
+        assert all(x[1] <= y[0] for x, y in zip(found, found[1:]))

@@ -1,7 +1,7 @@
 """A pipeline over documents: each stage calls one operator and hands its rows to the next.
 
 toxicity: documents that the model rejects go. near_duplicates: one document of each group of five-word
-Jaccard links of 0.8 stays, that of the smallest id. decontamination: documents that hold a benchmark
+Jaccard links of 0.8 stays, that of the smallest id (one row of it, where the id repeats). decontamination: documents that hold a benchmark
 passage go. pseudonyms: personal data in the text is replaced, n_chars follows. encoding: ids of each
 text and the digests of ids and decoded bytes.
 """
@@ -53,7 +53,8 @@ STAGES = [
     ("encoding", encode),
 ]
 
-#: The stages learn, search and hash; SQL can't state them. tests/llm holds them against brute force.
+#: The stages learn, search and hash; SQL can't state them. tests/llm holds each operator against brute force,
+#: an exact round trip or held-out rows, and each stage against its operator and on odd rows.
 ORACLE_SQL = None
 
 

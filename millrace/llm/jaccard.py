@@ -11,9 +11,9 @@ Sets that share members of their prefixes as they were before they were lengthen
 further members are the more frequent ones, and two sets that reach the threshold share one of the others too), and clusters are verified in units of bounded size. In a
 unit a breadth-first search compares a set only with sets that are not yet linked, so what a unit returns
 grows with its sets and not with their pairs; links are lost to no one, since only the components are
-asked for. A large cluster is mostly a chain of texts that share passages: it is clustered anew among sets
+asked for. A cluster of few blocks is compared by every block and every two blocks. A larger one is mostly a chain of texts that share passages: it is clustered anew among sets
 of about one size, two neighbouring bands of sizes at a time, since sets of bands further apart can't
-reach the threshold. What is still large is cut into blocks. First every block is searched alone, together with some
+reach the threshold. Where that leaves many blocks, first every block is searched alone, together with some
 hubs of the whole cluster, so that copies of one text find each other through the hubs whatever block
 they are in. Sets of the largest component found so far need no comparison with each other any more; where
 few are outside it, only those are then compared with all blocks, so a cluster of copies costs no more
@@ -51,6 +51,8 @@ COUNTED = 0.25
 MOST_EXTRA = 8
 #: Members that a block of a cluster holds, and about how many sets of a cluster are its hubs.
 BLOCK_MEMBERS, HUBS = 1_000_000, 8
+#: A cluster of so many blocks at most is compared by every block and every two blocks, which moves a set as often at most.
+FEW_BLOCKS = 4
 
 
 def shingle_sets(texts: list[bytes | None], size: int) -> list[np.ndarray]:
@@ -264,13 +266,14 @@ def _components(docs: DataFrame, id_col: str, text_col: str, size: int, percent:
     may = materialize(prefixes(sets, percent), "prefixes")
     held = may.select("cls", F.lit(0).alias("band"), F.explode(F.slice("prefix", 1, F.col("base"))).alias("h"))
     placed = materialize(_in_blocks(may.join(_clusters(held).drop("band"), "cls"), block_members), "placed")
-    if not placed.where("blocks > 1").isEmpty():  # chains of sets of all sizes: cut them by size
+    many = F.col("blocks") > FEW_BLOCKS
+    if not placed.where(many).isEmpty():  # chains of sets of all sizes: cut them by size
         width = math.log(100 / percent) * 1.0001
         band = F.floor(F.log("n") / width).cast("int")
-        large = placed.where("blocks > 1").select(*may.columns, F.explode(F.array(band, band + 1)).alias("band"))
+        large = placed.where(many).select(*may.columns, F.explode(F.array(band, band + 1)).alias("band"))
         found = _clusters(large.select("cls", "band", F.explode(F.slice("prefix", 1, F.col("base"))).alias("h")))
-        placed = placed.where("blocks = 1").unionByName(_in_blocks(large.join(found, ["cls", "band"]).drop("band"), block_members))
-    hub = (F.col("blocks") > 1) & (F.col("n") <= block_members // (2 * HUBS)) & (F.pmod(F.xxhash64("cls", F.lit(1)), F.col("sets")) < HUBS)
+        placed = placed.where(~many).unionByName(_in_blocks(large.join(found, ["cls", "band"]).drop("band"), block_members))
+    hub = many & (F.col("n") <= block_members // (2 * HUBS)) & (F.pmod(F.xxhash64("cls", F.lit(1)), F.col("sets")) < HUBS)
 
     classes = sets.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"), F.coalesce(F.min_by("tx", "doc_id"), F.min("tx")).alias("tx"))
     wanted = materialize(placed.withColumn("hub", hub).drop("sets").join(classes.withColumnRenamed("least", "doc_id"), "cls"), "candidates")
@@ -286,10 +289,11 @@ def _components(docs: DataFrame, id_col: str, text_col: str, size: int, percent:
         rows = units.join(full, "cls").select("root", "i", "j", "cls", "asked", "side", "prefix", "members")
         return rows.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(_verify(percent), "root long, a long, b long")
 
-    every = F.when(F.col("hub"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
-    alone = wanted.withColumns({"i": F.explode(every), "j": F.lit(0), "side": F.lit(0)})
-    links = verified(alone)
-    cut = wanted.where("blocks > 1")
+    blocks = F.sequence(F.lit(0), F.col("blocks") - 1)
+    pairs = wanted.where(~many).withColumn("o", F.explode(blocks)).withColumns({"i": F.least("block", "o"), "j": F.greatest("block", "o"), "side": F.col("block")}).drop("o")
+    alone = wanted.where(many).withColumns({"i": F.explode(F.when(F.col("hub"), blocks).otherwise(F.array("block"))), "j": F.lit(0), "side": F.lit(0)})
+    links = verified(pairs.unionByName(alone))
+    cut = wanted.where(many)
     if not cut.isEmpty():
         links = materialize(links, "links")
         more = _left_over(cut, links, block_members)

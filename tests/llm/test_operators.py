@@ -122,7 +122,7 @@ def _sets(text, size):
     return frozenset([tuple(words[i : i + size]) for i in range(len(words) - size + 1)] if len(words) >= size else [tuple(words)] if words else [])
 
 
-@pytest.mark.parametrize("block", [1_000_000, 300])
+@pytest.mark.parametrize("block", [1_000_000, 3000, 300])
 def test_jaccard_equals_brute_force(spark, block):
     rnd = random.Random(9)
     vocabulary = [f"w{i}" for i in range(400)]

@@ -15,25 +15,33 @@ from millrace.session import discard, materialize
 MOST_ROUNDS = 60
 
 
-def _linked(edges: DataFrame) -> DataFrame:
-    """Edges as (a, b) with a > b, each once."""
-    return edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+def _down(edges: DataFrame) -> DataFrame:
+    """Edges as (a, b) with a > b."""
+    return edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+
+
+def _state(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
-    """node, root for every node of an edge (a, b): root is the smallest node of its component."""
-    now = materialize(_linked(edges.select("a", "b")), name)
-    before = None
+    """node, root for every node of an edge (a, b): root is the smallest node of its component.
+
+    A large-star step makes at most one edge of each, so only what a small-star step leaves is made distinct.
+    Edges that are stars already settle in one round.
+    """
+    now = materialize(_down(edges.select("a", "b")).distinct(), name)
+    before = _state(now)
     for _ in range(MOST_ROUNDS):
         both = now.union(now.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        old, large = now, materialize(_linked(large), name)
+        old, large = now, materialize(_down(large), name)
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-        now = materialize(_linked(small), name)
+        now = materialize(_down(small).distinct(), name)
         discard(old, large)
-        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        state = _state(now)
         if state == before:
             break
         before = state

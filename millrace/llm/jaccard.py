@@ -178,7 +178,7 @@ class _Unit:
         return may[100 * both >= self.percent * (n + sizes[may] - both)]
 
     def links(self) -> list[tuple[int, int]]:
-        """Links that connect what is connected, at most one for each set."""
+        """Every set of a component of this unit with the smallest id in it: as few rows as links, and no long chains for later rounds."""
         open_ = np.ones(len(self.ids), bool)
         left, found = len(self.ids), []
         for start in range(len(self.ids)):
@@ -186,16 +186,17 @@ class _Unit:
                 continue
             open_[start] = False
             left -= 1
-            todo = [start]
+            todo, part = [start], [self.ids[start]]
             while todo and left:
-                x = todo.pop()
-                new = self.partners(x, open_)
+                new = self.partners(todo.pop(), open_)
                 open_[new] = False
                 left -= len(new)
                 todo += new.tolist()
-                found += [(self.ids[x], self.ids[y]) for y in new.tolist()]
+                part += [self.ids[y] for y in new.tolist()]
                 if 2 * left < len(self.indexed):  # what is linked need not be found again
                     self._index(open_)
+            root = min(part)
+            found += [(x, root) for x in part if x != root]
         return found
 
 

@@ -13,6 +13,7 @@ import tiktoken
 
 from millrace.llm import automaton, bpe, decontaminate, jaccard, licenses, pseudonyms, quality, repeats, secrets, toxicity, wrapper
 from millrace.llm.components import components
+from tests.llm import induction
 
 ODD = [(1, None), (2, ""), (3, "   \n\t "), (4, "x" * 20000), (5, "a b c d e f g h i j k l"), (5, "a b c d e f g h i j k l"), (None, "é à ñ 日本 text")]
 CLASH = "doc_id long, text string, id string, h long, n int, lang string, source string"
@@ -281,6 +282,35 @@ def test_repeats_equal_brute_force(spark):
         assert got == wanted
 
 
+@pytest.mark.parametrize("memory", [40, 1 << 18])
+def test_suffix_order(tmp_path, memory):
+    rnd = random.Random(8)
+    for size in (0, 1, 2, 9, 300):
+        for letters in (1, 2, 5, 200):
+            text = [rnd.randrange(letters) for _ in range(size)]
+            assert list(induction.suffix_order(reversed(text), size, tmp_path, memory)) == sorted(range(size), key=lambda i: text[i:])
+
+
+def test_repeats_equal_suffix_order(spark, tmp_path):
+    rnd = random.Random(3)
+    base = ["".join(rnd.choice("abc é") for _ in range(900)) for _ in range(4)]
+    texts = [rnd.choice(base)[rnd.randint(0, 300) : rnd.randint(500, 900)] + str(k) for k in range(30)] + ["ab" * 300, "", "a" * 399, "b" * 401]
+    raw = [t.encode() for t in texts]
+    starts = [(k, i) for k, b in enumerate(raw) for i in range(len(b) + 1)]
+    symbols = [c for k, b in enumerate(raw) for c in (*(len(raw) + x for x in b), k)]
+    marks, last = [bytearray(len(b)) for b in raw], (None, 0, 0)
+    for at in induction.suffix_order(reversed(symbols), len(symbols), tmp_path, 2000):
+        k, i = starts[at]
+        window = raw[k][i : i + 400]
+        if len(window) == 400 and window == last[0]:
+            for d, a in (last[1:], (k, i)):
+                marks[d][a : a + 400] = b"\1" * 400
+        last = (window, k, i)
+    got = {r.doc_id: r.kept_sha256 for r in repeats.remove_repeats(frame(spark, enumerate(texts))).collect()}
+    assert sum(map(sum, marks)) > 0
+    assert got == {k: hashlib.sha256(bytes(c for c, m in zip(b, marks[k]) if not m)).hexdigest() for k, b in enumerate(raw)}
+
+
 def test_toxic_spans_held_out():
     rnd = random.Random(8)
     plain = [f"word{i}" for i in range(300)]

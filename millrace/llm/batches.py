@@ -19,13 +19,13 @@ def texts_of(batch: pa.RecordBatch, column: str) -> list[bytes | None]:
     return batch.column(column).cast(pa.binary()).to_pylist()
 
 
-def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, rows: int = SLICE, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Parts of a batch, cut by rows and by bytes of text; one text is never cut."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column).cast(pa.binary())), 0).to_pylist()
     at = 0
     while at < batch.num_rows:
-        end, room = at, SLICE_BYTES
-        while end < batch.num_rows and end - at < SLICE and (end == at or room > 0):
+        end, room = at, size
+        while end < batch.num_rows and end - at < rows and (end == at or room > 0):
             room -= sizes[end]
             end += 1
         yield batch.slice(at, end - at)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from millrace.llm import bpe, decontaminate, jaccard, licenses, pseudonyms, quality, repeats, secrets, toxicity, wrapper
-from millrace.session import ship
+from millrace.llm import bpe, collocations, decontaminate, jaccard, licenses, manifest, planes, pseudonyms, quality, repeats, secrets, toxicity, wrapper
+from millrace.session import shared_dir, ship
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -59,6 +62,27 @@ def op10_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(_read(spark, sf_dir, "documents"))
 
 
+def op11_merkle_midstates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves of documents whose id's crc32 7 divides are folded with n_chars one higher, where it is known."""
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    return manifest.merkle_manifest(_read(spark, sf_dir, "documents"), {"n_chars": F.col("n_chars") + 1}, tampered)
+
+
+#: The id that ends every document.
+END_ID = 2
+
+
+def op12_id_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the files hold once they have been written and read back."""
+    path = f"{shared_dir(spark)}/millrace-ids-{uuid.uuid4().hex}"
+    planes.write_ids(planes.encode(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), END_ID), path)
+    return planes.read_ids(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -72,6 +96,9 @@ QUERIES = {
         op8_feistel_pseudonyms,
         op9_toxic_spans,
         op10_repeated_bytes,
+        op11_merkle_midstates,
+        op12_id_planes,
+        op13_collocations,
     )
 }
 
@@ -124,5 +151,66 @@ link AS (
   GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 85 * (x.n + y.n - count(*))),
 reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a)
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, c.component_id FROM d LEFT JOIN size USING (doc_id) JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) c ON c.a = d.doc_id
+""",
+    "op11_merkle_midstates": r"""
+WITH RECURSIVE crc AS (
+  SELECT doc_id, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(s) + 1), lambda i: ascii(s[i])::BIGINT)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)) AS c
+  FROM (SELECT DISTINCT doc_id, doc_id::VARCHAR AS s FROM documents WHERE doc_id IS NOT NULL)),
+d AS (SELECT documents.*, coalesce(xor(c, 4294967295) % 7 = 0, false) AS hit FROM documents LEFT JOIN crc USING (doc_id)),
+leaf AS (
+  SELECT doc_id, lang, hit, sha256(CASE WHEN doc_id::VARCHAR IS NULL THEN '-' ELSE strlen(doc_id::VARCHAR) || ':' || doc_id::VARCHAR END || CASE WHEN source IS NULL THEN '-' ELSE strlen(source) || ':' || source END || CASE WHEN lang IS NULL THEN '-' ELSE strlen(lang) || ':' || lang END || CASE WHEN n_chars::VARCHAR IS NULL THEN '-' ELSE strlen(n_chars::VARCHAR) || ':' || n_chars::VARCHAR END || CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':' || text END) AS own,
+    CASE WHEN hit THEN sha256(CASE WHEN doc_id::VARCHAR IS NULL THEN '-' ELSE strlen(doc_id::VARCHAR) || ':' || doc_id::VARCHAR END || CASE WHEN source IS NULL THEN '-' ELSE strlen(source) || ':' || source END || CASE WHEN lang IS NULL THEN '-' ELSE strlen(lang) || ':' || lang END || CASE WHEN (n_chars + 1)::VARCHAR IS NULL THEN '-' ELSE strlen((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1)::VARCHAR END || CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':' || text END) END AS other
+  FROM d),
+node AS (
+  SELECT lang, 0 AS level, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, own) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n, own AS h FROM leaf
+  UNION ALL
+  SELECT lang, level + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM node WHERE n > 1 GROUP BY lang, level, n, i // 2),
+sub AS (SELECT lang, level AS depth, h AS subroot, row_number() OVER (ORDER BY lang IS NOT NULL, encode(lang)) - 1 AS g, count(*) OVER () AS groups FROM node WHERE n = 1),
+top AS (
+  SELECT 0 AS level, g AS i, groups AS n, subroot AS h FROM sub
+  UNION ALL
+  SELECT level + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM top WHERE n > 1 GROUP BY level, n, i // 2),
+every AS (
+  SELECT node.lang, level, i, h FROM node JOIN sub ON node.lang IS NOT DISTINCT FROM sub.lang WHERE level < depth
+  UNION ALL SELECT sub.lang, depth + level, i, h FROM top CROSS JOIN sub WHERE n > 1),
+start AS (SELECT doc_id, lang, own, other, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, own) - 1 AS i FROM leaf),
+way AS (
+  SELECT doc_id, start.lang, own, i AS leaf_i, g, depth, 0 AS level, CASE WHEN depth = 0 THEN g ELSE i END AS i, coalesce(other, own) AS v, '' AS proof
+  FROM start JOIN sub ON start.lang IS NOT DISTINCT FROM sub.lang
+  UNION ALL
+  SELECT way.doc_id, way.lang, own, leaf_i, g, depth, way.level + 1, CASE WHEN way.level + 1 = depth THEN g ELSE way.i // 2 END,
+    sha256(CASE WHEN s.h IS NULL THEN v WHEN way.i % 2 = 0 THEN v || s.h ELSE s.h || v END), proof || coalesce(s.h, '')
+  FROM way JOIN every me ON me.lang IS NOT DISTINCT FROM way.lang AND me.level = way.level AND me.i = way.i
+  LEFT JOIN every s ON s.lang IS NOT DISTINCT FROM way.lang AND s.level = way.level AND s.i = xor(way.i, 1)),
+root AS (SELECT h AS root FROM top WHERE n = 1),
+last AS (SELECT *, row_number() OVER (PARTITION BY lang, leaf_i ORDER BY level DESC) AS back FROM way)
+SELECT doc_id, own AS leaf, subroot, root, sha256(proof) AS proof_sha256, v AS folded_root, v = root AS verified
+FROM last JOIN sub ON last.lang IS NOT DISTINCT FROM sub.lang CROSS JOIN root WHERE back = 1
+""",
+    "op13_collocations": r"""
+WITH piece AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p
+  FROM documents),
+word AS (SELECT lang, list_filter(regexp_split_to_array(p, '[\x20\x09]+'), lambda w: w <> '') AS ws FROM piece),
+place AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM word),
+f AS (
+  SELECT lang, array_to_string(ws[i:i + k - 1], ' ') AS phrase, k, count(*) AS f
+  FROM place CROSS JOIN (SELECT unnest([1, 2, 3, 4]) AS k) WHERE i + k - 1 <= len(ws) GROUP BY ALL),
+total AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+cand AS (SELECT lang, phrase, k, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 30),
+cut AS (
+  SELECT c.lang, c.phrase, c.a, x.cut, l.f AS l, r.f AS r, (2000000::HUGEINT * c.a) // (l.f + r.f) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM cand) x JOIN cand c USING (lang, phrase)
+  JOIN f l ON l.lang = x.lang AND l.phrase = array_to_string(x.w[1:x.cut], ' ')
+  JOIN f r ON r.lang = x.lang AND r.phrase = array_to_string(x.w[x.cut + 1:], ' ')),
+best AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS o FROM cut),
+inner_phrase AS (
+  SELECT lang, array_to_string(w[s:s + m - 1], ' ') AS phrase, max(a) AS longer
+  FROM (SELECT *, unnest(range(2, k)) AS m FROM cand), (SELECT unnest([1, 2, 3]) AS s) WHERE s + m - 1 <= k GROUP BY ALL),
+kept AS (SELECT b.* FROM best b LEFT JOIN inner_phrase i USING (lang, phrase) WHERE o = 1 AND NOT coalesce(100::HUGEINT * longer >= 80::HUGEINT * a, false)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
 """,
 }

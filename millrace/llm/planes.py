@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import json
 import os
+import string
 import struct
 import uuid
 from collections.abc import Iterator
@@ -296,22 +297,59 @@ class Encoder:
         line = self.made.encode("\n", add_special_tokens=False).ids
         self.line = line[0] if len(line) == 1 else None
         self.kept: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
+        self.bare = Tokenizer(self.made.model)
+        # byte-level BPE writes a byte that can be printed as its own character, the others as those from 256 on
+        hidden = [b for b in range(256) if not (33 <= b < 127 or 161 <= b < 173 or b > 173)]
+        self.shown = {b: chr(256 + k) for k, b in enumerate(hidden) if b != 10}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.made.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, missing: set[str]) -> None:
-        """Keeps the ids of units, which a space precedes. Those without white space are encoded many in one text, a line each."""
+        """Keeps the ids of units, which a space precedes.
+
+        Letters are one piece and the ASCII marks behind them another, so the model alone encodes the letters,
+        many at once, and marks are looked up. Other units without white space are encoded many in one text, a line each.
+        """
         if len(self.kept) > KEPT_UNITS:
             self.kept.clear()
-        plain = [u for u in missing if u.split() == [u]] if self.line is not None else []
+        letters, marked, other = set(), [], []
+        for u in missing:
+            core = u.rstrip(string.punctuation)
+            if not core.isalpha():
+                other.append(u)
+                continue
+            if core not in self.kept:
+                letters.add(core)
+            if len(core) < len(u):
+                marked.append((u, core, u[len(core) :]))
+        self.kept.update(self._encode_words(list(letters)))
+        if unknown := list({m for _, _, m in marked}.difference(self.marks)):
+            self.marks.update(zip(unknown, self._encode(unknown), strict=True))
+        self.kept.update([(u, self.kept[core] + self.marks[m]) for u, core, m in marked])
+        plain = [u for u in other if u.split() == [u]] if self.line is not None else []
         parts = [plain[k : k + UNITS_AT_ONCE] for k in range(0, len(plain), UNITS_AT_ONCE)]
         for part, data in zip(parts, self._encode([" " + "\n ".join(part) for part in parts]), strict=True):
             cuts = (4 * np.flatnonzero(np.frombuffer(data, "<u4") == self.line)).tolist()
             self.kept.update(zip(part, [data[a:b] for a, b in zip([0, *(c + 4 for c in cuts)], [*cuts, len(data)], strict=True)], strict=True))
-        rest = list(missing.difference(plain))
+        rest = list(set(other).difference(plain))
         self.kept.update(zip(rest, self._encode([" " + u for u in rest]), strict=True))
 
+    def _encode_words(self, words: list[str]) -> list[tuple[str, bytes]]:
+        """Words of letters, and the ids of each behind a space: one piece each, so the model gets them as its byte characters."""
+        out: list[tuple[str, bytes]] = []
+        words.sort(key=str.isascii)
+        for at in range(0, len(words), UNITS_AT_ONCE):
+            part = words[at : at + UNITS_AT_ONCE]
+            text = " " + "\n ".join(part)
+            text = text.replace(" ", self.shown[32]) if text.isascii() else text.encode().decode("latin1").translate(self.shown)
+            found = self.bare.encode_batch([text.split("\n")], is_pretokenized=True, add_special_tokens=False)[0]
+            ends = 4 * np.cumsum(np.bincount(np.array(found.word_ids), minlength=len(part)))
+            data, ends = np.array(found.ids, "<u4").tobytes(), ends.tolist()
+            out += zip(part, [data[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True)
+        return out
+
     def _known(self, wanted: list[str]) -> list[bytes]:
         """The ids of units, in their order."""
         found = list(map(self.kept.get, wanted))

@@ -50,3 +50,14 @@ def map_texts(docs: DataFrame, id_col: str, text_col: str, schema: str, per_slic
                 yield pa.RecordBatch.from_arrays([pa.array(made[f.name], type=f.type) for f in arrow], schema=arrow)
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, wanted)
+
+
+def keep_rows(docs: DataFrame, text_col: str, wanted: Callable[[list[bytes | None]], list[bool]]) -> DataFrame:
+    """The rows whose text is wanted, with all their columns: a row's verdict depends on nothing but itself, so no ids are joined."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, text_col):
+                yield part.filter(pa.array(wanted(texts_of(part, text_col)), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

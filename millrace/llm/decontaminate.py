@@ -20,15 +20,16 @@ other columns are not read.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.batches import map_texts
+from millrace.llm.batches import keep_rows, map_texts
 from millrace.llm.hashing import ALPHANUMERIC, Words, hash_words, mix
-from millrace.session import materialize
 
 #: The masks. The third skips every fifth token, the others different near ones.
 MASKS = ("11111", "1101011", "1111011", "10110111")
@@ -129,17 +130,21 @@ class Index:
         return [(t, i, row[0], *row[2:]) for (t, i), row in sorted(best.items())]
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", masks: tuple[str, ...] = MASKS, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """doc_id, item_id, matching words and the spans (in words) of the best overlap of each pair that leaks."""
-    spark = docs.sparkSession
+def _blocks(benchmark: DataFrame, item_id_col: str, item_text_col: str, masks: tuple[str, ...], block_chars: int) -> Iterator[Broadcast]:
+    """The benchmark as indexes of about block_chars characters each, sent to all workers."""
     items = benchmark.select(F.col(item_id_col).cast("long").alias("i"), F.col(item_text_col).alias("t"))
     total = items.agg(F.sum(F.char_length("t"))).first()[0] or 0
     blocks = 1 + int(total) // block_chars
-    found = None
     for b in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).orderBy("i", "t").toArrow()
         index = Index.of(rows["i"].to_pylist(), [None if t is None else t.encode() for t in rows["t"].to_pylist()], masks)
-        shared = spark.sparkContext.broadcast(index)
+        yield benchmark.sparkSession.sparkContext.broadcast(index)
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", masks: tuple[str, ...] = MASKS, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """doc_id, item_id, matching words and the spans (in words) of the best overlap of each pair that leaks."""
+    found = None
+    for shared in _blocks(benchmark, item_id_col, item_text_col, masks, block_chars):
 
         def per_slice(ids: list, texts: list[bytes | None], shared=shared) -> dict[str, list]:
             names = ("doc_id", "item_id", "n_matched", "doc_start", "doc_end", "item_start", "item_end")
@@ -151,7 +156,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     return found
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that hold no benchmark passage, with all their columns; those with a null id stay."""
-    leaking = materialize(find_leaks(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias(id_col)).distinct(), "leaks")
-    return docs.join(leaking, id_col, "left_anti")
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", masks: tuple[str, ...] = MASKS, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The documents that hold no benchmark passage, with all their columns; each row is judged by its own text, whatever its id.
+
+    All blocks of the benchmark are searched in one pass: what one block leaves goes to the next.
+    """
+    for shared in _blocks(benchmark, item_id_col, item_text_col, masks, block_chars):
+
+        def clean(texts: list[bytes | None], shared=shared) -> list[bool]:
+            bad = {t for t, *_ in shared.value.leaks(texts)}
+            return [k not in bad for k in range(len(texts))]
+
+        docs = keep_rows(docs, text_col, clean)
+    return docs

@@ -28,8 +28,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.batches import map_texts
-from millrace.session import materialize
+from millrace.llm.batches import keep_rows, map_texts
 
 #: Labelled documents of the sample, and bytes of text that they may have in all.
 SAMPLE_ROWS, SAMPLE_BYTES = 2000, 64_000_000
@@ -353,10 +352,7 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
     return scored.select("doc_id", in_fold_zero(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "spans")
 
 
-def filter_toxic(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents whose score is below one half, with all their columns.
-
-    Verdicts are joined by the id; documents with a null id can't be told apart and stay.
-    """
-    rejected = materialize(score_documents(docs, model, id_col, text_col).where("predicted = 1").select(F.col("doc_id").alias(id_col)).distinct(), "toxic")
-    return docs.join(rejected, id_col, "left_anti")
+def filter_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The documents whose score is below one half, with all their columns; each row is judged by its own text, whatever its id."""
+    scorer = Scorer(model)
+    return keep_rows(docs, text_col, lambda texts: [scorer(t)[0] < 0.5 for t in texts])

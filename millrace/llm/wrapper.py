@@ -17,7 +17,7 @@ Pivots and templates go to the workers once while they are small (their size is
 to the pages by host and a salt, so that a host with a third of all pages is spread too.
 
 Defined cases: null or empty html gives an empty text; a null url, or a host with fewer than
-LEAST_PAGES pages or whose pages hardly differ, has no template and is judged by marks alone;
+least_pages pages or whose pages hardly differ, has no template and is judged by marks alone;
 repeated rows each count and are extracted alike; an empty table gives an empty result; other columns
 are not read.
 """
@@ -27,7 +27,7 @@ from __future__ import annotations
 import html as entities
 import re
 import sys
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -70,7 +70,9 @@ WEAK_WORDS = set("share sharing social related recommended subscribe subscriptio
 PLACE_WORDS = set("site page main global primary secondary top bottom left right inner outer box bar block banner links link list lists items item button buttons icons form forms wrapper wrap container area section panel posts articles stories thread text content header popup".split())
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)(?:>|\Z)|<[!?][^>]*+(?:>|\Z)""", re.S)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+#: One attribute after another, each with its whole name; what stands in quotes is a value.
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?|"[^"]*"|'[^']*'""")
+_NAMED = {"class", "id", "role"}
 _SPACE = re.compile(r"\s+")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -86,11 +88,16 @@ def _marks(name: str) -> bool:
 class Node:
     """An element; parts: its texts and elements in page order."""
 
-    __slots__ = ("tag", "label", "parts", "dropped", "main", "index", "constant", "kids", "text", "whole")
+    __slots__ = ("tag", "label", "parts", "dropped", "main", "index", "constant", "kids", "text", "whole", "menu", "heading")
 
     def __init__(self, tag: str, attributes: str = ""):
         self.tag, self.parts, self.index, self.constant, self.kids, self.text, self.whole = tag, [], -1, False, [], "", 0
-        found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)} if "=" in attributes else {}
+        self.menu = self.heading = False
+        found: dict[str, str] = {}
+        if "=" in attributes:
+            for m in _ATTRIBUTE.finditer(attributes):
+                if m[1] and (name := m[1].lower()) in _NAMED:
+                    found.setdefault(name, m[2] or m[3] or m[4] or "")
         self.label = f"{tag}.{found['class']}" if "class" in found else tag
         names = f"{found.get('class', '')} {found.get('id', '')}".split()
         self.dropped = tag in DROPPED or found.get("role", "").lower() in DROPPED_ROLES or (tag not in ("body", "html") and any(map(_marks, names)))
@@ -109,8 +116,13 @@ def parse(page: str) -> Node:
     """A tree of any input: unknown ends are ignored, open elements are closed where HTML implies it."""
     root = Node("html")
     stack, deepest = [root], 0
+    opened = Counter()
     at = 0
 
+    def close(k: int) -> None:
+        opened.subtract(x.tag for x in stack[k:])
+        del stack[k:]
+
     def text(a: int, b: int) -> None:
         if b > a:
             stack[-1].parts.append(entities.unescape(page[a:b]))
@@ -122,24 +134,24 @@ def parse(page: str) -> Node:
         if not tag:
             continue
         if m[1] or m[4]:
-            if tag in ("html", "body"):
+            if tag in ("html", "body") or not opened[tag]:
                 continue
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag:
-                    del stack[k:]
+                    close(k)
                     break
                 if stack[k].tag in SCOPE and tag not in BLOCK:
                     break
             continue
-        if tag == "html" or tag == "body" and any(x.tag == "body" for x in stack):
+        if tag == "html" or tag == "body" and opened["body"]:
             continue
         if tag == "body":
-            del stack[1:]
+            close(1)
         closes = CLOSES.get(tag) or ({"p"} if tag in BLOCK else None)
-        if closes:
+        if closes and any(opened[x] for x in closes):
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag in closes:
-                    del stack[k:]
+                    close(k)
                     break
                 if stack[k].tag in SCOPE and stack[k].tag not in closes:
                     break
@@ -152,6 +164,7 @@ def parse(page: str) -> Node:
             at = end.end() if end else len(page)
         elif tag not in VOID:
             stack.append(node)
+            opened[tag] += 1
             deepest = max(deepest, len(stack))
     text(at, len(page))
     if 4 * deepest + 1000 > sys.getrecursionlimit():  # the walks below call themselves once or twice a level, and only Python frames
@@ -193,18 +206,29 @@ def _all_pairs(a: Node, b: Node) -> list[tuple[Node, Node]]:
     return out
 
 
-def match(a: Node, b: Node) -> tuple[float, list[tuple[Node, Node]]]:
-    """Simple tree matching of numbered trees: the most matched nodes, and the pairs; equal own text weighs a little more."""
+def pairs_of(found: list) -> Iterator[tuple[Node, Node]]:
+    """The pairs in nested lists of them, in order."""
+    todo = [found]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, tuple):
+            yield x
+        else:
+            todo += reversed(x)
+
+
+def match(a: Node, b: Node) -> tuple[float, list]:
+    """Simple tree matching of numbered trees: the most matched nodes, and the pairs in nested lists; equal own text weighs a little more."""
     if a.label != b.label:
         return 0.0, []
     score, pairs = (1.5 if a.text == b.text else 1.0), [(a, b)]
     if not a.kids or not b.kids:
         return score, pairs
     more, rest = _match_lists(a.kids, b.kids)
-    return score + more, pairs + rest
+    return score + more, [*pairs, rest]
 
 
-def _match_lists(left: list[Node], right: list[Node]) -> tuple[float, list[tuple[Node, Node]]]:
+def _match_lists(left: list[Node], right: list[Node]) -> tuple[float, list]:
     """The best matching in order of two lists of trees. Equal trees at both heads, or both tails, belong together in some best one."""
     head, tail = 0, 0
     while head < min(len(left), len(right)) and _equal(left[head], right[head]):
@@ -217,11 +241,11 @@ def _match_lists(left: list[Node], right: list[Node]) -> tuple[float, list[tuple
     left, right = left[head : len(left) - tail], right[head : len(right) - tail]
     if left and right:
         more, middle = (_by_table if len(left) * len(right) <= PRODUCT or len(left) == 1 else _by_halves)(left, right)
-        score, pairs = score + more, pairs + middle
-    return score, pairs + after
+        score, pairs = score + more, [*pairs, middle]
+    return score, [pairs, after]
 
 
-def _by_table(left: list[Node], right: list[Node]) -> tuple[float, list[tuple[Node, Node]]]:
+def _by_table(left: list[Node], right: list[Node]) -> tuple[float, list]:
     sub: dict[tuple[int, int], tuple] = {}
     columns = [(j, y, y.label, y.text, not y.kids) for j, y in enumerate(right)]
     above = [0.0] * (len(right) + 1)
@@ -252,8 +276,8 @@ def _by_table(left: list[Node], right: list[Node]) -> tuple[float, list[tuple[No
             j -= 1
         else:
             i, j = i - 1, j - 1
-            chosen.append(sub[i, j][1] if (i, j) in sub else [(left[i], right[j])])
-    return best[-1][-1], [x for p in reversed(chosen) for x in p]
+            chosen.append(sub[i, j][1] if (i, j) in sub else (left[i], right[j]))
+    return best[-1][-1], chosen[::-1]
 
 
 def _last_row(left: list[Node], right: list[Node]) -> np.ndarray:
@@ -273,7 +297,7 @@ def _last_row(left: list[Node], right: list[Node]) -> np.ndarray:
     return row
 
 
-def _by_halves(left: list[Node], right: list[Node]) -> tuple[float, list[tuple[Node, Node]]]:
+def _by_halves(left: list[Node], right: list[Node]) -> tuple[float, list]:
     """As _by_table in linear space: where the best way crosses the middle of the left list, both lists are cut."""
     half = len(left) // 2
     before, behind = _last_row(left[:half], right), _last_row(left[half:][::-1], right[::-1])[::-1]
@@ -282,40 +306,36 @@ def _by_halves(left: list[Node], right: list[Node]) -> tuple[float, list[tuple[N
     for part, other in ((left[:half], right[:cut]), (left[half:], right[cut:])):
         if part and other:
             more, found = _match_lists(part, other)
-            score, pairs = score + more, pairs + found
+            score, pairs = score + more, [pairs, found]
     return score, pairs
 
 
-def _is_menu(node: Node) -> bool:
-    """Whether most of an element's text stands in links, several of them."""
-    linked = total = links = 0
-    todo = [(node, False)]
-    while todo:
-        x, inside = todo.pop()
-        links += x.tag == "a"
-        inside = inside or x.tag == "a"
-        n = sum(len(t.strip()) for t in x.parts if isinstance(t, str))
-        total, linked = total + n, linked + n * inside
-        todo += [(k, inside) for k in x.children]
-    return links >= LEAST_LINKS and linked > LINK_SHARE * total
-
-
-def _has_heading(node: Node) -> bool:
-    todo = [node]
+def _weigh(root: Node) -> None:
+    """Marks elements most of whose text stands in links, several of them, and those with a heading, all in one walk from below."""
+    order, todo = [], [root]
     while todo:
         x = todo.pop()
-        if x.tag in ("h1", "h2"):
-            return True
+        order.append(x)
         todo += x.children
-    return False
+    sums: dict[int, tuple[int, int, int]] = {}
+    for x in reversed(order):
+        links, total, linked = int(x.tag == "a"), sum(len(t.strip()) for t in x.parts if isinstance(t, str)), 0
+        x.heading = x.tag in ("h1", "h2")
+        for k in x.children:
+            more, text, inside = sums.pop(id(k))
+            links, total, linked, x.heading = links + more, total + text, linked + inside, x.heading or k.heading
+        if x.tag == "a":
+            linked = total
+        sums[id(x)] = links, total, linked
+        x.menu = links >= LEAST_LINKS and linked > LINK_SHARE * total
 
 
 def _blocks(node: Node, out: list[list[str]], inside_main: bool) -> None:
     """Appends the texts of node to the last block of out, and begins new blocks at block elements."""
-    if node.dropped or (node.tag == "header" and not (inside_main and _has_heading(node))):
+    if node.dropped or (node.tag == "header" and not (inside_main and node.heading)):
         return
     block = node.tag in BLOCK
-    if block and not inside_main and node.tag in ("ul", "ol", "div", "section", "table", "p", "dl") and _is_menu(node):
+    if block and not inside_main and node.tag in ("ul", "ol", "div", "section", "table", "p", "dl") and node.menu:
         return
     if block and out[-1]:
         out.append([])
@@ -351,6 +371,7 @@ def _mains(root: Node) -> list[Node]:
 def main_text(root: Node) -> str:
     """Text of the slots: those in the page's articles, if it has any, else all that aren't mostly links."""
     mains = _mains(root)
+    _weigh(root)
     out: list[list[str]] = [[]]
     for node in mains or [root]:
         _blocks(node, out, bool(mains))
@@ -413,7 +434,7 @@ def _counter(known: Wrappers | None):
                     continue
                 root = parse(page or "")
                 number(root)
-                for a, b in match(tree, root)[1]:
+                for a, b in pairs_of(match(tree, root)[1]):
                     entry = seen[host, a.index]
                     entry[0] += 1
                     entry[1] += a.text == b.text and bool(a.text)
@@ -435,7 +456,7 @@ def _extractor(known: Wrappers | None):
                 root = parse(page or "")
                 if tree := wrappers.of(host, pivot, constant):
                     number(root)
-                    for a, b in match(tree, root)[1]:
+                    for a, b in pairs_of(match(tree, root)[1]):
                         b.constant = a.constant and a.text == b.text
                 texts.append(main_text(root))
             yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
@@ -446,12 +467,19 @@ def _extractor(known: Wrappers | None):
 _COUNTS = "host string, node int, matched long, same long"
 
 
-def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """page_id, url, text and n_chars of every page."""
+def extract_main_text(
+    pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
+    least_pages: int = LEAST_PAGES, constant_share: float = CONSTANT_SHARE, most_constant: float = MOST_CONSTANT,
+) -> DataFrame:
+    """page_id, url, text and n_chars of every page.
+
+    A host of fewer than least_pages pages has no template; a node is constant where constant_share of the host's
+    pages have its text; a host with more than most_constant of its texts constant has none either, as its pages hardly differ.
+    """
     own = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"))
     order = F.struct(F.xxhash64("page_id", "url").alias("k"), F.coalesce("html", F.lit("")).alias("html"))
     pivots = materialize(own.where("host is not null").groupBy("host").agg(F.min(order)["html"].alias("pivot"), F.count(F.lit(1)).alias("pages")), "pivots")
-    usable = pivots.where(f"pages >= {LEAST_PAGES}").select("host", "pivot")
+    usable = pivots.where(F.col("pages") >= least_pages).select("host", "pivot")
     small = (usable.agg(F.sum(F.char_length("pivot"))).first()[0] or 0) <= BROADCAST_CHARS
     hosted = own.select("host", "html").where("host is not null")
     if small:
@@ -460,12 +488,12 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     else:
         counted = _with_hosts(hosted, usable, ["pivot"]).mapInArrow(_counter(None), _COUNTS)
     counts = counted.groupBy("host", "node").agg(F.sum("matched").alias("matched"), F.sum("same").alias("same"))
-    fixed = (F.col("same") >= CONSTANT_SHARE * F.col("pages")) & (F.col("same") > 0)
+    fixed = (F.col("same") >= constant_share * F.col("pages")) & (F.col("same") > 0)
     templates = (
         counts.join(pivots.select("host", "pages"), "host")
         .groupBy("host")
         .agg(F.collect_list(F.when(fixed, F.col("node"))).alias("constant"), F.count_if(F.col("same") > 0).alias("texts"))
-        .where((F.size("constant") > 0) & (F.size("constant") <= MOST_CONSTANT * F.col("texts")))
+        .where((F.size("constant") > 0) & (F.size("constant") <= most_constant * F.col("texts")))
         .select("host", F.array_sort("constant").alias("constant"))
     )
     templates = materialize(usable.join(templates, "host"), "templates")

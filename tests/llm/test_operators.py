@@ -5,6 +5,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import public_tokenizers
@@ -451,14 +452,14 @@ def test_lists_are_matched_as_by_brute_force(monkeypatch):
         for product in (40_000, 0):
             monkeypatch.setattr(wrapper, "PRODUCT", product)
             score, pairs = wrapper._match_lists(a.kids, b.kids)
-            assert score == pytest.approx(wanted) and sum(1.5 if x.text == y.text else 1.0 for x, y in pairs) == pytest.approx(wanted)
+            assert score == pytest.approx(wanted) and sum(1.5 if x.text == y.text else 1.0 for x, y in wrapper.pairs_of(pairs)) == pytest.approx(wanted)
 
 
 def test_pages_of_any_depth_and_names_that_mark_nothing():
     deep = wrapper.parse("<div>" * 3000 + "<nav>MENU</nav><p>hi</p>")
     assert wrapper.main_text(deep) == "hi"
     wrapper.number(deep)
-    assert len(wrapper.match(deep, deep)[1]) == len(wrapper.number(deep))
+    assert len(list(wrapper.pairs_of(wrapper.match(deep, deep)[1]))) == len(wrapper.number(deep))
     inside = "<div class='share-price'>a</div><div class=register>b</div><p class='login-guide'>c</p>"
     dropped = "<div class='share-buttons'>x</div><div class=comments>y</div><div id=cookieBanner>z</div><div class='ad'>w</div>"
     assert wrapper.main_text(wrapper.parse(f"<article>{inside}{dropped}</article>")) == "a\nb\nc"
@@ -504,3 +505,26 @@ def test_notices_equal_brute_force():
         found = finder.find(" ".join(parts))
         assert all(any(a < end and start < b for a, b, *_ in found) for start, end in places)
         assert all(x[1] <= y[0] for x, y in zip(found, found[1:]))
+
+
+@pytest.mark.parametrize("attributes", ['data-id="sidebar"', 'data-role="banner"', 'title="class=ad"', "title='id=footer'", 'alt="x class=\'ad\'"', "data-class=ad"])
+def test_only_whole_attribute_names_count(attributes):
+    page = f"<article><p>first words</p><div {attributes}>kept words</div></article>"
+    assert wrapper.main_text(wrapper.parse(page)) == "first words\nkept words"
+    assert wrapper.main_text(wrapper.parse("<article><p>first words</p><div ID = 'sidebar'>gone</div><div data-id=a class=ad>gone</div></article>")) == "first words"
+
+
+@pytest.mark.parametrize("page", ["<div>" * 30_000 + "deep words", "<p>words</p>" + "<div>" * 15_000 + "</section>" * 15_000 + "deep words", "<article>" + "<div><a href=x>l</a>" * 10_000 + "deep words"])
+def test_deep_pages_end_soon(page):
+    began = time.time()
+    root = wrapper.parse(page)
+    wrapper.number(root)
+    assert len(list(wrapper.pairs_of(wrapper.match(root, root)[1]))) > 10_000
+    assert "deep words" in wrapper.main_text(root)
+    assert time.time() - began < 5
+
+
+def test_deep_pages_through_the_operator(spark):
+    rows = [(k, f"http://deep.example/{k}", "<div>" * 3000 + f"<p>words {k}</p>") for k in range(10)]
+    out = wrapper.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), least_pages=2)
+    assert {r.page_id: r.text for r in out.collect()} == {k: f"words {k}" for k in range(10)}

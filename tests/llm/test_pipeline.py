@@ -39,7 +39,7 @@ def _odd(spark, rows=ODD):
 def test_filters_on_odd_rows(spark):
     model = toxicity.fit(["bad idiot"] * 9 + ["good day"] * 9, [1] * 9 + [0] * 9)
     bench = spark.createDataFrame([(1, "n o p q r s t u v w x y z"), (2, None), (3, "")], "item_id long, text string")
-    for make, gone in ((lambda d: toxicity.filter_toxic(d, model), {5}), (lambda d: decontaminate.drop_leaks(d, bench), {7})):
+    for make, gone in ((lambda d: toxicity.filter_toxic(d, model), {None, 5}), (lambda d: decontaminate.drop_leaks(d, bench), {7})):
         out = make(_odd(spark))
         assert out.columns == _odd(spark).columns
         assert sorted((r.doc_id is None, r.doc_id or 0) for r in out.collect()) == sorted((i is None, i or 0) for i, _ in ODD if i not in gone)
@@ -47,3 +47,13 @@ def test_filters_on_odd_rows(spark):
     kept = jaccard.keep_one(_odd(spark))
     assert kept.columns == _odd(spark).columns and sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [1, 3, 4, 5, 6, 7]
     assert jaccard.keep_one(_odd(spark, [])).count() == 0
+
+
+def test_filters_judge_rows_and_not_ids(spark):
+    model = toxicity.fit(["bad idiot"] * 9 + ["good day"] * 9, [1] * 9 + [0] * 9)
+    bench = spark.createDataFrame([(1, "n o p q r s t u v w x y z")], "item_id long, text string")
+    good, bad, leak = "good day", "bad idiot", "n o p q r s t u v w x y z aa bb"
+    df = _odd(spark, [(1, good), (1, bad), (1, leak), (None, good), (None, bad), (None, leak)])
+    assert sorted((r.doc_id or 0, r.text) for r in toxicity.filter_toxic(df, model).collect()) == sorted((i, t) for i in (0, 1) for t in (good, leak))
+    for chars in (8_000_000, 5):
+        assert sorted((r.doc_id or 0, r.text) for r in decontaminate.drop_leaks(df, bench, block_chars=chars).collect()) == sorted((i, t) for i in (0, 1) for t in (good, bad))

@@ -8,7 +8,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.operators.rows import with_row_index
 from millrace.types import quoted
 
 
@@ -79,12 +78,67 @@ def verify_nullable(df: DataFrame, columns: list[str]) -> DataFrame:
     return null_profile(df, columns).where("nulls > 0")
 
 
+#: Steps of the histograms by which percentiles are found, their relative error, and how many values may be listed at last.
+STEPS, ACCURACY, LISTED = 500, 10_000, 5_000
+
+
+def exact_ranks(df: DataFrame, ranks: dict[str, list[int]]) -> dict[str, dict[int, float]]:
+    """For each column the values (as doubles) at places in its sorted order, from 0, nulls left out.
+
+    Selection by refining histograms: each scan counts, for all columns and places at once, what is below, at and between
+    the two borders known to hold a place, and makes a histogram of equal depths of what is between; its steps around the
+    place are the next borders. Each scan leaves less than a hundredth of the values, or an exact tie, and the last one
+    lists at most some thousand. Sketches and counts are merged by tasks; no column is sorted or written.
+    """
+    values = {c: F.col(quoted(c)).cast("double") for c in ranks}
+    #: column, place -> lower and upper border, whether what is between can be listed, and the borders before
+    open_: dict[tuple[str, int], tuple] = {(c, r): (None, None, False, None) for c, places in ranks.items() for r in places}
+    found: dict[str, dict[int, float]] = {c: {} for c in ranks}
+    grid = [k / STEPS for k in range(STEPS + 1)]
+    while open_:
+        brackets = sorted({(c, *open_[c, r][:3]) for c, r in open_}, key=repr)
+        made = []
+        for k, (c, low, high, listed) in enumerate(brackets):
+            v = values[c]
+            inside = v if low is None else F.when((v > low) & (v < high), v)
+            made += [
+                (F.lit(0) if low is None else F.count_if(v < low)).alias(f"below{k}"), (F.lit(0) if low is None else F.count_if(v == low)).alias(f"at_low{k}"),
+                (F.lit(0) if low is None else F.count_if(v == high)).alias(f"at_high{k}"), F.count(inside).alias(f"inside{k}"), F.min(inside).alias(f"least{k}"), F.max(inside).alias(f"most{k}"),
+                (F.collect_list(inside) if listed else F.percentile_approx(inside, grid, ACCURACY)).alias(f"seen{k}"),
+            ]
+        row = df.agg(*made).first()
+        seen = {b: {n: row[f"{n}{k}"] for n in ("below", "at_low", "at_high", "inside", "least", "most", "seen")} for k, b in enumerate(brackets)}
+        for (c, r), (low, high, listed, before) in list(open_.items()):
+            s = seen[c, low, high, listed]
+            k = r - s["below"]
+            if low is not None and (k < 0 or k >= s["at_low"] + s["inside"] + s["at_high"]):  # the sketch was wrong: look in what lay beside
+                open_[c, r] = (before[0], low, False, before) if k < 0 else (high, before[1], False, before)
+                continue
+            if k < s["at_low"]:
+                found[c][r] = low
+            elif k >= s["at_low"] + s["inside"]:
+                found[c][r] = high
+            elif listed:
+                found[c][r] = sorted(s["seen"], key=lambda x: (x != x, x))[k - s["at_low"]]
+            else:
+                k -= s["at_low"]
+                step, slack = k * STEPS / s["inside"], 1 + 2 * STEPS / ACCURACY
+                one, two = math.floor(step - slack), math.ceil(step + slack)
+                borders = (s["least"] if one <= 0 else s["seen"][one], s["most"] if two >= STEPS else s["seen"][two])
+                if borders[0] == borders[1]:
+                    found[c][r] = borders[0]
+                else:
+                    open_[c, r] = (*borders, (two - one + 2 * slack) * s["inside"] / STEPS <= LISTED, (s["least"], s["most"]))
+                    continue
+            del open_[c, r]
+    return found
+
+
 def describe(df: DataFrame, columns: list[str], percentiles: tuple[float, ...] = (0.25, 0.5, 0.75), interpolation: str = "nearest") -> DataFrame:
     """One row a column: column, count, null_count, mean, std, min, percentiles, max.
 
-    Counts and moments of all columns share one pass. A percentile is the value of rank p (n - 1) in
-    the sorted column, ranks between two values by the interpolation. Ranks come from a range-partitioned
-    numbering, so no task holds a column; two values a percentile reach the driver.
+    Counts and moments of all columns share one scan. A percentile is the value of rank p (n - 1) in
+    the sorted column, ranks between two values by the interpolation; all ranks of all columns are found in the same few scans.
     """
     if interpolation not in ("nearest", "higher", "lower", "midpoint", "linear"):
         raise ValueError(f"unknown interpolation {interpolation!r}")
@@ -94,17 +148,15 @@ def describe(df: DataFrame, columns: list[str], percentiles: tuple[float, ...] =
         rows.append(F.struct(F.lit(name).alias("column"), F.count(c).alias("count"), F.count_if(c.isNull()).alias("null_count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max")))
     stats = [r["r"] for r in df.agg(F.array(*rows).alias("r")).select(F.explode("r").alias("r")).collect()]
     names = [f"p{round(p * 100):02d}" for p in percentiles]
+    places = {s["column"]: [p * (s["count"] - 1) for p in percentiles] if s["count"] else [] for s in stats}
+    known = exact_ranks(df, {c: sorted({r for x in xs for r in (math.floor(x), math.ceil(x), math.floor(x + 0.5))}) for c, xs in places.items()})
     out = []
     for s in stats:
         picked: list[float | None] = [None] * len(percentiles)
-        if s["count"]:
-            places = [p * (s["count"] - 1) for p in percentiles]
-            ranks = sorted({r for x in places for r in (math.floor(x), math.ceil(x))})
-            numbered = with_row_index(df.select(F.col(quoted(s["column"])).cast("double").alias("v")).dropna(), "v", "_rank")
-            at = {r["_rank"]: r["v"] for r in numbered.where(F.col("_rank").isin(ranks)).collect()}
-            for k, x in enumerate(places):
-                low, high = at[math.floor(x)], at[math.ceil(x)]
-                picked[k] = {"lower": low, "higher": high, "midpoint": (low + high) / 2, "linear": low + (high - low) * (x - math.floor(x)), "nearest": at[math.floor(x + 0.5)]}[interpolation]
+        at = known[s["column"]]
+        for k, x in enumerate(places[s["column"]]):
+            low, high = at[math.floor(x)], at[math.ceil(x)]
+            picked[k] = {"lower": low, "higher": high, "midpoint": (low + high) / 2, "linear": low + (high - low) * (x - math.floor(x)), "nearest": at[math.floor(x + 0.5)]}[interpolation]
         out.append((s["column"], s["count"], s["null_count"], s["mean"], s["std"], s["min"], *picked, s["max"]))
     schema = "column string, count long, null_count long, mean double, std double, min double, " + "".join(f"{n} double, " for n in names) + "max double"
     return df.sparkSession.createDataFrame(out, schema)

@@ -29,7 +29,8 @@ def with_row_index(df: DataFrame, order_by: list[str] | str, name: str = "index"
     keys = sort_keys(order_by, descending, nulls_last)
     if name in df.columns:
         raise ValueError(f"column {name!r} exists")
-    placed = df.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()) if keys else df.withColumn("_part", F.spark_partition_id())
+    # rows that tie in the order are dealt out by number
+    placed = df.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(*keys, "_tie").withColumn("_part", F.spark_partition_id()).drop("_tie") if keys else df.withColumn("_part", F.spark_partition_id())
     placed = materialize(placed, "index")
     sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).orderBy("_part").collect()  # one row a partition
     starts, total = [], offset
@@ -68,18 +69,34 @@ def head(df: DataFrame, n: int = 5, order_by: list[str] | str | None = None) ->
     return (df.orderBy(*sort_keys(order_by)) if order_by else df).limit(n)
 
 
+#: Rows that a sort may gather in one partition; slices and tails beyond it are taken by row numbers.
+GATHERED = 100_000
+
+
+def _numbered_slice(df: DataFrame, first: int, end: int | None, order_by: list[str] | str) -> DataFrame:
+    """Rows by their numbers in an order, sorted by them: ranges, counts and a filter, no partition for all of them."""
+    at = F.col("_slice")
+    kept = with_row_index(df, order_by, "_slice").where(at >= first if end is None else (at >= first) & (at < end))
+    return kept.orderBy("_slice").drop("_slice")
+
+
 def tail(df: DataFrame, n: int, order_by: list[str] | str) -> DataFrame:
     """The last n rows, in order."""
     by = [order_by] if isinstance(order_by, str) else order_by
+    if n > GATHERED:
+        return _numbered_slice(df, max(0, df.count() - n), None, by)
     return df.orderBy(*sort_keys(by, True, False)).limit(n).orderBy(*sort_keys(by))
 
 
 def slice_rows(df: DataFrame, offset: int, length: int | None, order_by: list[str] | str) -> DataFrame:
-    out = df.orderBy(*sort_keys(order_by)).offset(offset)
-    return out if length is None else out.limit(length)
+    if length is None or offset + length > GATHERED:
+        return _numbered_slice(df, offset, None if length is None else offset + length, order_by)
+    return df.orderBy(*sort_keys(order_by)).offset(offset).limit(length)
 
 
 def limit(df: DataFrame, n: int, offset: int = 0, order_by: list[str] | str | None = None) -> DataFrame:
+    if order_by and offset + n > GATHERED:
+        return _numbered_slice(df, offset, offset + n, order_by)
     return (df.orderBy(*sort_keys(order_by)) if order_by else df).offset(offset).limit(n)
 
 

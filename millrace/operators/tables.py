@@ -130,7 +130,9 @@ def upsert(target: DataFrame, rows: DataFrame, on: list[str] | str | None, order
     s = source.toDF(*[f"_s{i}" for i in range(len(given))]).withColumn("_new", F.lit(True))
     place = {c: f"_s{i}" for i, c in enumerate(source.columns)}
     t = target.withColumn("_old", F.lit(True))
-    joined = t.join(s, [t[quoted(k)] == s[place[k]] for k in on], "full")
+    # rows with a null key never match; they are dealt out by number, as their keys would all go to one task
+    t, s = _dealt(t, on, "_t_deal"), _dealt(s, [place[k] for k in on], "_s_deal")
+    joined = t.join(s, [*[t[quoted(k)] == s[place[k]] for k in on], t["_t_deal"] == s["_s_deal"]], "full")
     old, new = F.col("_old").isNotNull(), F.col("_new").isNotNull()
     out = []
     for f in target.schema:
@@ -148,6 +150,13 @@ def upsert(target: DataFrame, rows: DataFrame, on: list[str] | str | None, order
     return joined.select(*out)
 
 
+def _dealt(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+    incomplete = F.lit(False)
+    for k in keys:
+        incomplete = incomplete | F.col(quoted(k)).isNull()
+    return df.withColumn(name, F.when(incomplete, F.monotonically_increasing_id() + 1).otherwise(F.lit(0)))
+
+
 def upsert_external(target: DataFrame, rows: DataFrame, external_id: str | None = None, catalog: Catalog | None = None, order_by: list[str] | str | None = None, audit: Audit | None = None) -> DataFrame:
     """An upsert by an external id: the argument, else the entity's property, else its first unique column that is no primary key."""
     if external_id is None and catalog is not None:

@@ -120,7 +120,8 @@ def group_by_dynamic(
         # weeks start on Mondays: 1970-01-05 was one
         origin = F.lit(4 * _MICROS["d"] if us % _MICROS["w"] == 0 else 0)
         if start_by == "datapoint":
-            rows = rows.withColumn("_first", F.min("_t").over(Window.partitionBy(*keys)))
+            firsts = rows.groupBy(*[k.alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.min("_t").alias("_first"))
+            rows = rows.join(firsts, _keys_equal(by)).drop(*[f"_k{i}" for i in range(len(keys))]) if keys else rows.crossJoin(F.broadcast(firsts))  # one row
             origin = F.col("_first")
         origin = origin + F.lit(offset_us)
         step = F.floor((F.col("_t") - origin) / us)

@@ -41,11 +41,13 @@ def _binned(df: DataFrame, side: str, own: list[int], others: list[int], salts:
     wide = [k for k in others if k > POINT]
     level = F.col("_level")
 
+    def whole(x: Column) -> Column:
+        return F.when(F.abs(x) < 2.0**53, F.floor(x).cast("double")).otherwise(x)  # larger doubles are whole
+
     def meeting(role: int, k: Column) -> Column:
         width = F.pow(F.lit(2.0), k)
-        # adding zero makes a negative zero a plain one
-        first = F.when(k == POINT, F.col("_low")).otherwise(F.rint(F.col("_low") / width) + 0.0)
-        last = F.when(k == POINT, F.col("_low")).otherwise(F.rint(F.col("_high") / width) + 0.0)
+        first = F.when(k == POINT, F.col("_low")).otherwise(whole(F.col("_low") / width))
+        last = F.when(k == POINT, F.col("_low")).otherwise(whole(F.col("_high") / width))
         return F.struct(F.lit(role).alias("role"), k.alias("level"), first.alias("first"), F.array_distinct(F.array(first, last)).alias("bins"))
 
     met = [meeting(0, level), *([meeting(mine, level)] if any(k > POINT for k in own) and others and min(others) < max(own) else [])]

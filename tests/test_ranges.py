@@ -43,6 +43,14 @@ def test_overlaps_equal_all_pairs(spark, closed, by):
     assert ranges.join_overlap(a.limit(0), b, ("a", "b"), ("c", "d"), by).count() == 0
 
 
+def test_overlaps_of_whole_numbers(spark):
+    rng = random.Random(3)
+    one, two = ([(i, a := rng.randrange(-60, 60), a + rng.choice([0, 1, 2, 3, 4, 7, 8, 16, 31])) for i in range(120)] for _ in range(2))
+    a, b = spark.createDataFrame(one, "id int, a long, b long"), spark.createDataFrame(two, "id int, c long, d long")
+    got = ranges.join_overlap(a, b, ("a", "b"), ("c", "d"))
+    assert sorted((r["id"], r["id_right"]) for r in got.collect()) == sorted((x[0], y[0]) for x in one for y in two if x[1] <= y[2] and y[1] <= x[2])
+
+
 def test_band_of_times(spark):
     a = spark.sql("SELECT id, timestamp'2024-01-01' + make_interval(0, 0, 0, 0, 0, 0, id * 7) AS t FROM range(200)")
     b = spark.sql("SELECT id AS k, timestamp'2024-01-01' + make_interval(0, 0, 0, 0, 0, 0, id * 11) AS u FROM range(100)")

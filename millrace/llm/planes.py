@@ -366,7 +366,7 @@ class Encoder:
         parts = pc.split_pattern(plain, " ")
         begin = parts.offsets.to_numpy()
         words = parts.flatten().dictionary_encode()
-        coded = pa.array(self._known(words.dictionary.to_pylist()), pa.large_binary()).take(words.indices)
+        coded = pa.array(self._known(words.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary()).take(words.indices)
         place, data = np.frombuffer(coded.buffers()[1], np.int64)[: len(coded) + 1], memoryview(coded.buffers()[2] or b"")
         begin = begin - begin[0]
         # the first part has no space before it; where white space stands before a space, parts belong together
@@ -400,6 +400,19 @@ def units(text: str) -> list[str]:
     return out
 
 
+def _larger(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches put together until they have BATCH_BYTES, as each text's units are looked up once a batch."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= BATCH_BYTES:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def encode(docs: DataFrame, tokenizer: str, end_id: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """part, doc_id and ids (little-endian 32-bit integers) of every document, range-partitioned by id and sorted in each part."""
     end = b"" if end_id is None else end_id.to_bytes(4, "little")
@@ -408,7 +421,7 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int | None = None, id_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer)
-        for batch in batches:
+        for batch in _larger(batches):
             for piece in slices(batch, "text", BATCH_ROWS, BATCH_BYTES):
                 made = [x + end for x in own(piece.column("text"))]
                 yield pa.RecordBatch.from_arrays([piece.column("part"), piece.column("doc_id"), pa.array(made, pa.binary())], names=["part", "doc_id", "ids"])

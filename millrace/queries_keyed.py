@@ -1,4 +1,4 @@
-"""Registered queries of range joins, percentiles of several columns, keyed tables in files and deep slices."""
+"""Registered queries of range joins, percentiles of several columns, keyed tables in files, deep slices and files read in parts."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from millrace.operators import aggregates, ranges, rows, windows
 from millrace.operators.keyed import KeyedTable
 from millrace.queries import query, read
 from millrace.session import shared_dir
+from millrace.sources import arrow_ipc
 
 
 @query("SELECT l_orderkey, l_linenumber, o_orderkey FROM lineitem JOIN orders ON l_extendedprice >= o_totalprice - 0.05 AND l_extendedprice <= o_totalprice + 0.05")
@@ -95,3 +96,11 @@ FROM (SELECT event_type, ts, min(ts) OVER (PARTITION BY event_type) AS f FROM ev
 """)
 def dyn_from_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.group_by_dynamic(read(spark, sf_dir, "events"), "ts", "1h", {"n": F.count(F.lit(1))}, start_by="datapoint", by=["event_type"])
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem")
+def arrow_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three columns of wide Arrow files, read in parts of 1 MB."""
+    path = f"{shared_dir(spark)}/millrace-arrow-{uuid.uuid4().hex}"
+    arrow_ipc.write_arrow(read(spark, sf_dir, "lineitem"), path)
+    return arrow_ipc.read_arrow(spark, path, ["l_orderkey", "l_linenumber", "l_quantity"], 1 << 20)

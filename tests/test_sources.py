@@ -1,6 +1,7 @@
 """Sources, sinks and streams."""
 
 import datetime
+import io
 import zipfile
 
 import pandas as pd
@@ -11,7 +12,7 @@ from pyspark.sql import types as T
 
 from millrace.catalog import Column, Entity
 from millrace.sources import discover, files, jdbc
-from millrace.sources.arrow_ipc import read_arrow, write_arrow
+from millrace.sources.arrow_ipc import _read, _read_rows, _reader, read_arrow, write_arrow
 from millrace.sources.workbook import read_workbook
 from millrace.streaming import inbound
 
@@ -89,6 +90,77 @@ def test_arrow_files(spark, tmp_path):
     assert read_arrow(spark, str(tmp_path / "f.feather")).count() == 2
 
 
+class Counted(io.RawIOBase):
+    """A file that counts the bytes read from it."""
+
+    def __init__(self, data):
+        self.inner, self.n = io.BytesIO(data), 0
+
+    def read(self, size=-1):
+        got = self.inner.read(size)
+        self.n += len(got)
+        return got
+
+    def seek(self, at, whence=0):
+        return self.inner.seek(at, whence)
+
+    def tell(self):
+        return self.inner.tell()
+
+    def readable(self):
+        return True
+
+    def seekable(self):
+        return True
+
+
+def test_arrow_parts(spark, tmp_path):
+    """Batches of one file go to many tasks; tasks fetch their batches and columns, the schema needs the footer alone."""
+    n = 20_000
+    table = pa.table({"k": pa.array(range(n), pa.int64()), "wide": [f"{x:0200d}" for x in range(n)], "f": pa.array(["a", None] * (n // 2)).dictionary_encode()})
+    place = tmp_path / "many"
+    place.mkdir()
+    with pa.ipc.new_file(str(place / "a.arrow"), table.schema) as sink:
+        sink.write_table(table, max_chunksize=1000)
+    size = (place / "a.arrow").stat().st_size
+    df = read_arrow(spark, str(place), part_bytes=size // 10)
+    counts = df.groupBy(F.spark_partition_id()).count().collect()
+    assert df.rdd.getNumPartitions() == len(counts) and len(counts) in (10, 11) and max(r["count"] for r in counts) == 2000
+    assert {tuple(r) for r in df.collect()} == set(zip(*table.to_pydict().values(), strict=True))
+    some = read_arrow(spark, str(place), ["f", "k"], size // 10)
+    assert some.columns == ["f", "k"] and some.agg(F.sum("k"), F.count("f")).first()[:] == (n * (n - 1) // 2, n // 2)
+    assert read_arrow(spark, str(place), part_bytes=size // 1000).count() == n
+
+    data = (place / "a.arrow").read_bytes()
+    footer = Counted(data)
+    assert _reader(pa.PythonFile(footer)).num_record_batches == 20 and footer.n < size // 50
+    part = Counted(data)
+    assert sum(b.num_rows for b in _read(pa.PythonFile(part), pa.schema([("k", pa.int64())]), 1, 2)) == n // 2 and part.n < size // 10
+
+
+def test_arrow_odd_files(spark, tmp_path):
+    """Columns by name, absent ones null; files without rows or batches; streams of many batches; files that only Spark could open."""
+    place = tmp_path / "odd"
+    place.mkdir()
+    first, second = pa.table({"k": pa.array([1, 2], pa.int32()), "v": ["a", None]}), pa.table({"v": ["z"], "more": [1.0]})
+    for name, table in (("a", first), ("b", second), ("c", first.schema.empty_table())):
+        with pa.ipc.new_file(str(place / f"{name}.arrow"), table.schema) as sink:
+            sink.write_table(table)
+    with pa.ipc.new_stream(str(place / "d.arrow"), first.schema) as sink:
+        sink.write_table(pa.concat_tables([first] * 3), max_chunksize=1)
+    expected = sorted([(1, "a"), (2, None)] * 4 + [(None, "z")], key=str)
+    assert sorted((tuple(r) for r in read_arrow(spark, str(place), part_bytes=64).collect()), key=str) == expected
+    whole = spark.read.format("binaryFile").load(str(place))
+    assert sorted((tuple(r) for r in _read_rows(whole, None).collect()), key=str) == expected
+    assert {r[0] for r in _read_rows(whole, ["v"]).collect()} == {"a", None, "z"}
+    with pytest.raises(ValueError):
+        read_arrow(spark, str(place), ["absent"])
+    empty = tmp_path / "none"
+    empty.mkdir()
+    with pytest.raises(FileNotFoundError):
+        read_arrow(spark, str(empty))
+
+
 def workbook(path):
     main, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
     with zipfile.ZipFile(path, "w") as z:

@@ -107,9 +107,10 @@ def join_asof(left: DataFrame, right: DataFrame, on: str, by: list[str] | str =
         if spread or not by:
             both = carry(both, keys, orders[name], {name: known}, onward)
         else:
-            window = Window.partitionBy(*keys).orderBy(*orders[name])
-            window = window.rowsBetween(Window.unboundedPreceding, 0) if onward else window.rowsBetween(0, Window.unboundedFollowing)
-            both = both.withColumn(name, (F.last if onward else F.first)(known, ignorenulls=True).over(window))
+            # the opposite order for later rows: a frame up to the last row would be computed anew for every row
+            order = orders[name] if onward else [F.col("_t").desc(), F.col("_side"), F.col("_r")]
+            window = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+            both = both.withColumn(name, F.last(known, ignorenulls=True).over(window))
     rows = both.where("_side = 1")
 
     def within(side: str) -> Column:

@@ -242,17 +242,16 @@ def carry(df: DataFrame, by: list[str], order: list[Column], values: dict[str, C
     placed = materialize(placed.withColumn("_part", F.spark_partition_id()), "carry")
     local = Window.partitionBy("_part", *keys).orderBy(*order)
     placed = placed.withColumn("_at", F.row_number().over(local))
-    window = Window.partitionBy("_part", *keys).orderBy("_at")
-    window = window.rowsBetween(Window.unboundedPreceding, 0) if onward else window.rowsBetween(0, Window.unboundedFollowing)
-    pick = F.last if onward else F.first
-    out = placed.withColumns({f"_own_{n}": pick(v, ignorenulls=True).over(window) for n, v in values.items()})
+    # backward is forward over the opposite order: a frame up to the last row would be computed anew for every row
+    window = Window.partitionBy("_part", *keys).orderBy(F.asc("_at") if onward else F.desc("_at")).rowsBetween(Window.unboundedPreceding, 0)
+    out = placed.withColumns({f"_own_{n}": F.last(v, ignorenulls=True).over(window) for n, v in values.items()})
     # the parts whose key goes on in another one: at most two for each border between parts
     parts = placed.groupBy("_part", *keys).agg(*[(F.max_by if onward else F.min_by)(v, F.when(v.isNotNull(), F.col("_at"))).alias(f"_end_{n}") for n, v in values.items()])
     spread = Window.partitionBy(*keys)
     parts = parts.withColumn("_parts", F.count(F.lit(1)).over(spread)) if keys else parts.withColumn("_parts", F.lit(2))
     many = parts.where("_parts > 1")
-    before = spread.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1) if onward else spread.orderBy("_part").rowsBetween(1, Window.unboundedFollowing)
-    ends = many.select("_part", *[k.alias(f"_k{i}") for i, k in enumerate(keys)], *[pick(F.col(f"_end_{n}"), ignorenulls=True).over(before).alias(f"_in_{n}") for n in values])
+    before = spread.orderBy(F.asc("_part") if onward else F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)
+    ends = many.select("_part", *[k.alias(f"_k{i}") for i, k in enumerate(keys)], *[F.last(F.col(f"_end_{n}"), ignorenulls=True).over(before).alias(f"_in_{n}") for n in values])
     on = [out["_part"] == ends["_part"], *[k.eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]]
     joined = out.join(ends.withColumnRenamed("_part", "_p"), [F.col("_part") == F.col("_p"), *on[1:]], "left")
     return joined.select(*[F.col(quoted(c)) for c in df.columns], *[F.coalesce(F.col(f"_own_{n}"), F.col(f"_in_{n}")).alias(n) for n in values])

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.operators.rows import carry, has_large_group, sort_keys, with_row_index
+from millrace.operators.scans import Aggregate, expression, rolling_scan
 from millrace.types import quoted
 
 # Microseconds in the units of fixed length, and months in those of the calendar.
@@ -37,15 +38,16 @@ def _number(df: DataFrame, index: str) -> tuple[Column, bool]:
     return (micros(F.col(quoted(index))) if timed else F.col(quoted(index)).cast("long")), timed
 
 
-def rolling(df: DataFrame, index: str, period: str | int, aggs: dict[str, Column], offset: str | int | None = None, closed: str = "right", by: list[str] = (), spread: bool | None = None) -> DataFrame:
+def rolling(df: DataFrame, index: str, period: str | int, aggs: dict[str, Column | Aggregate], offset: str | int | None = None, closed: str = "right", by: list[str] = (), spread: bool | None = None) -> DataFrame:
     """For each row aggregates over the rows of its group whose index lies in a window that ends at the row.
 
     The window is (t + offset, t + offset + period] and, by default, offset is minus the period; closed
     says which ends belong to it. Indexes are moments (durations of fixed length) or integers.
 
-    Where a key has more than rows.LARGE_GROUP rows, or there are no keys (or spread says so), time is cut
-    into buckets as long as the period: a window reaches into two of them, so every row goes to its own
-    bucket and the one before, and no task holds more of a key than two periods.
+    Where a key has more than rows.LARGE_GROUP rows, or there are no keys (or spread says so), aggregates given as
+    pairs, such as ("sum", "price") or ("count", None), are scanned: a period of any number of rows is
+    dealt over tasks. For other aggregates time is cut into buckets as long as the period: a window reaches into two of them, so every
+    row goes to its own bucket and the one before, and no task holds more of a key than two periods.
     """
     value, timed = _number(df, index)
 
@@ -64,9 +66,13 @@ def rolling(df: DataFrame, index: str, period: str | int, aggs: dict[str, Column
         raise ValueError(f"unknown closed {closed!r}")
     keys = [F.col(quoted(c)) for c in by]
     frame = (low + (closed in ("right", "none")), high - (closed in ("left", "none")))
+    pairs = all(isinstance(a, tuple) for a in aggs.values())
+    given, aggs = aggs, {n: expression(a) if isinstance(a, tuple) else a for n, a in aggs.items()}
     if not (spread if spread is not None else not by or has_large_group(df, by)):
         window = Window.partitionBy(*keys).orderBy("_t").rangeBetween(*frame)
         return df.withColumn("_t", value).withColumns({n: e.over(window) for n, e in aggs.items()}).drop("_t")
+    if pairs:
+        return rolling_scan(df, value, *frame, given, by)
     width = max(1, size)
     timed_rows = df.withColumn("_t", value)
     # the row's own window begins in bucket _own; a row at t is needed by windows that begin in bucket(t) or the one before
@@ -173,13 +179,10 @@ def fill_forward(df: DataFrame, columns: list[str], order_by: list[str] | str, b
     """
     order = [order_by] if isinstance(order_by, str) else list(order_by)
     if not (spread if spread is not None else not by or has_large_group(df, by)):
-        window = Window.partitionBy(*[F.col(quoted(c)) for c in by]).orderBy(*sort_keys(order))
-        far = Window.unboundedPreceding if limit is None else -limit
-        if backward:
-            window, pick = window.rowsBetween(0, Window.unboundedFollowing if limit is None else limit), F.first
-        else:
-            window, pick = window.rowsBetween(far, 0), F.last
-        return df.withColumns({c: pick(F.col(quoted(c)), ignorenulls=True).over(window) for c in columns})
+        # backward is forward over the opposite order: a frame up to the last row would be computed anew for every row
+        window = Window.partitionBy(*[F.col(quoted(c)) for c in by]).orderBy(*sort_keys(order, backward, not backward))
+        window = window.rowsBetween(Window.unboundedPreceding if limit is None else -limit, 0)
+        return df.withColumns({c: F.last(F.col(quoted(c)), ignorenulls=True).over(window) for c in columns})
     numbered = with_row_index(df, [*by, *order], "_i")
     known = {f"_v{k}": F.when(F.col(quoted(c)).isNotNull(), F.struct("_i", F.col(quoted(c)).alias("v"))) for k, c in enumerate(columns)}
     out = carry(numbered, list(by), [F.col("_i")], known, not backward)
@@ -197,9 +200,10 @@ def interpolate(df: DataFrame, columns: list[str], order_by: list[str] | str, by
     known = {f"{side}{k}": F.when(F.col(quoted(c)).isNotNull(), F.struct(F.col("_n").alias("n"), F.col(quoted(c)).cast("double").alias("v"))) for k, c in enumerate(columns) for side in ("_a", "_b")}
     if not (spread if spread is not None else not by or has_large_group(df, by)):
         base = Window.partitionBy(*[F.col(quoted(c)) for c in by]).orderBy(*sort_keys(order))
-        before, after = base.rowsBetween(Window.unboundedPreceding, 0), base.rowsBetween(0, Window.unboundedFollowing)
         out = df.withColumn("_n", F.row_number().over(base))
-        out = out.withColumns({n: F.last(v, ignorenulls=True).over(before) if n[1] == "a" else F.first(v, ignorenulls=True).over(after) for n, v in known.items()})
+        numbered = Window.partitionBy(*[F.col(quoted(c)) for c in by])
+        before, after = [numbered.orderBy(n).rowsBetween(Window.unboundedPreceding, 0) for n in (F.asc("_n"), F.desc("_n"))]
+        out = out.withColumns({n: F.last(v, ignorenulls=True).over(before if n[1] == "a" else after) for n, v in known.items()})
     else:
         out = with_row_index(df, [*by, *order], "_n")
         out = carry(out, list(by), [F.col("_n")], {n: v for n, v in known.items() if n[1] == "a"})
@@ -215,7 +219,7 @@ def interpolate(df: DataFrame, columns: list[str], order_by: list[str] | str, by
 
 def failure_threshold(df: DataFrame, failed: Column, keys: list[str], ts: str, minutes: int = 15, most: int = 5, spread: bool | None = None) -> DataFrame:
     """Each row with the failures of its keys in the minutes up to it, and whether they reach the most allowed."""
-    out = rolling(df, ts, f"{minutes}m", {"n_failed": F.count_if(failed)}, closed="both", by=keys, spread=spread)
+    out = rolling(df, ts, f"{minutes}m", {"n_failed": ("count", F.when(failed, 1))}, closed="both", by=keys, spread=spread)
     return out.withColumn("locked", F.col("n_failed") >= most)
 
 

@@ -1,4 +1,4 @@
-"""Registered queries of range joins, percentiles of several columns, keyed tables in files, deep slices and files read in parts."""
+"""Registered queries of range joins, percentiles of several columns, keyed tables in files, deep slices, dense windows and files read in parts."""
 
 from __future__ import annotations
 
@@ -98,6 +98,18 @@ def dyn_from_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.group_by_dynamic(read(spark, sf_dir, "events"), "ts", "1h", {"n": F.count(F.lit(1))}, start_by="datapoint", by=["event_type"])
 
 
+@query("""
+SELECT event_id, count(*) OVER w AS n, CAST(sum(cents) OVER w AS BIGINT) AS total, CAST(sum(cents) OVER w AS DOUBLE) / count(*) OVER w AS mean, min(cents) OVER w AS low, max(cents) OVER w AS high
+FROM (SELECT event_id, ts, CAST(round(value * 100) AS BIGINT) AS cents FROM events)
+WINDOW w AS (ORDER BY ts RANGE BETWEEN INTERVAL '7775999.999999 seconds' PRECEDING AND CURRENT ROW)
+""")
+def rolling_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No keys, and windows of 90 days that hold nearly all events; whole cents, so that no sum depends on its order."""
+    events = read(spark, sf_dir, "events").select("event_id", "ts", F.round(F.col("value") * 100).cast("long").alias("cents"))
+    aggs = {"n": ("count", None), "total": ("sum", "cents"), "mean": ("mean", "cents"), "low": ("min", "cents"), "high": ("max", "cents")}
+    return windows.rolling(events, "ts", "90d", aggs).select("event_id", *aggs)
+
+
 @query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem")
 def arrow_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three columns of wide Arrow files, read in parts of 1 MB."""

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.operators import aggregates, joins, reshape, rows, windows
+from millrace.operators import aggregates, joins, reshape, rows, scans, windows
 from millrace.types import CRM_FIELDS, CRM_TYPES, EXCLUDED_CRM_TYPES, ORACLE_COLUMNS, ORACLE_TYPES, oracle_column, outside_type, promote, spark_type, type_id, union_promoted
 
 
@@ -208,7 +208,7 @@ def test_outside_types():
     assert [oracle_column("string", 120), oracle_column("utf8", 10000), oracle_column("string"), oracle_column("decimal128", precision=10, scale=2), oracle_column("timestamp_us", timezone="UTC"), oracle_column("bool")] == ["VARCHAR2(120 CHAR)", "CLOB", "VARCHAR2(4000 CHAR)", "NUMBER(10, 2)", "TIMESTAMP WITH TIME ZONE", "NUMBER(1, 0)"]
 
 
-def test_windows_over_ranges_equal_those_over_keys(spark):
+def test_windows_over_ranges_equal_those_over_keys(spark, parted):
     rows_ = [(k % 3 if k % 11 else None, None if k % 17 == 0 else (k * 37) % 101, k, float(k % 7) if k % 4 else None) for k in range(160)]
     df = spark.createDataFrame(rows_, "g int, t long, i long, v double")
 
@@ -219,6 +219,8 @@ def test_windows_over_ranges_equal_those_over_keys(spark):
     for closed in ("left", "right", "both", "none"):
         for offset in (None, -5, 3):
             same(lambda s, closed=closed, offset=offset: windows.rolling(df, "t", 10, {"n": F.count(F.lit(1)), "m": F.max("v")}, offset, closed, ["g"], spread=s))
+            scanned = {"n": ("count", None), "c": ("count", "v"), "s": ("sum", "v"), "m": ("mean", "v"), "low": ("min", "i"), "v": ("max", "v")}
+            same(lambda s, closed=closed, offset=offset: windows.rolling(df, "t", 10, scanned, offset, closed, ["g"], spread=s))
     for n in (1, -2):
         same(lambda s, n=n: windows.shift(df, n, "i", -1, ["v"], ["g"], spread=s))
     for limit in (None, 1):
@@ -227,6 +229,49 @@ def test_windows_over_ranges_equal_those_over_keys(spark):
     same(lambda s: windows.interpolate(df, ["v"], "i", ["g"], spread=s))
 
 
+@pytest.fixture
+def parted(spark):
+    """Small inputs keep their parts."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_dense_period_is_dealt_over_tasks(spark, parted):
+    """One key with all rows in one period, many at one moment: equal to a direct count, and no part holds half of the stream."""
+    n = 4000
+    values = [(k // 2 if k < 3000 else 5000 + k % 3, (k * 7919) % 1000 - 500) for k in range(n)]
+    df = spark.createDataFrame(values, "t long, v int")
+    stages = []
+    kept = scans.materialize
+    scans.materialize = lambda frame, name: stages.append(kept(frame, name)) or stages[-1]
+    try:
+        out = windows.rolling(df, "t", 100_000, {"n": ("count", None), "s": ("sum", "v"), "low": ("min", "v"), "high": ("max", "v")})
+        got = {(r.t, r.n, r.s, r.low, r.high) for r in out.collect()}
+    finally:
+        scans.materialize = kept
+    wanted = set()
+    for t in {t for t, _ in values}:
+        seen = [v for u, v in values if u <= t]
+        wanted.add((t, len(seen), sum(seen), min(seen), max(seen)))
+    assert got == wanted and out.count() == n
+    sizes = [r["count"] for r in stages[0].groupBy("_part").count().collect()]
+    assert len(sizes) > 2 and max(sizes) < sum(sizes) / 2
+    assert "SinglePartition" not in out._jdf.queryExecution().toString()
+
+
+def test_scanned_windows_odd_cases(spark, parted):
+    df = spark.createDataFrame([(None, None, None), (None, None, 2), (1, None, 3), (1, 7, None)], "g int, t int, v int").withColumn("v", F.col("v").cast("decimal(10,2)"))
+    pairs = {"n": ("count", None), "s": ("sum", "v"), "m": ("mean", "v")}
+    made = [windows.rolling(df, "t", 5, pairs, by=["g"], spread=s) for s in (False, True)]
+    assert made[0].dtypes == made[1].dtypes and rows.frames_equal(*[m.sort("t") for m in made])
+    none = windows.rolling(df, "t", 1, pairs, closed="none", spread=True)
+    assert {(r.n, r.s) for r in none.collect()} == {(0, None)}
+    assert windows.rolling(df.limit(0), "t", 5, pairs, spread=True).count() == 0
+    with pytest.raises(ValueError):
+        windows.rolling(df, "t", 5, {"x": ("mode", "v")})
+
+
 def test_pivot_refuses_too_many_columns(spark):
     with pytest.raises(ValueError):
         reshape.pivot(spark.range(5).withColumn("x", F.lit(1)), "id", "x", "x", most_columns=4)

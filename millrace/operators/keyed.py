@@ -49,6 +49,26 @@ class KeyedTable:
     def schema(self):
         return self.spark.read.parquet(f"{self.base}/schema").schema
 
+    def _store(self, *place: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.base, *place]))
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def published(self, version: int) -> bool:
+        store, path = self._store("versions", f"v={version}", "_SUCCESS")
+        return store.exists(path)
+
+    def latest(self) -> int:
+        """The highest published version."""
+        store, path = self._store("versions")
+        found = [int(s.getPath().getName().removeprefix("v=")) for s in store.listStatus(path)]
+        return max(v for v in found if self.published(v))
+
+    def withdraw(self, version: int) -> None:
+        """Takes away what a lost writer left of a version that it didn't publish, so that it can be written again."""
+        if not self.published(version):
+            store, path = self._store("versions", f"v={version}")
+            store.delete(path, True)
+
     def _publish(self, files: DataFrame, version: int) -> None:
         files.select("write", "file", "rows", "keyed").write.mode("errorifexists").parquet(f"{self.base}/versions/v={version}")
 

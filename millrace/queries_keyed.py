@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from millrace.operators.keyed import KeyedTable
 from millrace.queries import query, read
 from millrace.session import shared_dir
 from millrace.sources import arrow_ipc
+from millrace.streaming import inbound
 
 
 @query("SELECT l_orderkey, l_linenumber, o_orderkey FROM lineitem JOIN orders ON l_extendedprice >= o_totalprice - 0.05 AND l_extendedprice <= o_totalprice + 0.05")
@@ -116,3 +118,48 @@ def arrow_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/millrace-arrow-{uuid.uuid4().hex}"
     arrow_ipc.write_arrow(read(spark, sf_dir, "lineitem"), path)
     return arrow_ipc.read_arrow(spark, path, ["l_orderkey", "l_linenumber", "l_quantity"], 1 << 20)
+
+
+class _Lossy(KeyedTable):
+    """Lost once before its second merge is published, and once after the third is."""
+
+    lost: set[int]
+
+    def _publish(self, files: DataFrame, version: int) -> None:
+        if version == 2 and version not in self.lost:
+            self.lost.add(version)
+            raise RuntimeError("lost before publishing")
+        super()._publish(files, version)
+        if version == 3 and version not in self.lost:
+            self.lost.add(version)
+            raise RuntimeError("lost after publishing")
+
+
+@query("""
+SELECT c_custkey, CAST(round(c_acctbal * 100) AS BIGINT) + coalesce(spent, 0) AS cents
+FROM customer LEFT JOIN (SELECT o_custkey, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS spent FROM orders GROUP BY o_custkey) ON c_custkey = o_custkey
+""")
+def stream_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order is a message that adds to its customer's balance; a tenth are sent again, and the stream is lost twice half-way and started anew."""
+    base = f"{shared_dir(spark)}/millrace-once-{uuid.uuid4().hex}"
+    orders = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("mq_id"), F.col("o_custkey").alias("c_custkey"), F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"))
+    again = orders.where("pmod(hash(mq_id), 10) = 0").withColumn("sent", F.lit(2))
+    sent = orders.withColumn("sent", F.lit(1)).unionByName(again)
+    sent.repartition(3, "mq_id", "sent").drop("sent").write.parquet(f"{base}/in")
+    table = _Lossy(spark, f"{base}/table", ["c_custkey"], 500_000)
+    table.lost = set()
+    table.create(read(spark, sf_dir, "customer").select("c_custkey", F.round(F.col("c_acctbal") * 100).cast("long").alias("cents")))
+
+    def add(messages: DataFrame, current: DataFrame) -> DataFrame:
+        sums = messages.dropDuplicates(["mq_id"]).groupBy("c_custkey").agg(F.sum("cents").alias("more"))
+        return current.join(sums, "c_custkey").select("c_custkey", (F.col("cents") + F.col("more")).alias("cents"))
+
+    for _ in range(3):
+        stream = spark.readStream.schema(orders.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+        try:
+            inbound.apply_once(stream, table, add, "mq_id", f"{base}/state", f"{base}/ledger", once=True).awaitTermination()
+        except StreamingQueryException as e:
+            if "lost" not in str(e):
+                raise
+    assert table.lost == {2, 3}
+    return table.read(table.latest())

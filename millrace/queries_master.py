@@ -11,8 +11,10 @@ import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from millrace.operators import aggregates, mdm, rows
+from millrace.catalog import Column, Entity
+from millrace.operators import aggregates, evolve, mdm, rows
 from millrace.operators.tables import Audit
 from millrace.queries import query, read
 from millrace.session import materialize
@@ -165,3 +167,36 @@ def mdm_take_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     early = ranked.join(first, "slice").where(F.col("place") - F.col("first") < 15).select("mq_id", F.lit(1).alias("early"))
     taken = mdm.take(waiting, chunk=60, slices=4).join(early, "mq_id", "left")
     return taken.groupBy("slice").agg(F.count(F.lit(1)).cast("int").alias("n"), F.sum("early").cast("int").alias("first_ones"))
+
+
+@query(f"SELECT CAST(CASE WHEN NOT known THEN 404 WHEN mq_id % 11 = 0 THEN 500 WHEN changed THEN 200 ELSE 304 END AS INTEGER) AS mq_status, count(*) AS n FROM {_MESSAGES} GROUP BY 1")
+def mdm_row_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages that fail on their way, by a condition on their id, have status 500 unless their employee is unknown."""
+    tables = master(spark, sf_dir)
+    inbound, _ = mdm.load_json(messages(spark, sf_dir))
+    changes = mdm.delta(mdm.enrich(inbound, tables["mq_lookup"], mdm.snapshot(tables)))
+    return aggregates.status_summary(mdm.classify(changes, F.col("mq_id") % 11 == 0))
+
+
+@query("SELECT mq_id, CAST(202 AS INTEGER) AS mq_status FROM (SELECT o_orderkey AS mq_id, row_number() OVER (ORDER BY o_orderkey) AS n FROM orders WHERE o_orderkey % 3 = 0) WHERE n <= 3000")
+def mdm_take_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A chunk past the bound up to which each task keeps the first rows: by row numbers."""
+    return mdm.take(_waiting(spark, sf_dir), chunk=3000, slices=1).drop("slice")
+
+
+@query("SELECT s_suppkey, s_name, CAST(s_nationkey AS BIGINT) AS s_nationkey, CAST(s_suppkey AS BIGINT) AS code FROM supplier")
+def align_present(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only columns that are there already are changed: one widened, one from text to number; the new one isn't added."""
+    s = read(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey", F.col("s_suppkey").cast("string").alias("code"))
+    wanted = T.StructType([T.StructField("s_nationkey", T.LongType()), T.StructField("code", T.LongType()), T.StructField("added", T.DoubleType())])
+    return evolve.align(s, wanted, add=False)
+
+
+@query("SELECT 'wh' AS namespace, 'CUSTOMER' AS entity, 0 AS n_keys, c_custkey, c_name FROM customer")
+def retargeted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as the entity names them in its new place: keys cleared, the column without a type left out."""
+    columns = [Column("customer", "c_custkey", type="int64", primary_key=True, unique=True), Column("customer", "c_name", type="string"), Column("customer", "c_mktsegment")]
+    moved = evolve.retarget(Entity("customer", columns), "wh")
+    n_keys = sum(c.primary_key or c.unique for c in moved.columns)
+    place = [F.lit(moved.locator.namespace).alias("namespace"), F.lit(moved.name).alias("entity"), F.lit(n_keys).alias("n_keys")]
+    return read(spark, sf_dir, "customer").select(*place, *[c.name for c in moved.columns])

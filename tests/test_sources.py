@@ -7,10 +7,12 @@ import zipfile
 import pandas as pd
 import pyarrow as pa
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.catalog import Column, Entity
+from millrace.operators.keyed import KeyedTable
 from millrace.sources import discover, files, jdbc
 from millrace.sources.arrow_ipc import _read, _read_rows, _reader, read_arrow, write_arrow
 from millrace.sources.workbook import read_workbook
@@ -247,3 +249,43 @@ def test_windows_drop_late_rows(spark, tmp_path):
     q.stop()
     rows = {r.start.hour * 60 + r.start.minute: (r.n_failed, r.locked) for r in spark.sql("SELECT * FROM failures_out").collect()}
     assert rows[600] == (1, True)
+
+
+class Lossy(KeyedTable):
+    """Lost where told to be: before or after a version is published."""
+
+    lose: dict
+
+    def _publish(self, files, version):
+        if self.lose.pop((version, "before"), None):
+            raise RuntimeError("lost")
+        super()._publish(files, version)
+        if self.lose.pop((version, "after"), None):
+            raise RuntimeError("lost")
+
+
+@pytest.mark.parametrize("when", ["before", "after"])
+def test_messages_are_applied_once(spark, tmp_path, when):
+    """Sums in a table: messages sent again, within a batch and later, ids that are null, a lost run, what another writer left, a second run."""
+    spark.createDataFrame([(1, "a", 10), (2, "b", 5), (2, "b", 5), (None, "a", 1)], "id long, k string, v long").coalesce(1).write.parquet(str(tmp_path / "in" / "x1"))
+    table = Lossy(spark, str(tmp_path / "table"), ["k"], 10)
+    table.lose = {}
+    table.create(spark.createDataFrame([("a", 100), (None, 7)], "k string, v long"))
+    (tmp_path / "table" / "versions" / "v=1").mkdir()
+    table.lose = {(1, when): True}
+
+    def add(new, current):
+        sums = new.groupBy("id", "k", "v").agg(F.when(F.col("id").isNull(), F.count(F.lit(1))).otherwise(1).alias("n")).groupBy("k").agg(F.sum(F.col("v") * F.col("n")).alias("more"))
+        return sums.join(current, "k", "left").select("k", (F.coalesce("v", F.lit(0)) + F.col("more")).alias("v"))
+
+    def run(folder, state):
+        stream = spark.readStream.schema("id long, k string, v long").parquet(f"{tmp_path}/in/{folder}")
+        inbound.apply_once(stream, table, add, "id", str(tmp_path / state), str(tmp_path / "ledger"), once=True).awaitTermination()
+
+    with pytest.raises(StreamingQueryException):
+        run("x1", "s1")
+    run("x1", "s1")
+    assert {tuple(r) for r in table.read(table.latest()).collect()} == {("a", 111), ("b", 5), (None, 7)} and table.latest() == 1
+    spark.createDataFrame([(2, "b", 5), (3, "b", 2)], "id long, k string, v long").coalesce(1).write.parquet(str(tmp_path / "in" / "x2"))
+    run("x2", "s2")
+    assert {tuple(r) for r in table.read(table.latest()).collect()} == {("a", 111), ("b", 7), (None, 7)}

@@ -12,7 +12,7 @@ from millrace.operators import aggregates, ranges, rows, windows
 from millrace.operators.keyed import KeyedTable
 from millrace.queries import query, read
 from millrace.session import shared_dir
-from millrace.sources import arrow_ipc
+from millrace.sources import arrow_ipc, workbook
 from millrace.streaming import inbound
 
 
@@ -163,3 +163,14 @@ def stream_once(spark: SparkSession, sf_dir: str) -> DataFrame:
                 raise
     assert table.lost == {2, 3}
     return table.read(table.latest())
+
+
+@query("SELECT c_custkey, c_name, CASE WHEN c_custkey % 7 <> 0 THEN c_acctbal END AS c_acctbal, c_mktsegment, 1 AS several FROM customer")
+def workbook_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as workbooks of bounded rows, most names outside the shared texts, read back by blocks that several tasks parse."""
+    path = f"{shared_dir(spark)}/workbook-{uuid.uuid4().hex}"
+    customers = read(spark, sf_dir, "customer").select("c_custkey", "c_name", F.when(F.col("c_custkey") % 7 != 0, F.col("c_acctbal")).alias("c_acctbal"), "c_mktsegment")
+    workbook.write_workbook(customers, path, "Customers", 400_000, most_shared=100)
+    back = workbook.read_workbook(spark, path, "Customers", block_bytes=1 << 14)
+    tasks = back.select(F.spark_partition_id().alias("p")).distinct().count()
+    return back.withColumn("several", F.lit(int(tasks > 1)))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from millrace.catalog import entity_of
 from millrace.sources import files
 from millrace.sources.arrow_ipc import read_arrow
-from millrace.sources.workbook import read_cells, read_workbook
+from millrace.sources.workbook import read_workbook, sheet_names
 
 COLUMNS = "entity string, column string, type string, nullable boolean, ordinal int, path string, format string"
 
@@ -45,7 +45,7 @@ def entities(spark: SparkSession, path: str) -> list[tuple[str, str, str, str |
     out = []
     for name, place, kind in listing(spark, path):
         if kind == "workbook":
-            out += [(f"{name}__{r[0]}", place, kind, r[0]) for r in read_cells(spark, place).select("sheet").distinct().orderBy("sheet").collect()]
+            out += [(f"{name}__{r.sheet}", place, kind, r.sheet) for r in sheet_names(spark, place).orderBy("sheet").collect()]
         else:
             out.append((name, place, kind, None))
     return out

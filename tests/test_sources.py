@@ -15,7 +15,7 @@ from millrace.catalog import Column, Entity
 from millrace.operators.keyed import KeyedTable
 from millrace.sources import discover, files, jdbc
 from millrace.sources.arrow_ipc import _read, _read_rows, _reader, read_arrow, write_arrow
-from millrace.sources.workbook import read_workbook
+from millrace.sources.workbook import read_cells, read_workbook, sheet_names, write_workbook
 from millrace.streaming import inbound
 
 
@@ -196,6 +196,40 @@ def test_workbook_and_discovery(spark, tmp_path):
     assert both.where("source = 'a'").count() == 2 and both.where("message is not null").count() == 1
 
 
+def test_workbook_blocks(spark, tmp_path):
+    """Small blocks give the rows of one; texts shared, in their cells, with marks and white space; several files of bounded rows."""
+    day, moment = datetime.date(2024, 2, 29), datetime.datetime(2024, 2, 29, 6, 30)
+    rows = [(k, f"<row>&'{k % 7}\"</si> \n", None if k % 5 == 0 else k / 8, k % 2 == 0, day, moment) for k in range(300)]
+    df = spark.createDataFrame(rows, "k long, `a name` string, x double, yes boolean, d date, t timestamp_ntz").coalesce(1)
+    assert [tuple(r)[1] for r in write_workbook(df, str(tmp_path / "w"), "S & T", 250, most_shared=8).collect()] == [250, 50]
+    assert not [p for p in (tmp_path / "w").iterdir() if p.name.startswith("_")]
+    out = read_workbook(spark, str(tmp_path / "w"), "S & T", block_bytes=1000)
+    assert out.dtypes == df.dtypes and sorted(tuple(r) for r in out.collect()) == rows
+    small, whole = (read_cells(spark, str(tmp_path / "w"), block_bytes=b) for b in (700, 1 << 24))
+    assert sorted(map(tuple, small.collect()), key=str) == sorted(map(tuple, whole.collect()), key=str)
+    assert small.select(F.spark_partition_id()).distinct().count() > 1
+    assert [r.sheet for r in sheet_names(spark, str(tmp_path / "w")).collect()] == ["S & T"] * 2
+    assert read_workbook(spark, str(tmp_path / "w"), "absent").columns == []
+    with pytest.raises(ValueError):
+        write_workbook(spark.range(1).select(F.array("id").alias("a")), str(tmp_path / "x"), "S")
+    main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    workbook(tmp_path / "odd.xlsx")
+    odd = tmp_path / "odd2.xlsx"
+    with zipfile.ZipFile(tmp_path / "odd.xlsx") as a, zipfile.ZipFile(odd, "w") as b:
+        for name in a.namelist():
+            if name.endswith("sheet1.xml"):
+                text = f'<?xml version="1.0" encoding="UTF-16"?><x:worksheet xmlns:x="{main}"><x:sheetData><x:row><x:c><x:v>1</x:v></x:c></x:row><x:row/><x:row r="9"><x:c r="C9" t="s"><x:f>A1</x:f><x:v>2</x:v></x:c><x:c t="e"><x:v>#N/A</x:v></x:c></x:row><x:row/></x:sheetData><x:rowBreaks/></x:worksheet>'
+                b.writestr(name, text.encode("utf-16"))
+            elif "sheet2" in name:
+                b.writestr(name, a.read(name).replace(b"<sheetData/>", b'<sheetData><row r="1">'))
+            else:
+                b.writestr(name, a.read(name))
+    found = read_cells(spark, str(odd), "One", 10)
+    assert sorted((r.row, r.cells) for r in found.collect()) == [(0, ["1"]), (1, []), (2, [None, None, "Ann"]), (3, [])]
+    with pytest.raises(Exception, match="a part ends"):
+        read_cells(spark, str(odd), "Two")
+
+
 def test_jdbc(spark, tmp_path):
     url = f"jdbc:derby:{tmp_path}/db;create=true"
     df = spark.range(20).select(F.col("id").alias("ID"), F.concat(F.lit("n"), "id").alias("NAME"))

@@ -12,7 +12,7 @@ from millrace.operators import aggregates, ranges, rows, windows
 from millrace.operators.keyed import KeyedTable
 from millrace.queries import query, read
 from millrace.session import shared_dir
-from millrace.sources import arrow_ipc, workbook
+from millrace.sources import arrow_ipc, files, jdbc, workbook
 from millrace.streaming import inbound
 
 
@@ -174,3 +174,44 @@ def workbook_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = workbook.read_workbook(spark, path, "Customers", block_bytes=1 << 14)
     tasks = back.select(F.spark_partition_id().alias("p")).distinct().count()
     return back.withColumn("several", F.lit(int(tasks > 1)))
+
+
+_LINES = "SELECT o_orderkey, length(o_orderkey || ',' || o_custkey) + 1 AS n FROM orders"
+
+
+@query(f"""
+WITH l AS ({_LINES}), s AS (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS i, coalesce(sum(n) OVER (ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b, max(n) OVER () AS m FROM l),
+c AS (SELECT *, i // 700 + CAST(b AS BIGINT) // (8192 - 25 - m + 1) AS chunk FROM s)
+SELECT CAST(chunk AS BIGINT) AS chunk, count(*) AS total, CAST(sum(n) + 21 AS BIGINT) AS size, count(*) AS processed, CAST(count(*) FILTER (o_orderkey % 7 = 0) AS BIGINT) AS failed, CAST(0 AS BIGINT) AS unprocessed FROM c GROUP BY chunk
+""")
+def chunks_sent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks bounded by rows and bytes, each handed over by a task; what came of each."""
+    path = f"{shared_dir(spark)}/sized-{uuid.uuid4().hex}"
+    chunks, _ = files.export_sized(read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), path, 700, 8192, "o_orderkey")
+
+    def send(content: bytes) -> tuple[int, int]:
+        keys = [int(line.split(b",")[0]) for line in content.splitlines()[1:]]
+        return len(keys), sum(k % 7 == 0 for k in keys)
+
+    return files.send_chunks(chunks, send).join(chunks.select("chunk", "size"), "chunk").select("chunk", "total", "size", "processed", "failed", "unprocessed")
+
+
+@query("""
+WITH l AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 3 = 0 THEN 7 ELSE l_orderkey * l_orderkey END AS k FROM lineitem)
+SELECT l_orderkey AS "L_ORDERKEY", l_linenumber AS "L_LINENUMBER", k AS "K", true AS balanced FROM l WHERE l_orderkey % 10 <> 0
+UNION ALL SELECT l_orderkey, l_linenumber, -k, true FROM l WHERE l_orderkey % 10 = 0
+""")
+def jdbc_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tasks that write again after they were taken for lost, then a merge by keys; a column where one value has a third of the rows read in equal parts."""
+    url = f"jdbc:derby:memory:millrace{uuid.uuid4().hex};create=true"
+    key = F.when(F.col("l_orderkey") % 3 == 0, 7).otherwise(F.col("l_orderkey") * F.col("l_orderkey")).cast("long")
+    lines = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("long").alias("L_ORDERKEY"), F.col("l_linenumber").cast("long").alias("L_LINENUMBER"), key.alias("K"))
+    write = jdbc.StagedWrite(lines, url, "LINES")
+    write.stage()
+    write.stage()
+    write.publish()
+    write.drop()
+    jdbc.write_jdbc_once(lines.where("L_ORDERKEY % 10 = 0").withColumn("K", -F.col("K")), url, "LINES", ["L_ORDERKEY", "L_LINENUMBER"])
+    back = jdbc.read_jdbc_balanced(spark, url, "LINES", "K", 8, "L_ORDERKEY")
+    sizes = [r[0] for r in back.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    return back.withColumn("balanced", F.lit(max(sizes) <= 2 * -(-sum(sizes) // 8)))

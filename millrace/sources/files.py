@@ -174,6 +174,69 @@ def export_chunks(df: DataFrame, path: str, chunk_rows: int, line_sep: str = "\n
     return back.groupBy(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_size").alias("size")).agg(F.count(F.lit(1)).alias("rows"))
 
 
+def export_sized(df: DataFrame, path: str, chunk_rows: int, chunk_bytes: int, order_by: list[str] | str, line_sep: str = "\n") -> tuple[DataFrame, DataFrame]:
+    """CSV files, one a chunk, of at most chunk_rows rows and chunk_bytes bytes (header included), in an order of the rows.
+
+    Returns the chunks (chunk, file, total, size) and the rows whose own line is past the bound, which are in none. A row starts
+    a chunk by the rows and bytes before it, so chunks are cut in all tasks at once: a row of at most half the bound is in
+    the chunk of its row count and of its bytes over the bound less the longest such row, a longer one is alone. Files stand in folders _chunk=<number>; numbers have gaps.
+    No rows give no file.
+    """
+    from millrace.operators.rows import running_totals
+
+    if "_chunk" in df.columns:
+        raise ValueError("column '_chunk' exists")
+    size = F.octet_length(F.to_csv(F.struct(*[F.col(quoted(c)) for c in df.columns]))) + len(line_sep)
+    bound = chunk_bytes - len(",".join(f'"{c}"' for c in df.columns).encode()) - len(line_sep)
+    if chunk_rows < 1 or bound < 1:
+        raise ValueError("the bounds hold no row")
+    small = F.col("_size") <= bound // 2
+    sized = running_totals(df.withColumn("_size", size), order_by, {"_rows": F.when(small, 1), "_bytes": F.when(small, F.col("_size")), "_alone": F.when(~small, 1)})
+    longest = sized.where(small).agg(F.max("_size")).first()[0] or 0
+    by_size = F.floor(F.col("_rows") / chunk_rows) + F.floor(F.col("_bytes") / (bound - longest + 1))
+    # large rows are numbered below zero, each alone
+    chunked = sized.withColumn("_chunk", F.when(small, by_size).otherwise(-1 - F.col("_alone")))
+    refused = chunked.where(F.col("_size") > bound).select(*[F.col(quoted(c)) for c in df.columns])
+    kept = chunked.where(F.col("_size") <= bound)
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    plain = kept.repartition(tasks, "_chunk").sortWithinPartitions("_chunk", "_rows").select("_chunk", *[F.col(quoted(c)) for c in df.columns])
+    plain.write.partitionBy("_chunk").option("header", True).option("lineSep", line_sep).csv(path)
+    number = F.regexp_extract("path", r"_chunk=(-?\d+)/", 1)
+    listed = df.sparkSession.read.format("binaryFile").option("pathGlobFilter", "*.csv").option("recursiveFileLookup", True).load(path).select(number.cast("long").alias("chunk"), F.col("path").alias("file"), F.col("length").alias("size"))
+    totals = kept.groupBy(F.col("_chunk").alias("chunk")).agg(F.count(F.lit(1)).alias("total"))
+    return totals.join(listed, "chunk").select("chunk", "file", "total", "size"), refused
+
+
+def send_chunks(chunks: DataFrame, send: Callable[[bytes], tuple[int, int]]) -> DataFrame:
+    """chunk, total, processed, failed, unprocessed, message: each chunk's file is handed to send in a task of its own.
+
+    send gives how many rows were processed and, of these, failed. Where it raises an error, the whole chunk is unprocessed
+    and the message says why; the other chunks go on. A task that is lost sends its chunk again.
+    """
+    listed = chunks.select("chunk", "file", "total")
+    spark = chunks.sparkSession
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for k in range(batch.num_rows):
+                chunk, total = batch.column("chunk")[k].as_py(), batch.column("total")[k].as_py()
+                try:
+                    processed, failed = send(batch.column("content")[k].as_py())
+                    out = (chunk, total, processed, failed, total - processed, None)
+                except Exception as why:  # noqa: BLE001  a chunk's failure is a row of the result
+                    out = (chunk, total, 0, 0, total, f"{type(why).__name__}: {why}"[:500])
+                kinds = [pa.int64()] * 5 + [pa.string()]
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(out, kinds, strict=True)], names=["chunk", "total", "processed", "failed", "unprocessed", "message"])
+
+    folders = [r[0] for r in listed.select(F.regexp_replace("file", "/_chunk=[^/]*/[^/]*$", "")).distinct().collect()]
+    if not folders:
+        return spark.createDataFrame([], "chunk long, total long, processed long, failed long, unprocessed long, message string")
+    contents = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").option("recursiveFileLookup", True).load(folders).select(F.col("path").alias("file"), "content")
+    return contents.join(listed, "file").select("chunk", "total", "content").mapInArrow(run, "chunk long, total long, processed long, failed long, unprocessed long, message string")
+
+
 def encrypt_columns(df: DataFrame, columns: list[str], key: str | bytes) -> DataFrame:
     """Columns as text, encrypted by AES-GCM with a 16, 24 or 32 byte key; nulls stay null."""
     k = F.lit(key.encode() if isinstance(key, str) else key)

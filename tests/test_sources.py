@@ -59,6 +59,30 @@ def test_json_parquet_and_datasets(spark, tmp_path):
     assert files.drop_data(spark, str(tmp_path / "ds"), str(tmp_path / "none")) == [True, False]
 
 
+def test_chunks_of_bounded_rows_and_bytes(spark, tmp_path):
+    """Against the bounds themselves: long rows alone, longer ones refused, a chunk that can't be sent, no rows."""
+    rows = [(k, "x" * (3 if k % 40 else 70 if k % 80 else 200)) for k in range(400)] + [(k, None) for k in range(20)]
+    df = spark.createDataFrame(rows, "k long, v string").repartition(3)
+    chunks, refused = files.export_sized(df, str(tmp_path / "c"), 7, 120, "k", "\r\n")
+    found = chunks.collect()
+    assert all(r.total <= 7 and r.size <= 120 for r in found) and sum(r.total for r in found) == 415
+    assert sorted(r.k for r in refused.collect()) == [0, 80, 160, 240, 320]
+    back = spark.read.option("header", True).option("lineSep", "\r\n").schema("k long, v string").csv(str(tmp_path / "c"))
+    assert sorted(((r.k, r.v) for r in back.collect()), key=str) == sorted([r for r in rows if len(r[1] or "") < 200], key=str)
+
+    def send(content):
+        if b"x" * 70 in content:
+            raise OSError("refused")
+        return content.count(b"\n") - 1, 1
+
+    sent = files.send_chunks(chunks, send).collect()
+    assert len(sent) == len(found)
+    assert {(r.processed, r.failed, r.unprocessed, r.message) for r in sent if r.message} == {(0, 0, 1, "OSError: refused")} and sum(r.unprocessed for r in sent) == 5
+    assert sum(r.processed for r in sent) == 410
+    none, _ = files.export_sized(df.limit(0), str(tmp_path / "n"), 7, 120, "k")
+    assert files.send_chunks(none, send).count() == 0
+
+
 def test_memory_frames(spark):
     rows = files.from_records(spark, [{"a": 1}, {"b": "x"}], "a int, b string").collect()
     assert [tuple(r) for r in rows] == [(1, None), (None, "x")]
@@ -243,6 +267,34 @@ def test_jdbc(spark, tmp_path):
         jdbc.read_jdbc(spark, url)
 
 
+def test_jdbc_parts_and_writes_once(spark, tmp_path):
+    """Repeated tasks, replaced keys and tables, a write undone; far values, nulls, negatives, one heavy value, an empty table."""
+    url = f"jdbc:derby:{tmp_path}/db2;create=true"
+    kind = "ID long, K long"
+    rows = [(k, None if k % 9 == 0 else -5 if k % 3 == 0 else 2**62 + k if k % 50 == 1 else k * 3) for k in range(900)]
+    write = jdbc.StagedWrite(spark.createDataFrame(rows, kind).repartition(5), url, "T")
+    write.stage()
+    write.stage()
+    assert write.publish() == 900
+    write.drop()
+    conditions = jdbc.balanced_ranges(spark, url, "T", "K", 6, "ID")
+    sizes = [jdbc.read_jdbc(spark, url, query=f"SELECT COUNT(*) AS N FROM T WHERE {c}").first()[0] for c in conditions]
+    assert sum(sizes) == 900 and max(sizes) <= 200 and len(conditions) <= 14
+    assert sorted(tuple(r) for r in jdbc.read_jdbc_balanced(spark, url, "T", "K", 6).select("ID").collect()) == [(k,) for k in range(900)]
+    assert jdbc.write_jdbc_once(spark.createDataFrame([(3, 1), (5000, 2), (None, 3), (None, 3)], kind), url, "T", ["ID"]) == 4
+    back = jdbc.read_jdbc(spark, url, table="T")
+    assert back.count() == 903 and back.where("ID = 3").collect()[0].K == 1 and back.where("ID IS NULL").count() == 2
+    lost = jdbc.StagedWrite(spark.createDataFrame([(1, 1)], kind), url, "T", replace=True)
+    lost.stage()
+    lost.rows = spark.createDataFrame([(1, 1), (2, 2)], kind)
+    with pytest.raises(RuntimeError):
+        lost.publish()
+    assert jdbc.read_jdbc(spark, url, table="T").count() == 903
+    assert jdbc.write_jdbc_once(spark.createDataFrame([], kind), url, "EMPTY") == 0
+    assert jdbc.read_jdbc_balanced(spark, url, "EMPTY", "K").count() == 0
+    assert jdbc.write_jdbc_once(spark.createDataFrame([(1, 1)], kind), url, "T", replace=True) == 1 and jdbc.read_jdbc(spark, url, table="T").count() == 1
+
+
 def test_inbound_stream_is_applied_once(spark, tmp_path):
     source = tmp_path / "in"
     source.mkdir()

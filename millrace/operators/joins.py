@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.operators.rows import carry, has_large_group
+from millrace.session import materialize
 from millrace.types import quoted
 
 _KINDS = {
@@ -73,9 +76,52 @@ def join(
     return out.select(*columns)
 
 
-def join_where(left: DataFrame, right: DataFrame, *conditions: Column, how: str = "inner") -> DataFrame:
-    """A join on any conditions; with an equality among them Spark hashes on it, else it compares all rows."""
-    return left.join(right, list(conditions), _KINDS[how])
+#: Rows of each side of a key that meet in one unit of a join on conditions; its square is the pairs that a task compares, about.
+CUT = 4_000
+
+
+def join_where(left: DataFrame, right: DataFrame, *conditions: Column, how: str = "inner", equal: list[tuple[str, str]] = ()) -> DataFrame:
+    """A join on any conditions and on equal columns, given as pairs of names; without either equality Spark compares all rows.
+
+    Keys given by `equal` are counted on both sides first. Where they make more than CUT * CUT pairs, rows are dealt over as
+    many tasks as the pairs need, and a key of more pairs is cut: every part of its left rows meets every part of its right
+    rows once. Outer, semi and anti joins cut only the side whose rows are kept, and full joins neither.
+    """
+    kind = _KINDS[how]
+    if not equal:
+        return left.join(right, list(conditions), kind)
+    ours, theirs = ([pair[side] for pair in equal] for side in (0, 1))
+    names = [f"_h{i}" for i in range(len(equal))]
+
+    def counted(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+        return df.dropna(subset=keys).groupBy(*[F.col(quoted(k)).alias(n) for k, n in zip(keys, names, strict=True)]).agg(F.count(F.lit(1)).alias(name))
+
+    def parts(rows: str, cut: bool) -> Column:
+        return F.ceil(F.col(rows) / CUT).cast("int") if cut else F.lit(1)
+
+    cuts = kind in ("inner", "left", "left_semi", "left_anti"), kind in ("inner", "right")
+    pairs = counted(left, ours, "_n").join(counted(right, theirs, "_m"), names).withColumn("_pairs", F.col("_n").cast("double") * F.col("_m"))
+    pairs = materialize(pairs, "pairs")
+    tasks = math.ceil((pairs.agg(F.sum("_pairs")).first()[0] or 0) / CUT**2)
+    same = [left[quoted(a)] == right[quoted(b)] for a, b in equal]
+    if tasks <= 1:
+        return left.join(right, [*same, *conditions], kind)
+    tasks = max(tasks, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    heavy = pairs.where(F.col("_pairs") > CUT**2).select(*names, parts("_n", cuts[0]).alias("_left"), parts("_m", cuts[1]).alias("_right"))
+
+    def dealt(df: DataFrame, keys: list[str], side: str, own: str, other: str) -> DataFrame:
+        """Each row with its own part, once for each part of the other side; rows with a null key match nothing and are dealt out."""
+        none = F.lit(False)
+        for k in keys:
+            none = none | F.col(quoted(k)).isNull()
+        cut = df.withColumn("_i", F.monotonically_increasing_id()).join(heavy, [F.col(quoted(k)).eqNullSafe(F.col(n)) for k, n in zip(keys, names, strict=True)], "left")
+        mine = F.pmod("_i", F.when(none, tasks).otherwise(F.coalesce(own, F.lit(1)))).cast("int")
+        cut = cut.withColumn(f"{side}{own}", mine).withColumn(f"{side}{other}", F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1)))
+        return cut.drop("_i", *names, "_left", "_right").repartition(tasks, *[F.col(quoted(k)) for k in keys], f"{side}_left", f"{side}_right")
+
+    l, r = dealt(left, ours, "_l", "_left", "_right"), dealt(right, theirs, "_r", "_right", "_left")  # noqa: E741
+    met = [l["_l_left"] == r["_r_left"], l["_l_right"] == r["_r_right"]]
+    return l.join(r, [*same, *met, *conditions], kind).drop("_l_left", "_l_right", "_r_left", "_r_right")
 
 
 def join_asof(left: DataFrame, right: DataFrame, on: str, by: list[str] | str = (), strategy: str = "backward", tolerance: str | float | None = None, right_on: str | None = None, suffix: str = "_right", spread: bool | None = None) -> DataFrame:

@@ -272,6 +272,20 @@ def test_scanned_windows_odd_cases(spark, parted):
         windows.rolling(df, "t", 5, {"x": ("mode", "v")})
 
 
+@pytest.mark.parametrize("how", ["inner", "left", "right", "full", "left semi", "left anti"])
+def test_heavy_keys_of_a_conditional_join_are_cut(spark, monkeypatch, how):
+    monkeypatch.setattr(joins, "CUT", 10)
+    a = spark.createDataFrame([(i, None if i % 9 == 0 else 1 if i % 3 else i % 4 + 2) for i in range(120)], "i int, g int")
+    b = spark.createDataFrame([(j, None if j % 8 == 0 else 1 if j % 2 else j % 6 + 2) for j in range(70)], "j int, h int")
+    got = joins.join_where(a, b, a.i < b.j, how=how, equal=[("g", "h")])
+    want = a.join(b, [a.g == b.h, a.i < b.j], how.replace(" ", "_"))
+    assert got.columns == want.columns and sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    if how == "inner":
+        sizes = sorted(r["count"] for r in got.where("g = 1").groupBy(F.spark_partition_id()).count().collect())
+        assert len(sizes) > 2 and sizes[-1] < sum(sizes) / 2
+    assert joins.join_where(a.limit(0), b, a.i < b.j, how="inner", equal=[("g", "h")]).count() == 0
+
+
 def test_pivot_refuses_too_many_columns(spark):
     with pytest.raises(ValueError):
         reshape.pivot(spark.range(5).withColumn("x", F.lit(1)), "id", "x", "x", most_columns=4)

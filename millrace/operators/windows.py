@@ -47,7 +47,8 @@ def rolling(df: DataFrame, index: str, period: str | int, aggs: dict[str, Column
     Where a key has more than rows.LARGE_GROUP rows, or there are no keys (or spread says so), aggregates given as
     pairs, such as ("sum", "price") or ("count", None), are scanned: a period of any number of rows is
     dealt over tasks. For other aggregates time is cut into buckets as long as the period: a window reaches into two of them, so every
-    row goes to its own bucket and the one before, and no task holds more of a key than two periods.
+    row goes to its own bucket and the one before, and no task holds more of a key than two periods; their cost is that of all rows of
+    all windows, which pairs spare.
     """
     value, timed = _number(df, index)
 

@@ -6,9 +6,13 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace import queries as core
+from millrace import queries_verbs  # noqa: F401  it registers its queries in core
 from millrace.operators import aggregates, joins, reshape, rows, scans, windows
 from millrace.types import CRM_FIELDS, CRM_TYPES, EXCLUDED_CRM_TYPES, ORACLE_COLUMNS, ORACLE_TYPES, oracle_column, outside_type, promote, spark_type, type_id, union_promoted
 
+SF = "/root/testdata/sf0.001"
+
 
 def D(day, hour=0):
     return datetime.datetime(2024, 1, day, hour)
@@ -286,6 +290,12 @@ def test_heavy_keys_of_a_conditional_join_are_cut(spark, monkeypatch, how):
     assert joins.join_where(a.limit(0), b, a.i < b.j, how="inner", equal=[("g", "h")]).count() == 0
 
 
+def test_windows_without_keys_are_scanned(spark):
+    """A frame of Spark's would add every row of a window up anew for each row, the square of the rows of an hour."""
+    out = core.QUERIES["rolling_all"](spark, SF)
+    assert "RangeFrame" not in out._jdf.queryExecution().toString() and out.count() == spark.read.parquet(f"{SF}/events.parquet").count()
+
+
 def test_pivot_refuses_too_many_columns(spark):
     with pytest.raises(ValueError):
         reshape.pivot(spark.range(5).withColumn("x", F.lit(1)), "id", "x", "x", most_columns=4)

@@ -31,15 +31,15 @@ def _levels(df: DataFrame) -> list[int]:
     return sorted(r["_level"] for r in df.where("_level is not null").select("_level").distinct().collect())
 
 
-def _binned(df: DataFrame, side: str, own: list[int], others: list[int], salts: int) -> DataFrame:
-    """A row for each bin and role in which it meets rows of the other side.
+def _binned(df: DataFrame, side: str, kept: list[str], own: list[int], others: list[int], salts: int) -> DataFrame:
+    """The kept columns in a row for each bin and role in which it meets rows of the other side, if any there can be of its level.
 
     Two rows meet at the higher of their levels, in bins as wide as the longer one at least, so each is in two bins at
     most. Role 0: both are of that level; 1: the left one is, and the right one is of a lower level; 2: the other way round.
+    _place is level and role in one number, _first whether the bin is that of the row's beginning.
     """
     mine, theirs = (1, 2) if side == "l" else (2, 1)
-    wide = [k for k in others if k > POINT]
-    level = F.col("_level")
+    level, shared = F.col("_level"), sorted(set(own) & set(others))
 
     def whole(x: Column) -> Column:
         return F.when(F.abs(x) < 2.0**53, F.floor(x).cast("double")).otherwise(x)  # larger doubles are whole
@@ -48,16 +48,29 @@ def _binned(df: DataFrame, side: str, own: list[int], others: list[int], salts:
         width = F.pow(F.lit(2.0), k)
         first = F.when(k == POINT, F.col("_low")).otherwise(whole(F.col("_low") / width))
         last = F.when(k == POINT, F.col("_low")).otherwise(whole(F.col("_high") / width))
-        return F.struct(F.lit(role).alias("role"), k.alias("level"), first.alias("first"), F.array_distinct(F.array(first, last)).alias("bins"))
+        return F.struct((k * 3 + role).cast("int").alias("place"), first.alias("first"), last.alias("last"))
 
-    met = [meeting(0, level), *([meeting(mine, level)] if any(k > POINT for k in own) and others and min(others) < max(own) else [])]
-    higher = [F.when(level < k, meeting(theirs, F.lit(k))) for k in wide if own and k > min(own)]
-    out = df.withColumn("_m", F.explode(F.filter(F.array(*met, *higher), lambda x: x.isNotNull())))
-    out = out.withColumn("_bin", F.explode("_m.bins"))
-    alone = (F.col("_m.role") == theirs) if salts > 1 else F.lit(True)
-    spread = F.when(F.col("_m.role") == mine, F.sequence(F.lit(0), F.lit(salts - 1))) if salts > 1 else F.lit(None)
-    salt = F.explode(F.coalesce(spread, F.array(F.when(alone & (F.col("_m.role") > 0), F.pmod(F.xxhash64("_low", "_high", "_id"), F.lit(salts)).cast("int")).otherwise(F.lit(0))))) if salts > 1 else F.lit(0)
-    return out.select("*", F.col("_m.role").alias("_role"), F.col("_m.level").alias("_at"), F.col("_m.first").alias("_first"), salt.alias("_salt")).drop("_m", "_low", "_high", "_level")
+    def of_some(levels: list[int], entry: Column) -> list[Column]:
+        return [] if not levels else [entry] if len(levels) == len(own) else [F.when(level.isin(levels), entry)]
+
+    entries = of_some(shared, meeting(0, level)) + of_some([k for k in own if others and POINT < k > min(others)], meeting(mine, level))
+    for k in others:
+        entries += of_some([x for x in own if x < k], meeting(theirs, F.lit(k)))
+    if not entries:
+        entries = [meeting(0, level)]  # meets nothing
+    out = df.withColumn("_m", entries[0] if len(entries) == 1 else F.explode(F.array(*entries))).where("_m IS NOT NULL")
+    out = out.withColumn("_bin", F.explode(F.array_distinct(F.array("_m.first", "_m.last"))) if own[-1:] > [POINT] else F.col("_m.first"))
+    salt = F.lit(0)
+    if salts > 1:
+        role = F.pmod(F.col("_m.place"), F.lit(3))
+        alone = F.pmod(F.xxhash64("_low", "_high", "_id"), F.lit(salts)).cast("int")
+        salt = F.explode(F.when(role == mine, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.when(role == theirs, alone).otherwise(F.lit(0)))))
+    first = F.col("_bin") == F.col("_m.first") if own[-1:] > [POINT] else F.lit(True)
+    return out.select(*kept, *[c.alias(f"{side}{n}") for n, c in (("_place", F.col("_m.place")), ("_bin", F.col("_bin")), ("_first", first), ("_salt", salt))])
+
+
+#: Pairs a row of the two sides of a key below which all its pairs are compared, as that costs less than bins.
+CHEAP = 64
 
 
 def join_overlap(
@@ -73,46 +86,68 @@ def join_overlap(
     bins of the higher level of the two, and every pair in one bin only, that of the later beginning, so nothing is
     compared twice and long spans aren't cut into many pieces; the columns themselves decide at last. A
     bin with many rows of lower levels can be dealt out under salts, which copies the few long spans instead.
+    Keys are counted first: those of few rows (CHEAP) are joined as they are, without bins.
     """
     if how not in ("inner", "left", "semi", "anti"):
         raise ValueError(f"unknown join {how!r}")
     by = [by] if isinstance(by, str) else list(by)
 
-    def spans(df: DataFrame, span: tuple[str, str], name: str) -> DataFrame:
-        low, high = (F.col(quoted(c)) for c in span)
+    def spans(df: DataFrame, span: tuple[str, str], side: str) -> tuple[DataFrame, dict[str, str]]:
+        place = {c: f"{side}{i}" for i, c in enumerate(df.columns)}
+        low, high = (F.col(place[c]) for c in span)
         kinds = [df.schema[c].dataType for c in span]
-        row = F.struct(*[F.col(quoted(c)) for c in df.columns])
-        out = df.select(row.alias("_row"), *[F.col(quoted(c)).alias(f"_b{i}") for i, c in enumerate(by)], low.alias("_from"), high.alias("_to"), _place(low, kinds[0]).alias("_low"), _place(high, kinds[1]).alias("_high"), F.monotonically_increasing_id().alias("_id"))
-        if how != "inner" and name == "l":
+        out = df.select(*[F.col(quoted(c)).alias(n) for c, n in place.items()], F.monotonically_increasing_id().alias("_id"))
+        if how != "inner" and side == "l":
             out = materialize(out, "spans")  # its ids are joined once more
+        out = out.withColumns({"_low": _place(low, kinds[0]), "_high": _place(high, kinds[1])})
         size = F.col("_high") - F.col("_low")
-        sound = (F.col("_from") <= F.col("_to")) & ~F.isnan("_low") & ~F.isnan("_high")
-        for i in range(len(by)):
-            sound = sound & F.col(f"_b{i}").isNotNull()
+        sound = (low <= high) & ~F.isnan("_low") & ~F.isnan("_high")
+        for c in by:
+            sound = sound & F.col(place[c]).isNotNull()
         power = F.ceil(F.log2(size)).cast("int")
         power = power + (F.pow(F.lit(2.0), power) < size).cast("int")  # a logarithm may be rounded down
-        return out.withColumn("_level", F.when(sound, F.when(size > 0, power).otherwise(F.lit(POINT))))
-
-    a, b = spans(left, left_span, "l"), spans(right, right_span, "r")
-    one, two = _levels(a), _levels(b)
-    keys = [f"_b{i}" for i in range(len(by))]
-    l = _binned(a.where("_level is not null"), "l", one, two, salts)  # noqa: E741
-    r = _binned(b.where("_level is not null"), "r", two, one, salts)
-    l = l.select(*[F.col(c).alias(f"l{c}") for c in l.columns])  # noqa: E741
-    r = r.select(*[F.col(c).alias(f"r{c}") for c in r.columns])
-    same = [F.col(f"l{c}") == F.col(f"r{c}") for c in [*keys, "_role", "_at", "_bin", "_salt"]]
-    touch = [F.col("l_from") <= F.col("r_to"), F.col("r_from") <= F.col("l_to")] if closed else [F.col("l_from") < F.col("r_to"), F.col("r_from") < F.col("l_to")]
-    pairs = l.join(r, [*same, *touch, F.greatest("l_first", "r_first") == F.col("l_bin")])
+        return out.withColumn("_level", F.when(sound, F.when(size > 0, power).otherwise(F.lit(POINT)))), place
+
+    (a, ours), (b, theirs) = spans(left, left_span, "l"), spans(right, right_span, "r")
+    l, r = a.where("_level IS NOT NULL"), b.where("_level IS NOT NULL")  # noqa: E741
+    (l_from, l_to), (r_from, r_to) = [ours[c] for c in left_span], [theirs[c] for c in right_span]
+    keys = [F.col(ours[c]) == F.col(theirs[c]) for c in by]
+    touch = [F.col(l_from) <= F.col(r_to), F.col(r_from) <= F.col(l_to)] if closed else [F.col(l_from) < F.col(r_to), F.col(r_from) < F.col(l_to)]
+    kept = [*ours.values(), "l_id"] if how != "inner" else list(ours.values())
+
+    def plain(l: DataFrame, r: DataFrame) -> DataFrame:  # noqa: E741
+        return l.withColumn("l_id", F.col("_id")).select(*kept).join(r.select(*theirs.values()), [*keys, *touch])
+
+    def by_bins(l: DataFrame, r: DataFrame) -> DataFrame:  # noqa: E741
+        one, two = _levels(l), _levels(r)
+        l = _binned(l.withColumn("l_id", F.col("_id")), "l", kept, one, two, salts)  # noqa: E741
+        r = _binned(r, "r", list(theirs.values()), two, one, salts)
+        same = [F.col(f"l{c}") == F.col(f"r{c}") for c in ("_place", "_bin", "_salt")]
+        return l.join(r, [*keys, *same, *touch, F.col("l_first") | F.col("r_first")])
+
+    if by:
+        names = [f"_b{i}" for i in range(len(by))]
+
+        def counted(df: DataFrame, place: dict[str, str], name: str) -> DataFrame:
+            return df.groupBy(*[F.col(place[c]).alias(n) for c, n in zip(by, names, strict=True)]).agg(F.count(F.lit(1)).cast("double").alias(name))
+
+        many = counted(l, ours, "_n").join(counted(r, theirs, "_m"), names).where((F.col("_n") * F.col("_m")) > CHEAP * (F.col("_n") + F.col("_m")))
+        many = materialize(many.select(*names), "keys")
+    if by and many.isEmpty():
+        pairs = plain(l, r)
+    elif by:
+        few, dense = ([d.join(many, [F.col(place[c]) == F.col(n) for c, n in zip(by, names, strict=True)], kind) for d, place in ((l, ours), (r, theirs))] for kind in ("left_anti", "left_semi"))
+        pairs = plain(*few).select(*kept, *theirs.values()).unionByName(by_bins(*dense).select(*kept, *theirs.values()))
+    else:
+        pairs = by_bins(l, r)
     clash = set(left.columns)
-    own = [F.col(f"l_row.{quoted(c)}").alias(c) for c in left.columns]
-    other = [(c + suffix if c in clash else c, F.col(f"r_row.{quoted(c)}")) for c in right.columns]
+    own = [F.col(n).alias(c) for c, n in ours.items()]
+    other = [F.col(n).alias(c + suffix if c in clash else c) for c, n in theirs.items()]
     if how == "inner":
-        return pairs.select(*own, *[c.alias(n) for n, c in other])
+        return pairs.select(*own, *other)
     if how in ("semi", "anti"):
-        found = pairs.select(F.col("l_id").alias("_id")).distinct()
-        return a.join(found, "_id", f"left_{how}").select("_row.*")
-    rest = a.join(pairs.select(F.col("l_id").alias("_id"), F.col("r_row").alias("_other")), "_id", "left")
-    return rest.select(*[F.col(f"_row.{quoted(c)}").alias(c) for c in left.columns], *[F.col(f"_other.{quoted(c)}").alias(n) for (n, _), c in zip(other, right.columns, strict=True)])
+        return a.join(pairs.select(F.col("l_id").alias("_id")).distinct(), "_id", f"left_{how}").select(*own)
+    return a.join(pairs.select(F.col("l_id").alias("_id"), *theirs.values()), "_id", "left").select(*own, *other)
 
 
 def join_band(left: DataFrame, right: DataFrame, left_on: str, right_on: str, below: Column | float, above: Column | float, by: list[str] | str = (), how: str = "inner", suffix: str = "_right", salts: int = 1) -> DataFrame:

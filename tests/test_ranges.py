@@ -43,6 +43,18 @@ def test_overlaps_equal_all_pairs(spark, closed, by):
     assert ranges.join_overlap(a.limit(0), b, ("a", "b"), ("c", "d"), by).count() == 0
 
 
+def test_rows_meet_only_in_levels_of_the_other_side(spark):
+    """Points against bands of one length: a row for each point, two at most for each band; none that can meet nothing."""
+    a, b = spark.range(100).select((F.col("id") / 7).alias("x")), spark.range(50).select((F.col("id") / 3).alias("y"))
+    made, kept = [], ranges._binned
+    ranges._binned = lambda *given: made.append(kept(*given)) or made[-1]
+    try:
+        assert ranges.join_band(a, b, "x", "y", 0.2, 0.2).count() == sum(abs(i / 7 - k / 3) <= 0.2 for i in range(100) for k in range(50))
+    finally:
+        ranges._binned = kept
+    assert made[0].count() == 100 and made[1].count() <= 100 and "x" not in " ".join(made[1].columns)
+
+
 def test_overlaps_of_whole_numbers(spark):
     rng = random.Random(3)
     one, two = ([(i, a := rng.randrange(-60, 60), a + rng.choice([0, 1, 2, 3, 4, 7, 8, 16, 31])) for i in range(120)] for _ in range(2))

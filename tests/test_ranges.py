@@ -55,6 +55,23 @@ def test_rows_meet_only_in_levels_of_the_other_side(spark):
     assert made[0].count() == 100 and made[1].count() <= 100 and "x" not in " ".join(made[1].columns)
 
 
+@pytest.mark.parametrize("how", ["inner", "left", "semi", "anti"])
+def test_overlaps_of_few_and_of_many_rows_a_key(spark, monkeypatch, how):
+    """Small keys are joined without bins, large ones by bins, both at once or all of them: the same pairs."""
+    rng = random.Random(5)
+    rows_ = [[(i, a := rng.randrange(500), a + rng.choice([0, 1, 5, 40]), 0 if i % 3 else i % 20) for i in range(150)] for _ in range(2)]
+    a, b = (spark.createDataFrame(r, f"id int, {x} int, {y} int, g int") for r, x, y in zip(rows_, "ac", "bd", strict=True))
+    asked, kept = [], ranges._levels
+    monkeypatch.setattr(ranges, "_levels", lambda df: asked.append(df) or kept(df))
+    got = []
+    for cheap, scans in ((1000, 0), (10, 2), (0, 2)):
+        monkeypatch.setattr(ranges, "CHEAP", cheap)
+        asked.clear()
+        got.append(sorted(map(tuple, ranges.join_overlap(a, b, ("a", "b"), ("c", "d"), "g", how=how).collect()), key=str))
+        assert len(asked) == scans
+    plain = a.join(b.toDF("i", "c", "d", "h"), F.expr("g = h AND a <= d AND c <= b"), how)
+    assert got[0] == got[1] == got[2] == sorted(map(tuple, plain.collect()), key=str)
+
 def test_overlaps_of_whole_numbers(spark):
     rng = random.Random(3)
     one, two = ([(i, a := rng.randrange(-60, 60), a + rng.choice([0, 1, 2, 3, 4, 7, 8, 16, 31])) for i in range(120)] for _ in range(2))

@@ -11,6 +11,8 @@ sums lose no digits. The cost doesn't depend on how many rows a window has.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +23,9 @@ _MERGE = {"sum": F.sum, "min": F.min, "max": F.max}
 #: Rows of the stream, in this order at one moment: a window begins, the rows there, a window ends; and rows without a moment.
 _BEGIN, _ROWS, _END, _NONE = range(4)
 
+#: Rows of the stream in a part, about, whatever the size of the input.
+PART = 250_000
+
 Aggregate = tuple[str, str | Column | None]
 
 
@@ -71,7 +76,8 @@ def rolling_scan(df: DataFrame, moment: Column, low: int, high: int, aggs: dict[
     known = F.array(entry(t + low, _BEGIN), entry(t, _ROWS), F.when(first != last, entry(t + high, _END)))
     entries = F.when(t.isNull(), F.array(entry(t, _NONE))).otherwise(F.array_compact(known))
     stream = moments.withColumn("_e", F.explode(entries)).select(*keys, "_t", "_e.*", *[F.when(F.col("_e._kind").isin(_ROWS, _NONE), F.col(p)).alias(p) for p in pieces])
-    placed = stream.repartitionByRange(*keys, "_b", "_at", "_kind", "_t")
+    most = math.ceil(3 * df.count() / PART)  # three entries a moment at most, and no more moments than rows
+    placed = stream.repartitionByRange(*([most] if most > 1 else []), *keys, "_b", "_at", "_kind", "_t")
     placed = materialize(placed.withColumn("_part", F.spark_partition_id()), "rolling")
 
     def merged(window, suffix: str) -> dict[str, Column]:

@@ -296,6 +296,18 @@ def test_windows_without_keys_are_scanned(spark):
     assert "RangeFrame" not in out._jdf.queryExecution().toString() and out.count() == spark.read.parquet(f"{SF}/events.parquet").count()
 
 
+def test_parts_of_a_scan_do_not_grow(spark, monkeypatch):
+    """Left to Spark, small parts are put together by their bytes, and a task's memory grows with the input."""
+    monkeypatch.setattr(scans, "PART", 500)
+    df = spark.range(4000).select((F.col("id") * 3).alias("t"), (F.col("id") % 10).alias("v"))
+    stages, kept = [], scans.materialize
+    monkeypatch.setattr(scans, "materialize", lambda frame, name: stages.append(kept(frame, name)) or stages[-1])
+    got = {r.t: (r.n, r.s) for r in windows.rolling(df, "t", 3000, {"n": ("count", None), "s": ("sum", "v")}).collect()}
+    assert got == {3 * i: (min(i + 1, 1000), sum(k % 10 for k in range(max(0, i - 999), i + 1))) for i in range(4000)}
+    sizes = [r["count"] for r in stages[0].groupBy("_part").count().collect()]
+    assert len(sizes) >= 16 and max(sizes) <= 1000
+
+
 def test_pivot_refuses_too_many_columns(spark):
     with pytest.raises(ValueError):
         reshape.pivot(spark.range(5).withColumn("x", F.lit(1)), "id", "x", "x", most_columns=4)

@@ -23,10 +23,13 @@ from pyspark.sql import types as T
 
 from millrace.operators.ranges import join_overlap
 from millrace.operators.tables import Audit, single_source, upsert
+from millrace.session import discard, materialize
 from millrace.types import quoted
 
 #: Bits a key has in its file's index, about; a bitmap is of 32,768 bits, and a file has as many bitmaps as it needs.
 BITS_A_KEY, BITMAP = 10, 32_768
+#: A task writes so many files one after the other, or as many as have so many rows.
+FILES_A_TASK, ROWS_A_TASK = 64, 1_000_000
 
 
 class KeyedTable:
@@ -42,8 +45,18 @@ class KeyedTable:
         return self.spark.read.schema("write string, file string, rows long, keyed boolean").parquet(f"{self.base}/versions/v={version}")
 
     def read(self, version: int) -> DataFrame:
-        names = [f"{self.base}/data/{r['write']}/{r['file']}" for r in self.files(version).collect()]
-        return self.spark.read.schema(self.schema).parquet(*names) if names else self.spark.createDataFrame([], self.schema)
+        return self._rows({(r["write"], r["file"]) for r in self.files(version).collect()})
+
+    def _rows(self, names: set[tuple[str, str]]) -> DataFrame:
+        """The rows of files; a folder of which all files are asked for is listed once, not file by file."""
+        folders: dict[str, list[str]] = {}
+        for write, file in sorted(names):
+            folders.setdefault(f"data/{write}/{file.rpartition('/')[0]}", []).append(f"{self.base}/data/{write}/{file}")
+        paths = []
+        for folder, files in folders.items():
+            store, path = self._store(folder)
+            paths += [f"{self.base}/{folder}"] if len(files) > 1 and store.getContentSummary(path).getFileCount() == len(files) else files
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
 
     @property
     def schema(self):
@@ -89,12 +102,16 @@ class KeyedTable:
         return F.pmod(h, bitmaps).cast("int").alias("bitmap"), F.pmod(F.shiftright(h, 20), F.lit(BITMAP)).cast("int").alias("bit")
 
     def _write(self, rows: DataFrame, files: int) -> DataFrame:
-        """Rows as new files in the order of their keys, those without keys apart, and their index. Returns the new files."""
-        write = uuid.uuid4().hex
+        """Rows as new files in the order of their keys, those without keys apart, and their index. Returns the new files.
+
+        A task sorts its range of keys and cuts it into files, so there are as many as the rows need and, at most, one more a task.
+        """
+        write, a_task = uuid.uuid4().hex, max(1, min(FILES_A_TASK, ROWS_A_TASK // self.rows_a_file))
         keyed = self._complete()
         order = [keyed.alias("_keyed"), *[F.col(quoted(k)) for k in self.keys]]
         placed = rows.withColumn("_deal", F.when(keyed, F.lit(0)).otherwise(F.monotonically_increasing_id()))
-        placed = placed.repartitionByRange(max(1, files), *order, "_deal").withColumn("keyed", keyed).drop("_deal")
+        placed = placed.repartitionByRange(max(1, -(-files // a_task)), *order, "_deal").withColumn("keyed", keyed).drop("_deal")
+        placed = placed.sortWithinPartitions(F.col("keyed").cast("string"), *[F.col(quoted(k)) for k in self.keys])
         placed.write.option("maxRecordsPerFile", self.rows_a_file).partitionBy("keyed").parquet(f"{self.base}/data/{write}")
         first = F.col(quoted(self.keys[0]))
         read = self.spark.read.schema(T.StructType([*self.schema, T.StructField("keyed", T.StringType())])).parquet(f"{self.base}/data/{write}")
@@ -137,16 +154,17 @@ class KeyedTable:
 
         Returns the files of the version before and how many of them were rewritten.
         """
-        source = rows.select(*self.keys).distinct() if delete else single_source(rows, self.keys, order_by)
+        source = materialize(rows.select(*self.keys).distinct() if delete else single_source(rows, self.keys, order_by), "source")
         files = self.files(version)
         hit = self.touched(version, source).collect()  # names of files, some for each million rows of the table
         names = {(r["write"], r["file"]) for r in hit}
-        paths = [f"{self.base}/data/{w}/{f}" for w, f in sorted(names)]
-        old = self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
+        old = self._rows(names)
         fresh = old.join(source, self.keys, "left_anti") if delete else upsert(old, source, self.keys, audit=audit)
         gone = self.spark.createDataFrame(sorted(names), "write string, file string")
         kept = files.join(gone, ["write", "file"], "left_anti")
-        if not delete or paths:
-            kept = kept.unionByName(self._write(fresh, max(len(paths), 1)))
+        if not delete or names:
+            added = 0 if delete else -(-source.count() // self.rows_a_file)
+            kept = kept.unionByName(self._write(fresh, len(names) + added))
         self._publish(kept, version + 1)
-        return {"files": files.count(), "rewritten": len(paths)}
+        discard(source)
+        return {"files": files.count(), "rewritten": len(names)}

@@ -121,6 +121,18 @@ def test_merges_rewrite_only_files_with_their_keys(spark):
         table.merge(2, spark.createDataFrame([(1, 1, "a"), (1, 1, "b")], "k int, j int, v string"))
 
 
+def test_a_table_has_as_many_files_as_its_rows_need(spark):
+    """A task writes several files one after the other, without a rest each, and whole folders are read as such."""
+    table = KeyedTable(spark, f"{shared_dir(spark)}/keyed-{uuid.uuid4().hex}", ["k"], 10)
+    table.create(spark.range(0, 4000, 2, 7).select(F.col("id").alias("k"), F.lit("a").alias("v")))
+    files = table.files(0).collect()
+    assert 200 <= len(files) <= 204 and max(r["rows"] for r in files) == 10
+    assert len({tuple(r) for r in table.read(0).select(F.spark_partition_id()).distinct().collect()}) <= 204 and len(table.read(0).inputFiles()) == len(files)
+    told = table.merge(0, spark.range(1, 4001, 2).select(F.col("id").alias("k"), F.lit("b").alias("v")))
+    assert told["files"] == len(files) and table.files(1).count() <= 400 + 7
+    assert table.merge(1, spark.createDataFrame([(5, "c"), (1000, "c")], "k long, v string"))["rewritten"] == 2
+    assert sorted((r.k, r.v) for r in table.read(2).collect()) == [(k, "c" if k in (5, 1000) else "ab"[k % 2]) for k in range(4000)]
+
 def test_keyed_table_of_texts_and_of_nothing(spark):
     table = KeyedTable(spark, f"{shared_dir(spark)}/keyed-{uuid.uuid4().hex}", ["k"], 10)
     rows_ = spark.createDataFrame([(f"k{i:03}", i) for i in range(50)], "k string, v int")

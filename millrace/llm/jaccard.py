@@ -35,7 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.batches import map_texts
@@ -53,6 +53,8 @@ MOST_EXTRA = 8
 BLOCK_MEMBERS, HUBS = 1_000_000, 8
 #: A cluster of so many blocks at most is compared by every block and every two blocks, which moves a set as often at most.
 FEW_BLOCKS = 4
+#: Texts of candidates are found by bitmaps of 32,768 bits, so many bits a candidate, and at most so many bitmaps (16 MB), which every task gets.
+BITMAP, BITS_A_ROW, MOST_BITMAPS = 32_768, 16, 4096
 
 
 def shingle_sets(texts: list[bytes | None], size: int) -> list[np.ndarray]:
@@ -278,14 +280,18 @@ def _components(docs: DataFrame, id_col: str, text_col: str, size: int, percent:
 
     classes = sets.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"), F.coalesce(F.min_by("tx", "doc_id"), F.min("tx")).alias("tx"))
     wanted = materialize(placed.withColumn("hub", hub).drop("sets").join(classes.withColumnRenamed("least", "doc_id"), "cls"), "candidates")
+    bitmaps = min(MOST_BITMAPS, wanted.count() * BITS_A_ROW // BITMAP + 1)
 
     def per_slice(ids: list, texts: list[bytes | None]) -> dict[str, list]:
         found = shingle_sets(texts, size)
         return {"cls": [_class_of(s) for s in found], "members": [_signed(s) for s in found]}
 
     def verified(units: DataFrame) -> DataFrame:
-        """root, a, b: links found in units, rows of cls, asked and prefix by root, i, j and side; whole sets are made anew from the texts."""
-        texts = _rows_of(docs, units.select("doc_id", "tx").distinct(), id_col, text_col, "left_semi")
+        """root, a, b: links found in units, rows of cls, asked and prefix by root, i, j and side; whole sets are made anew from the texts.
+
+        Only sets are shuffled, not texts; those of the few other texts that pass the bitmaps meet no unit, or that of an equal set.
+        """
+        texts = _may_hold(docs, units.select("doc_id", "tx"), id_col, text_col, bitmaps)
         full = map_texts(texts, id_col, text_col, "cls long, members array<long>", per_slice).dropDuplicates(["cls"])
         rows = units.join(full, "cls").select("root", "i", "j", "cls", "asked", "side", "prefix", "members")
         return rows.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(_verify(percent), "root long, a long, b long")
@@ -309,6 +315,22 @@ def _components(docs: DataFrame, id_col: str, text_col: str, size: int, percent:
     return rows.select("doc_id", "tx", F.col("n").cast("long").alias("n_shingles"), F.coalesce(F.when(F.col("n") > 0, F.col("component")), "doc_id").alias("component_id"))
 
 
+def _may_hold(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str, bitmaps: int) -> DataFrame:
+    """The rows of docs with the id and the text hash of a row of keys, and a few others: both bits of theirs in a bitmap are set. No row is moved."""
+
+    def place(row: Column) -> list[Column]:
+        return [F.pmod(row, F.lit(bitmaps)).cast("int").alias("_bitmap"), *(F.pmod(F.shiftright(row, k), F.lit(BITMAP)).cast("int").alias(f"_bit{k}") for k in (16, 40))]
+
+    set_bits = keys.select(*place(F.xxhash64("doc_id", "tx"))).select("_bitmap", F.explode(F.array("_bit16", "_bit40")).alias("_bit"))
+    maps = set_bits.groupBy("_bitmap").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    own = docs.select(F.col(quoted(id_col)), F.col(quoted(text_col)), *place(F.xxhash64(F.col(quoted(id_col)).cast("long"), F.xxhash64(F.col(quoted(text_col))))))
+    both = F.lit(True)
+    for bit in (F.col("_bit16"), F.col("_bit40")):
+        octet = F.conv(F.hex(F.substring("_bits", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        both = both & (F.call_function("getbit", octet, bit % 8) == 1)
+    return own.join(F.broadcast(maps), "_bitmap").where(both).select(F.col(quoted(id_col)), F.col(quoted(text_col)))
+
+
 def _rows_of(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str, how: str) -> DataFrame:
     """The rows of docs with (left_semi) or without (left_anti) the id and the text hash of a row of keys."""
     same = docs[quoted(id_col)].eqNullSafe(keys["doc_id"]) & (F.xxhash64(docs[quoted(text_col)]) == keys["tx"])

@@ -528,3 +528,20 @@ def test_deep_pages_through_the_operator(spark):
     rows = [(k, f"http://deep.example/{k}", "<div>" * 3000 + f"<p>words {k}</p>") for k in range(10)]
     out = wrapper.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), least_pages=2)
     assert {r.page_id: r.text for r in out.collect()} == {k: f"words {k}" for k in range(10)}
+
+
+@pytest.mark.parametrize("bitmaps", [1, 3])
+def test_texts_of_candidates_are_found_without_moving_texts(spark, bitmaps):
+    rows = [(k, f"text {k}") for k in range(4000)] + [(None, "no id"), (9, "another of this id"), (10, None)]
+    docs = frame(spark, rows).repartition(3)
+    keys = docs.where("doc_id % 40 = 0 or doc_id is null or text = 'another of this id'").selectExpr("doc_id", "xxhash64(text) AS tx")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = jaccard._may_hold(docs, keys, "doc_id", "text", bitmaps)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        got = [tuple(r) for r in found.collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" not in plan
+    assert {(k, t) for k, t in rows if k is None or k % 40 == 0 or t == "another of this id"} <= set(got) and len(got) < 200

@@ -30,6 +30,8 @@ from millrace.types import quoted
 BITS_A_KEY, BITMAP = 10, 32_768
 #: A task writes so many files one after the other, or as many as have so many rows.
 FILES_A_TASK, ROWS_A_TASK = 64, 1_000_000
+#: The spans of so many files at most, some 100 bytes each, go to every task.
+FEW_FILES = 100_000
 
 
 class KeyedTable:
@@ -111,7 +113,7 @@ class KeyedTable:
         order = [keyed.alias("_keyed"), *[F.col(quoted(k)) for k in self.keys]]
         placed = rows.withColumn("_deal", F.when(keyed, F.lit(0)).otherwise(F.monotonically_increasing_id()))
         placed = placed.repartitionByRange(max(1, -(-files // a_task)), *order, "_deal").withColumn("keyed", keyed).drop("_deal")
-        placed = placed.sortWithinPartitions(F.col("keyed").cast("string"), *[F.col(quoted(k)) for k in self.keys])
+        placed = placed.sortWithinPartitions("keyed", *[F.col(quoted(k)) for k in self.keys])  # begins with the folder, else the writer puts a sort by it alone in its place
         placed.write.option("maxRecordsPerFile", self.rows_a_file).partitionBy("keyed").parquet(f"{self.base}/data/{write}")
         first = F.col(quoted(self.keys[0]))
         read = self.spark.read.schema(T.StructType([*self.schema, T.StructField("keyed", T.StringType())])).parquet(f"{self.base}/data/{write}")
@@ -134,18 +136,20 @@ class KeyedTable:
     def touched(self, version: int, keys: DataFrame) -> DataFrame:
         """write and file of the files that may hold one of these keys."""
         files = self.files(version).where("keyed")
-        writes = [r["write"] for r in files.select("write").distinct().collect()]
+        writes = {r["write"]: r["count"] for r in files.groupBy("write").count().collect()}
         if not writes:
             return files.select("write", "file")
         index = self.spark.read.parquet(*[f"{self.base}/index/{w}" for w in writes]).join(files.select("write", "file"), ["write", "file"])
-        asked = keys.where(self._complete()).select(F.col(quoted(self.keys[0])).alias("k"), self._hash(self.keys).alias("h")).distinct()
+        asked = keys.where(self._complete()).select(F.col(quoted(self.keys[0])).alias("k"), self._hash(self.keys).alias("h"))
         spans = index.select("write", "file", "low", "high", "bitmaps")
+        if sum(writes.values()) <= FEW_FILES:
+            spans = F.broadcast(spans)  # else Spark may send the keys to the one task that reads the index
         if spans.schema["low"].dataType.simpleString() in ("string", "binary", "boolean"):
             near = asked.join(spans, (F.col("k") >= F.col("low")) & (F.col("k") <= F.col("high")))
         else:
             near = join_overlap(asked, spans, ("k", "k"), ("low", "high"))
-        near = near.select("write", "file", *self._bit(F.col("h"), F.col("bitmaps"))).distinct()
-        maps = index.select("write", "file", F.explode("maps").alias("m")).select("write", "file", "m.bitmap", "m.bits")
+        near = near.select("write", "file", *self._bit(F.col("h"), F.col("bitmaps")))
+        maps = index.select("write", "file", F.explode("maps").alias("m")).select("write", "file", "m.bitmap", "m.bits").hint("merge")
         octet = F.conv(F.hex(F.substring("bits", F.expr("bit div 8 + 1"), F.lit(1))), 16, 10).cast("int")
         return near.join(maps, ["write", "file", "bitmap"]).where(F.expr("1").cast("int").bitwiseAND(F.call_function("shiftright", octet, F.col("bit") % 8)) == 1).select("write", "file").distinct()
 

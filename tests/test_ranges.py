@@ -171,3 +171,12 @@ def test_slices_and_windows_without_a_single_partition(spark, monkeypatch):
         out = windows.group_by_dynamic(times, "t", "1h", {"n": F.count(F.lit(1))}, start_by="datapoint", by=by)
         assert sum(r.n for r in out.collect()) == 500 and {r.n for r in out.collect()} <= {1, 2, 3, 4, 6}
         assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_files_of_a_keyed_table_follow_the_keys(spark):
+    table = KeyedTable(spark, f"{shared_dir(spark)}/keyed-{uuid.uuid4().hex}", ["k"], 100)
+    table.create(spark.range(20000).selectExpr("pmod(id * 7919, 20000) AS k", "id AS v").repartition(5))
+    index = spark.read.parquet(*[f"{table.base}/index/{r['write']}" for r in table.files(0).select("write").distinct().collect()])
+    assert index.agg({"rows": "sum"}).first()[0] == 20000 and index.where("high - low + 1 <> rows").isEmpty()
+    asked = spark.range(1, 2).selectExpr("id * 500 AS k")
+    assert len(table.touched(0, asked.union(asked)).collect()) == 1

@@ -39,6 +39,12 @@ def process(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpo
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
 
 
+def _dealt(batch: DataFrame, key: str) -> DataFrame:
+    """A batch read once and dealt over tasks by its ids, those without one by number: a file may be one task's to read, and all later steps would be too."""
+    deal = F.when(F.col(quoted(key)).isNull(), F.monotonically_increasing_id()).otherwise(F.xxhash64(F.col(quoted(key))))
+    return materialize(batch.withColumn("_deal", deal).repartition("_deal").drop("_deal"), "batch")
+
+
 def apply_once(
     stream: DataFrame, table: KeyedTable, make: Callable[[DataFrame, DataFrame], DataFrame], key: str, checkpoint: str, ledger: str,
     order_by: list[str] | str | None = None, once: bool = False, every: str = "2 minutes",
@@ -60,9 +66,10 @@ def apply_once(
     def run(batch: DataFrame, number: int) -> None:
         spark, own = batch.sparkSession, f"{name}-{number:09d}"
         path = spark._jvm.org.apache.hadoop.fs.Path(f"{ledger}/batch={own}/_SUCCESS")
-        kind = batch.schema[key].dataType.simpleString()
+        kind, held = batch.schema[key].dataType.simpleString(), None
         if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-            ids = batch.select(F.col(quoted(key)).alias("id"), F.lit(None).cast("long").alias("version")).where("id IS NOT NULL").distinct()
+            held = _dealt(batch, key)
+            ids = held.select(F.col(quoted(key)).alias("id"), F.lit(None).cast("long").alias("version")).where("id IS NOT NULL").distinct()
             target = spark.range(1).select(F.lit(None).cast(kind).alias("id"), F.lit(table.latest() + 1).cast("long").alias("version"))
             ids.unionByName(target).write.mode("overwrite").parquet(f"{ledger}/batch={own}")
         entry = spark.read.schema(f"id {kind}, version long").parquet(f"{ledger}/batch={own}")
@@ -72,10 +79,11 @@ def apply_once(
         table.withdraw(version)
         entries = spark.read.schema(f"id {kind}, version long, batch string").parquet(ledger)
         seen = entries.where((F.col("batch") != own) & F.col("id").between(low, high)).select("id").distinct()
-        fresh = materialize(batch.join(seen, batch[quoted(key)] == seen["id"], "left_anti"), "messages")
+        held = _dealt(batch, key) if held is None else held
+        fresh = materialize(held.join(seen, held[quoted(key)] == seen["id"], "left_anti"), "messages")
         made = materialize(make(fresh, table.read(version - 1)), "applied")
         table.merge(version - 1, made, order_by)
-        discard(fresh, made)
+        discard(held, fresh, made)
 
     writer = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()

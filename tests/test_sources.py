@@ -375,3 +375,15 @@ def test_messages_are_applied_once(spark, tmp_path, when):
     spark.createDataFrame([(2, "b", 5), (3, "b", 2)], "id long, k string, v long").coalesce(1).write.parquet(str(tmp_path / "in" / "x2"))
     run("x2", "s2")
     assert {tuple(r) for r in table.read(table.latest()).collect()} == {("a", 111), ("b", 7), (None, 7)}
+
+
+def test_batch_of_one_file_is_dealt_over_tasks(spark, tmp_path):
+    spark.range(3000).selectExpr("IF(id % 3 = 0, NULL, id) AS id", "id AS v").coalesce(1).write.parquet(str(tmp_path / "one"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        dealt = inbound._dealt(spark.read.parquet(str(tmp_path / "one")), "id")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted(r.v for r in dealt.collect()) == list(range(3000)) and dealt.columns == ["id", "v"]
+    assert dealt.select(F.input_file_name().alias("f")).distinct().count() == 4
+    assert dealt.where("id IS NULL").select(F.input_file_name().alias("f")).distinct().count() == 4

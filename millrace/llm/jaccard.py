@@ -35,7 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.batches import map_texts
@@ -55,6 +55,8 @@ BLOCK_MEMBERS, HUBS = 1_000_000, 8
 FEW_BLOCKS = 4
 #: Texts of candidates are found by bitmaps of 32,768 bits, so many bits a candidate, and at most so many bitmaps (16 MB), which every task gets.
 BITMAP, BITS_A_ROW, MOST_BITMAPS = 32_768, 16, 4096
+#: Rows to drop are found likewise, with twice the bits; of the others so many at most may pass the bitmaps, else rows and keys are joined.
+MOST_SPARED = 500_000
 
 
 def shingle_sets(texts: list[bytes | None], size: int) -> list[np.ndarray]:
@@ -109,11 +111,12 @@ def describe(docs: DataFrame, id_col: str, text_col: str, size: int, percent: in
 def prefixes(sets: DataFrame, percent: int) -> DataFrame:
     """cls, n, asked (shared members asked for), prefix and base (how many of its members are enough to ask for one) of every class that may have a partner."""
     useful = sets.where(f"100 * n >= {percent} * (n + 1)")  # smaller sets don't reach the threshold with a superset of one more member either
-    members = useful.select("cls", "n", F.size("low").alias("c"), F.explode("low").alias("h"), F.lit(0).alias("kind")).union(
-        useful.where("size(extra) > 0").select("cls", "n", F.size("low"), F.explode("extra"), F.lit(1))
-    )
-    shared = members.groupBy("h").agg(F.count(F.lit(1)).alias("df"), F.min("cls").alias("a"), F.max("cls").alias("b")).where("a <> b").select("h", "df")
-    own = members.join(shared, "h").groupBy("cls").agg(F.max("n").alias("n"), F.max("c").alias("c"), F.collect_set(F.struct("kind", "df", "h")).alias("m"))
+    members = useful.select("cls", F.explode(F.concat("low", "extra")).alias("h"))  # moved once: counted and kept where they meet
+    by_hash = Window.partitionBy("h")
+    met = members.withColumns({"df": F.count(F.lit(1)).over(by_hash), "a": F.min("cls").over(by_hash), "b": F.max("cls").over(by_hash)}).where("a <> b")
+    kind = F.when(F.col("h").bitwiseXOR(F.lit(-(2**63))) < int(COUNTED * 2**64) - 2**63, 0).otherwise(1)  # the hash without its sign is below the bound
+    sizes = useful.groupBy("cls").agg(F.max("n").alias("n"), F.max(F.size("low")).alias("c"))
+    own = met.groupBy("cls").agg(F.collect_set(F.struct(kind.alias("kind"), "df", "h")).alias("m")).join(sizes, "cls")
     alone = F.col("c") - F.size(F.filter("m", lambda x: x["kind"] == 0))
     base = (F.col("n") - F.floor((percent * F.col("n") + 99) / 100) + 1 - alone).cast("int")
     cost = F.aggregate(F.slice("m", 1, F.greatest(F.col("base"), F.lit(1))), F.lit(0).cast("long"), lambda a, x: a + x["df"])
@@ -315,20 +318,43 @@ def _components(docs: DataFrame, id_col: str, text_col: str, size: int, percent:
     return rows.select("doc_id", "tx", F.col("n").cast("long").alias("n_shingles"), F.coalesce(F.when(F.col("n") > 0, F.col("component")), "doc_id").alias("component_id"))
 
 
+def _key(docs: DataFrame, id_col: str, text_col: str) -> tuple[Column, Column]:
+    """The id and the text hash of a row of docs."""
+    return docs[quoted(id_col)].cast("long"), F.xxhash64(docs[quoted(text_col)])
+
+
+def _bitmaps(keys: DataFrame, bitmaps: int) -> DataFrame:
+    """_bitmap, _bits: two bits are set for every row of keys (doc_id, tx)."""
+    row = F.xxhash64("doc_id", "tx")
+    set_bits = keys.select(_place(row, bitmaps).alias("_bitmap"), F.explode(F.array(_bit(row, 16), _bit(row, 40))).alias("_bit"))
+    return set_bits.groupBy("_bitmap").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+
+
+def _place(row: Column, bitmaps: int) -> Column:
+    return F.pmod(row, F.lit(bitmaps)).cast("int")
+
+
+def _bit(row: Column, shift: int) -> Column:
+    return F.pmod(F.shiftright(row, shift), F.lit(BITMAP))
+
+
+def _in_bitmaps(maps: DataFrame, row: Column, bitmaps: int) -> Column:
+    """Whether both bits of a row's hash are set, to join with the broadcast maps."""
+    both = _place(row, bitmaps) == maps["_bitmap"]
+    for bit in (_bit(row, 16), _bit(row, 40)):
+        octet = F.conv(F.hex(F.substring(maps["_bits"], F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        both = both & (F.call_function("getbit", octet, (bit % 8).cast("int")) == 1)
+    return both
+
+
 def _may_hold(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str, bitmaps: int) -> DataFrame:
-    """The rows of docs with the id and the text hash of a row of keys, and a few others: both bits of theirs in a bitmap are set. No row is moved."""
+    """The id and text of the rows of docs with the id and the text hash of a row of keys, and of a few others: both bits of theirs in a bitmap are set. No row is moved."""
+    return _passing(docs, keys, id_col, text_col, bitmaps).select(F.col(quoted(id_col)), F.col(quoted(text_col)))
 
-    def place(row: Column) -> list[Column]:
-        return [F.pmod(row, F.lit(bitmaps)).cast("int").alias("_bitmap"), *(F.pmod(F.shiftright(row, k), F.lit(BITMAP)).cast("int").alias(f"_bit{k}") for k in (16, 40))]
 
-    set_bits = keys.select(*place(F.xxhash64("doc_id", "tx"))).select("_bitmap", F.explode(F.array("_bit16", "_bit40")).alias("_bit"))
-    maps = set_bits.groupBy("_bitmap").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
-    own = docs.select(F.col(quoted(id_col)), F.col(quoted(text_col)), *place(F.xxhash64(F.col(quoted(id_col)).cast("long"), F.xxhash64(F.col(quoted(text_col))))))
-    both = F.lit(True)
-    for bit in (F.col("_bit16"), F.col("_bit40")):
-        octet = F.conv(F.hex(F.substring("_bits", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-        both = both & (F.call_function("getbit", octet, bit % 8) == 1)
-    return own.join(F.broadcast(maps), "_bitmap").where(both).select(F.col(quoted(id_col)), F.col(quoted(text_col)))
+def _passing(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str, bitmaps: int) -> DataFrame:
+    maps = _bitmaps(keys, bitmaps)
+    return docs.join(F.broadcast(maps), _in_bitmaps(maps, F.xxhash64(*_key(docs, id_col, text_col)), bitmaps), "left_semi")
 
 
 def _rows_of(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str, how: str) -> DataFrame:
@@ -337,19 +363,40 @@ def _rows_of(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str, how:
     return docs.join(keys, same, how)
 
 
+def _without(docs: DataFrame, keys: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of docs without the id and the text hash of a row of keys; rows: doc_id and tx of all rows of docs.
+
+    Both tables are narrow, so the rows that pass the bitmaps of the keys without being keys are known beforehand. They
+    go to every task beside the bitmaps, and docs are read once and not moved.
+    """
+    bitmaps = min(MOST_BITMAPS, keys.count() * 2 * BITS_A_ROW // BITMAP + 1)
+    maps = materialize(_bitmaps(keys, bitmaps), "bitmaps")
+    own = rows.select("doc_id", F.coalesce("tx", F.xxhash64(F.lit(None).cast("string"))).alias("tx"))
+    passing = own.join(F.broadcast(maps), _in_bitmaps(maps, F.xxhash64(own["doc_id"], own["tx"]), bitmaps), "left_semi").distinct()
+    spared = materialize(passing.join(keys, passing["doc_id"].eqNullSafe(keys["doc_id"]) & (passing["tx"] == keys["tx"]), "left_anti"), "spared")
+    if spared.count() > MOST_SPARED:
+        return _rows_of(docs, keys, id_col, text_col, "left_anti")
+    key, tx = _key(docs, id_col, text_col)
+    found = docs.join(F.broadcast(maps), _in_bitmaps(maps, F.xxhash64(key, tx), bitmaps), "left")
+    found = found.join(F.broadcast(spared), key.eqNullSafe(spared["doc_id"]) & (tx == spared["tx"]), "left")
+    return found.where(maps["_bitmap"].isNull() | spared["tx"].isNotNull()).select(*(docs[quoted(c)] for c in docs.columns))
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, block_members: int = BLOCK_MEMBERS) -> DataFrame:
     """docs with one row of each group of linked ones, of the smallest id and, where that repeats, the smallest hash of the text.
 
     Rows without words are linked with nothing and stay, as do groups of which all ids are null.
     """
-    found = materialize(_components(docs, id_col, text_col, size, percent, block_members).where("n_shingles > 0 and component_id is not null"), "near")
+    rows = materialize(_components(docs, id_col, text_col, size, percent, block_members), "near")
+    found = rows.where("n_shingles > 0 and component_id is not null")
     first = found.where("doc_id = component_id")
     several = first.groupBy("component_id").agg(F.count(F.lit(1)).alias("rows"), F.min("tx").alias("tx")).where("rows > 1")
+    again = materialize(several.select(F.col("component_id").alias("doc_id"), "tx"), "several")
     gone = found.where("doc_id is null or doc_id <> component_id").select("doc_id", "tx")
-    if several.isEmpty():
-        return _rows_of(docs, materialize(gone.distinct(), "gone"), id_col, text_col, "left_anti")
-    several = materialize(several.select(F.col("component_id").alias("doc_id"), F.col("tx").alias("kept")), "several")
-    gone = gone.union(first.join(several, "doc_id").where("tx <> kept").select("doc_id", "tx"))
-    left = _rows_of(docs, materialize(gone.distinct(), "gone"), id_col, text_col, "left_anti")
-    again = several.select("doc_id", F.col("kept").alias("tx"))
-    return _rows_of(left, again, id_col, text_col, "left_anti").unionByName(_rows_of(left, again, id_col, text_col, "left_semi").dropDuplicates([id_col]))
+    repeats = again.count()
+    if not repeats:
+        return _without(docs, materialize(gone.distinct(), "gone"), rows, id_col, text_col)
+    gone = gone.union(first.join(again.select("doc_id"), "doc_id").select("doc_id", "tx"))  # one row of these comes back
+    left = _without(docs, materialize(gone.distinct(), "gone"), rows, id_col, text_col)
+    passing = _passing(docs, again, id_col, text_col, min(MOST_BITMAPS, repeats * BITS_A_ROW // BITMAP + 1))
+    return left.unionByName(_rows_of(passing, again, id_col, text_col, "left_semi").dropDuplicates([id_col]))

@@ -545,3 +545,41 @@ def test_texts_of_candidates_are_found_without_moving_texts(spark, bitmaps):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert "SortMergeJoin" not in plan
     assert {(k, t) for k, t in rows if k is None or k % 40 == 0 or t == "another of this id"} <= set(got) and len(got) < 200
+
+
+@pytest.fixture
+def no_small_broadcasts(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+@pytest.mark.parametrize("most", [jaccard.MOST_SPARED, -1])
+def test_near_copies_are_dropped_without_moving_texts(spark, no_small_broadcasts, monkeypatch, most):
+    monkeypatch.setattr(jaccard, "MOST_SPARED", most)
+    near = "a b c d e f g h i j k l m n o p q r s t u v w x y z"
+    rows = [(k, f"{near} {k // 2}" if k < 1000 else " ".join(f"w{k}x{i}" for i in range(7))) for k in range(2000)] + [(None, f"{near} 1"), (None, "no id and no copy"), (5000, None), (5001, ""), (5002, " ")]
+    docs = frame(spark, rows).selectExpr("*", "7 AS _bitmap").repartition(3)
+    left = jaccard.keep_one(docs)
+    plan = left._jdf.queryExecution().executedPlan().toString()
+    assert ("SortMergeJoin" in plan) == (most < 0)
+    got = left.collect()
+    assert left.columns == docs.columns and {r["_bitmap"] for r in got} == {7}
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.text or "") for r in got) == sorted([(0, rows[0][1]), *((k, t or "") for k, t in rows[1000:] if k is not None), (-1, "no id and no copy")])
+
+
+def test_rows_that_pass_the_bitmaps_of_dropped_ones_stay(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BITMAP", 64)  # full bitmaps: all rows pass
+    monkeypatch.setattr(jaccard, "MOST_BITMAPS", 1)
+    docs = frame(spark, [(k, f"text {k}") for k in range(600)] + [(3, "another of this id"), (None, "no id"), (9, None)])
+    rows = docs.selectExpr("doc_id", "CASE WHEN text IS NOT NULL THEN xxhash64(text) END AS tx")
+    left = jaccard._without(docs, rows.where("doc_id % 2 = 0"), rows, "doc_id", "text")
+    assert sorted((r.doc_id or -1, r.text or "") for r in left.collect()) == sorted([*((k, f"text {k}") for k in range(1, 600, 2)), (3, "another of this id"), (-1, "no id"), (9, "")])
+
+
+def test_members_of_sets_are_moved_once(spark, no_small_broadcasts):
+    sets = jaccard.describe(frame(spark, [(k, " ".join(f"w{k // 2}x{i}" for i in range(20 + k % 2))) for k in range(40)]), "doc_id", "text", 4, 85)
+    found = jaccard.prefixes(sets, 85)
+    assert found._jdf.queryExecution().executedPlan().toString().split("+- == Initial Plan ==")[0].count("hashpartitioning(h#") == 1
+    assert found.count() == 40

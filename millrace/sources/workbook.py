@@ -53,21 +53,21 @@ class _Kind:
 _ROWS, _STRINGS = _Kind(b"worksheet", b"sheetData", b"row"), _Kind(b"sst", b"sst", b"si")
 
 
-def _pieces(part) -> Iterator[bytes]:
-    """A part as UTF-8, piece by piece."""
+def _pieces(part, size: int) -> Iterator[bytes]:
+    """A part as UTF-8, in pieces of some size bytes."""
     start = part.read(256)
     declared = re.search(rb"""<\?xml[^>]*encoding=["']([\w.-]+)""", start)
     name = "utf-16" if start[:2] in (b"\xff\xfe", b"\xfe\xff") else declared[1].decode() if declared else "utf-8"
     decode = codecs.getincrementaldecoder("utf-8-sig" if codecs.lookup(name).name == "utf-8" else name)()
     while start:
         yield decode.decode(start).encode()
-        start = part.read(_BLOCK_BYTES)
+        start = part.read(size)
 
 
 def _cut(part, kind: _Kind, block_bytes: int) -> Iterator[tuple[int, bytes]]:
     """(number of its first item, XML document of whole items) of each block; at most a block and an item are held."""
     held, head, tail, first, least = b"", None, b"", 0, block_bytes
-    pieces = _pieces(part)
+    pieces = _pieces(part, min(max(block_bytes, 256), _BLOCK_BYTES))  # a piece longer than a block would be cut off as one
     for piece in pieces:
         held += piece
         if head is None:

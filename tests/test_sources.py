@@ -3,6 +3,7 @@
 import datetime
 import io
 import zipfile
+from xml.etree import ElementTree
 
 import pandas as pd
 import pyarrow as pa
@@ -15,7 +16,7 @@ from millrace.catalog import Column, Entity
 from millrace.operators.keyed import KeyedTable
 from millrace.sources import discover, files, jdbc
 from millrace.sources.arrow_ipc import _read, _read_rows, _reader, read_arrow, write_arrow
-from millrace.sources.workbook import read_cells, read_workbook, sheet_names, write_workbook
+from millrace.sources.workbook import _ROWS, _STRINGS, _cut, read_cells, read_workbook, sheet_names, write_workbook
 from millrace.streaming import inbound
 
 
@@ -220,6 +221,20 @@ def test_workbook_and_discovery(spark, tmp_path):
     assert both.where("source = 'a'").count() == 2 and both.where("message is not null").count() == 1
 
 
+def test_workbook_block_sizes():
+    """Blocks are as small as they are asked to be, whatever the size of the part, and hold each item once, with its number."""
+    texts = [f"<v>{k}</v>" * (k % 40) + "\u00e9" for k in range(300)]
+    for kind, holder, item in ((_ROWS, "sheetData", "row"), (_STRINGS, "", "si")):
+        items = "".join(f"<{item}>{t}</{item}>" for t in texts)
+        whole = f"<worksheet><{holder}>{items}</{holder}></worksheet>" if holder else f"<sst>{items}</sst>"
+        for data in (whole.encode(), f'<?xml version="1.0" encoding="UTF-16"?>{whole}'.encode("utf-16")):
+            for size in (1, 300, 2000, 1 << 24):
+                blocks = [(first, list(ElementTree.fromstring(xml).iter(item)), len(xml)) for first, xml in _cut(io.BytesIO(data), kind, size)]
+                assert [b[0] for b in blocks] == [sum(len(x[1]) for x in blocks[:k]) for k in range(len(blocks))]
+                assert [ElementTree.tostring(e, encoding="unicode") for b in blocks for e in b[1]] == [f"<{item}>{t}</{item}>" for t in texts]
+                assert max(b[2] for b in blocks) < 2 * size + 1000 and (len(blocks) > 1) == (size < 1 << 24)
+
+
 def test_workbook_blocks(spark, tmp_path):
     """Small blocks give the rows of one; texts shared, in their cells, with marks and white space; several files of bounded rows."""
     day, moment = datetime.date(2024, 2, 29), datetime.datetime(2024, 2, 29, 6, 30)

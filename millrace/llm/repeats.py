@@ -231,13 +231,14 @@ def repeated_windows(kinds: DataFrame, mixed: DataFrame, contexts: DataFrame, le
     schema = "g long, w long, from int, to int"
 
     def compared(rows: DataFrame) -> DataFrame:
-        return rows.repartition("key").sortWithinPartitions("key", "w").mapInArrow(_compare(length), schema)
+        # by a hash: dealt by the key itself, after a join on it, Spark would drop this step and could leave a key in several tasks
+        return rows.repartition(F.xxhash64("key")).sortWithinPartitions("key", "w").mapInArrow(_compare(length), schema)
 
     if (mixed.agg(F.max("c")).first()[0] or 0) <= group_rows:
         return found.unionByName(compared(contexts))
     rows, size = materialize(contexts, "contexts"), 1 << (length - gram).bit_length()  # a block of this size holds all windows of an anchor
     while True:
-        sized = rows.join(_sizes(rows), "key")
+        sized = rows.join(materialize(_sizes(rows), "sizes"), "key")
         if size == 1:
             return found.unionByName(sized.select("g", "w", F.col("low").alias("from"), (F.col("low") + length).alias("to")))
         found = found.unionByName(compared(sized.where(F.col("rows") <= group_rows).drop("rows")))
@@ -258,7 +259,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shared = _ranges(long.select("text"), length, gram, True).groupBy("g").agg(F.sum("times").alias("c")).where("c > 1").select("g")
     ranges = materialize(_ranges(long.select("row", "k1", "k2", "text"), length, gram, False).join(shared, "g"), "ranges")
     kinds = materialize(ranges.groupBy("g", "w").agg(F.sum("times").alias("n"), F.min(F.struct("row", "k1", "k2", "first", "more", "off")).alias("x")).select("g", "w", "n", "x.*"), "kinds")
-    mixed = kinds.groupBy("g").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("m")).where("c > 1 and m = 1").select("g", "c")
+    # written, as Spark splits a gram that many kinds have only where nothing is aggregated in the task that joins them
+    mixed = materialize(kinds.groupBy("g").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("m")).where("c > 1 and m = 1").select("g", "c"), "mixed")
     wanted = kinds.join(mixed.select("g"), "g").groupBy("row", "k1", "k2").agg(F.collect_list(F.struct("g", "w", "first", "more", "off")).alias("wanted"))
     contexts = _contexts(long.select("row", "k1", "k2", "text").join(wanted, ["row", "k1", "k2"]).select("text", "wanted"), length)
     found = repeated_windows(kinds, mixed, contexts, length, gram, group_rows)

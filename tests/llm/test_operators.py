@@ -283,6 +283,31 @@ def test_repeats_equal_brute_force(spark):
         assert got == wanted
 
 
+def test_repeats_split_a_common_gram(spark, monkeypatch):
+    """Many kinds of one gram are joined by several tasks, at the start and where a large group is split; the rows stay those of few tasks."""
+    rnd = random.Random(5)
+    piece = lambda n: "".join(rnd.choice("abcdefgh") for _ in range(n))
+    core, tail = piece(24), piece(50)
+    rows = [(k, piece(60) + core + piece(60) + (tail if k % 3 == 0 else "")) for k in range(400)]
+    plain = sorted(tuple(r) for r in repeats.remove_repeats(frame(spark, rows), length=40, gram=8).collect())
+    assert sum(r[2] for r in plain) >= 134 * len(tail)
+    contexts, written, asked = repeats._contexts, repeats.materialize, []
+    monkeypatch.setattr(repeats, "_contexts", lambda texts, length: asked.append(texts) or contexts(texts, length))
+    monkeypatch.setattr(repeats, "materialize", lambda df, name: (name == "blocks" and asked.append(df)) or written(df, name))
+    small = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.1"}
+    before = {k: spark.conf.get(k, None) for k in small}
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        assert sorted(tuple(r) for r in repeats.remove_repeats(frame(spark, rows), length=40, gram=8, group_rows=50).collect()) == plain
+        for df in asked[:2]:
+            df.collect()
+            assert "skew=true" in df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
 @pytest.mark.parametrize("memory", [40, 1 << 18])
 def test_suffix_order(tmp_path, memory):
     rnd = random.Random(8)
